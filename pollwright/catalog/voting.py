@@ -1,0 +1,243 @@
+"""Queries on ballots. Arrays are shown one element per row."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from pollwright.catalog.registry import query, rounded
+from pollwright.operators import ballots as bal
+
+RACE = ["race"]
+
+
+def _elements(df, array: str, value: str, *keys: str):
+    return df.select(*(keys or ("voter_id",)), F.posexplode(array).alias("option", value))
+
+
+@query(
+    "plurality_ballot",
+    ["ballot_ranks"],
+    "select voter_id, option, case when rank = 1 then 1 else 0 end as vote from ballot_ranks",
+)
+def _(t):
+    return _elements(bal.plurality_ballot(t.ballots), "plurality", "vote")
+
+
+@query("ranked_ballot", ["ballot_ranks"], "select voter_id, option, rank from ballot_ranks")
+def _(t):
+    return _elements(bal.ranked_ballot(t.ballots), "ranks", "rank")
+
+
+_APPROVED = """select voter_id, race, option, case when score > avg(score) over w + stddev_samp(score) over w
+                      then 1 else 0 end as vote from ballot_long window w as (partition by voter_id)"""
+
+
+@query("approval_ballot", ["ballot_long"], f"select voter_id, option, vote from ({_APPROVED}) a")
+def _(t):
+    return _elements(bal.approval_ballot(t.ballots), "approvals", "vote")
+
+
+@query(
+    "normalize_scores",
+    ["ballot_long"],
+    """select voter_id, option, round(coalesce(greatest(score, 0) / nullif(sum(greatest(score, 0))
+              over (partition by voter_id), 0), 0), 6) as score from ballot_long""",
+)
+def _(t):
+    return rounded(_elements(bal.normalize_scores(t.ballots), "scores", "score"), "score")
+
+
+def _winner(source: str) -> str:
+    return f"""select *, row_number() over (partition by race order by total desc, option) = 1 as is_winner
+               from ({source}) s"""
+
+
+_PLURALITY = """select race, option, count_if(rank = 1) as total,
+                       round(count_if(rank = 1) * 100e0 / count(*), 6) as percent from ballot_ranks group by all"""
+_APPROVAL = f"""select race, option, cast(sum(vote) as bigint) as total,
+                       round(sum(vote) * 100e0 / count(*), 6) as percent from ({_APPROVED}) a group by all"""
+_BORDA = """select race, option, cast(sum(6 - rank) as bigint) as total, round(avg(6 - rank), 6) as average
+            from ballot_ranks group by all"""
+
+
+@query("plurality_count", ["ballot_ranks"], _winner(_PLURALITY))
+def _(t):
+    return rounded(bal.plurality_count(t.ballots, RACE), "percent")
+
+
+@query("approval_count", ["ballot_long"], _winner(_APPROVAL))
+def _(t):
+    return rounded(bal.approval_count(t.ballots, RACE), "percent")
+
+
+@query("borda_count", ["ballot_ranks"], _winner(_BORDA))
+def _(t):
+    return rounded(bal.borda_count(t.ballots, RACE), "average")
+
+
+@query(
+    "rank_distribution",
+    ["ballot_ranks"],
+    """select race, option, r::int as rank, count_if(rank = r) as n
+       from ballot_ranks, unnest([1, 2, 3, 4, 5]) as g(r) group by all""".replace("as rank", 'as "rank"'),
+)
+def _(t):
+    return bal.rank_distribution(t.ballots, RACE)
+
+
+_PAIRS = """select x.race, x.option as a, y.option as b, count_if(x.score > y.score) as a_over_b,
+                   count_if(y.score > x.score) as b_over_a, count(*) as ballots
+            from ballot_long x join ballot_long y on x.voter_id = y.voter_id and x.option < y.option group by all"""
+
+
+@query("pairwise", ["ballot_long"], _PAIRS)
+def _(t):
+    return bal.pairwise(t.ballots, RACE)
+
+
+_DUELS = f"""pairs as ({_PAIRS}),
+    duels as (select race, a as option, b as opponent, a_over_b as wins, b_over_a as losses, ballots from pairs
+              union all select race, b, a, b_over_a, a_over_b, ballots from pairs)"""
+_CONDORCET = """select race, option, count_if(wins > losses) as total, count_if(wins > losses) = 4 as is_winner
+                from duels group by all"""
+
+
+@query("condorcet", ["ballot_long"], f"with {_DUELS} {_CONDORCET}")
+def _(t):
+    return bal.condorcet(t.ballots, RACE)
+
+
+@query(
+    "pairwise_percent",
+    ["ballot_long"],
+    f"with {_DUELS} select race, option, opponent, round(wins * 100e0 / ballots, 6) as percent from duels",
+)
+def _(t):
+    return rounded(bal.pairwise_percent(t.ballots, RACE), "percent")
+
+
+def _runoff_sql() -> str:
+    """Four rounds unrolled: five options need at most four."""
+    parts = [
+        "left0 as (select distinct race, option from ballot_ranks)",
+        "open0 as (select race, count(distinct voter_id) as ballots from ballot_ranks group by race)",
+    ]
+    for r in range(4):
+        parts += [
+            f"""first{r} as (select b.race, b.option from ballot_ranks b join left{r} l on b.race = l.race
+                             and b.option = l.option join open{r} o on o.race = b.race
+                             qualify row_number() over (partition by voter_id order by rank) = 1)""",
+            f"""votes{r} as (select l.race, l.option, count(f.option) as votes from left{r} l join open{r} using (race)
+                             left join first{r} f on f.race = l.race and f.option = l.option group by all)""",
+            f"""done{r} as (select v.race, v.option as winner from votes{r} v join open{r} o on o.race = v.race
+                            where v.votes * 2 > o.ballots)""",
+            f"open{r + 1} as (select * from open{r} where race not in (select race from done{r}))",
+            f"""out{r} as (select v.race, v.option, {r + 1} as round from votes{r} v join open{r + 1} o
+                           on o.race = v.race
+                           qualify row_number() over (partition by v.race order by votes, v.option) = 1)""",
+            f"""left{r + 1} as (select l.race, l.option from left{r} l join open{r + 1} o on o.race = l.race
+                                where not exists (select 1 from out{r} x where x.race = l.race and x.option = l.option))""",
+        ]
+    winners = " union all ".join([f"select race, winner from done{r}" for r in range(4)] + ["select race, option from left4"])
+    outs = " union all ".join(f"select * from out{r}" for r in range(4))
+    return ",\n".join(parts) + f",\nwinners as ({winners}),\nouts as ({outs})"
+
+
+_RUNOFF = _runoff_sql()
+
+
+@query(
+    "instant_runoff",
+    ["ballot_ranks"],
+    f"""with {_RUNOFF}
+        select w.race, w.winner, coalesce(string_agg(cast(o.option as varchar), ',' order by o.round), '') as elimination_order,
+               cast(count(o.option) as int) as rounds
+        from winners w left join outs o on o.race = w.race group by w.race, w.winner""",
+)
+def _(t):
+    result = bal.instant_runoff(t.ballots, RACE)
+    order = F.array_join(F.transform("elimination_order", lambda o: o.cast("string")), ",")
+    return result.withColumn("elimination_order", order)
+
+
+@query(
+    "method_results",
+    ["ballot_ranks"],
+    f"""with {_RUNOFF}, {_DUELS},
+        p as ({_winner(_PLURALITY)}), a as ({_winner(_APPROVAL)}), b as ({_winner(_BORDA)}), c as ({_CONDORCET}),
+        r as (select l.race, l.option, cast(o.round as bigint) as total, l.option = w.winner as is_winner
+              from left0 l join winners w on w.race = l.race
+                   left join outs o on o.race = l.race and o.option = l.option)
+        select race, 'plurality' as method, option, total, is_winner from p
+        union all select race, 'approval', option, total, is_winner from a
+        union all select race, 'borda', option, total, is_winner from b
+        union all select race, 'condorcet', option, total, is_winner from c
+        union all select race, 'instant_runoff', option, total, is_winner from r""",
+)
+def _(t):
+    return bal.method_results(t.ballots, RACE)
+
+
+@query(
+    "sort_lexicographic",
+    ["ballots"],
+    """select voter_id, row_number() over (order by scores, voter_id) as place from ballots""",
+)
+def _(t):
+    from pollwright.functions.scale import running_sum
+
+    # The place of each ballot in the sorted order shows the order itself.
+    rows = bal.sort_lexicographic(t.ballots.select("voter_id", "scores"))
+    return running_sum(rows, [], ["scores", "voter_id"], F.lit(1).cast("bigint"), "place").select("voter_id", "place")
+
+
+@query(
+    "sort_by_top_choice",
+    ["ballot_ranks"],
+    "select voter_id, race, option as choice from ballot_ranks where rank = 1 order by choice, voter_id",
+)
+def _(t):
+    return bal.sort_by_top_choice(t.ballots).select("voter_id", "race", "choice")
+
+
+@query(
+    "ballot_matrix",
+    ["ballot_ranks", "ballot_long"],
+    f"""with a as ({_APPROVED}),
+             top as (select voter_id, option as choice from ballot_ranks where rank = 1)
+        select r.voter_id, choice, r.option as place, round(score, 6) as value from ballot_ranks r join top using (voter_id)
+        union all select r.voter_id, choice, 5 + r.option, case when rank = 1 then 1 else 0 end
+                  from ballot_ranks r join top using (voter_id)
+        union all select r.voter_id, choice, 10 + r.option, round(rank / 5e0, 6) from ballot_ranks r join top using (voter_id)
+        union all select a.voter_id, choice, 15 + a.option, vote from a join top using (voter_id)""",
+)
+def _(t):
+    rows = bal.ballot_matrix(t.ballots).select("voter_id", "choice", F.posexplode("values").alias("place", "value"))
+    return rounded(rows, "value")
+
+
+@query(
+    "distance_scores",
+    ["ballot_ranks"],
+    """with c as (select voter_id, option as choice from ballot_ranks where rank = 1),
+            s as (select voter_id, choice, i::int as option, 1 / (1 + (i - choice) ** 2)::double as raw
+                  from c, range(5) as o(i))
+       select voter_id, choice, option, round(raw / sum(raw) over (partition by voter_id), 6) as score from s""",
+)
+def _(t):
+    voters = bal.plurality_ballot(t.ballots).select("voter_id", "choice")
+    scored = bal.distance_scores(voters, bal.line_positions(5))
+    return rounded(_elements(scored, "scores", "score", "voter_id", "choice"), "score")
+
+
+@query(
+    "nearest_option",
+    ["points", "modes"],
+    """select id, mode_id as option, round(d, 6) as distance
+       from (select id, mode_id, sqrt((x[1] - c0) ** 2 + (x[2] - c1) ** 2 + (x[3] - c2) ** 2 + (x[4] - c3) ** 2) as d
+             from points, modes) z
+       qualify row_number() over (partition by id order by d, mode_id) = 1""",
+)
+def _(t):
+    options = t.modes.select(F.col("mode_id").alias("option"), F.array("c0", "c1", "c2", "c3").alias("center"))
+    return rounded(bal.nearest_option(t.points, options), "distance")
