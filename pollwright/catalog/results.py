@@ -586,7 +586,7 @@ def _(t):
              f as (select g.series, g.date, price, row_number() over (partition by g.series order by g.date) as pos
                    from g left join k on g.series = k.series and g.date = k.date),
              n as (select *, {_neighbours('price', 'partition by series ')} from f)
-        select series, date, {_filled('price').replace(', 6) as', ', 4) as')} from n""",
+        select series, date, {_filled('price').replace(', 6) as', ', 8) as')} from n""",
 )
 def _(t):
     rows = t.orders.select(
@@ -594,4 +594,4 @@ def _(t):
         F.col("o_orderdate").cast("date").alias("date"),
         F.col("o_totalprice").alias("price"),
     )
-    return rounded(win.interpolate_monthly(rows, "date", ["price"], ["series"], "D"), "price", places=4)
+    return rounded(win.interpolate_monthly(rows, "date", ["price"], ["series"], "D"), "price", places=8)

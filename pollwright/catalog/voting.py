@@ -8,6 +8,7 @@ from pollwright.catalog.registry import query, rounded
 from pollwright.operators import ballots as bal
 
 RACE = ["race"]
+OPTIONS = 5
 
 
 def _elements(df, array: str, value: str, *keys: str):
@@ -62,17 +63,17 @@ _BORDA = """select race, option, cast(sum(6 - rank) as bigint) as total, round(a
 
 @query("plurality_count", ["ballot_ranks"], _winner(_PLURALITY))
 def _(t):
-    return rounded(bal.plurality_count(t.ballots, RACE), "percent")
+    return rounded(bal.plurality_count(t.ballots, RACE, OPTIONS), "percent")
 
 
 @query("approval_count", ["ballot_long"], _winner(_APPROVAL))
 def _(t):
-    return rounded(bal.approval_count(t.ballots, RACE), "percent")
+    return rounded(bal.approval_count(t.ballots, RACE, OPTIONS), "percent")
 
 
 @query("borda_count", ["ballot_ranks"], _winner(_BORDA))
 def _(t):
-    return rounded(bal.borda_count(t.ballots, RACE), "average")
+    return rounded(bal.borda_count(t.ballots, RACE, OPTIONS), "average")
 
 
 @query(
@@ -82,7 +83,7 @@ def _(t):
        from ballot_ranks, unnest([1, 2, 3, 4, 5]) as g(r) group by all""".replace("as rank", 'as "rank"'),
 )
 def _(t):
-    return bal.rank_distribution(t.ballots, RACE)
+    return bal.rank_distribution(t.ballots, RACE, OPTIONS)
 
 
 _PAIRS = """select x.race, x.option as a, y.option as b, count_if(x.score > y.score) as a_over_b,
@@ -92,7 +93,7 @@ _PAIRS = """select x.race, x.option as a, y.option as b, count_if(x.score > y.sc
 
 @query("pairwise", ["ballot_long"], _PAIRS)
 def _(t):
-    return bal.pairwise(t.ballots, RACE)
+    return bal.pairwise(t.ballots, RACE, OPTIONS)
 
 
 _DUELS = f"""pairs as ({_PAIRS}),
@@ -104,7 +105,7 @@ _CONDORCET = """select race, option, count_if(wins > losses) as total, count_if(
 
 @query("condorcet", ["ballot_long"], f"with {_DUELS} {_CONDORCET}")
 def _(t):
-    return bal.condorcet(t.ballots, RACE)
+    return bal.condorcet(t.ballots, RACE, OPTIONS)
 
 
 @query(
@@ -113,7 +114,7 @@ def _(t):
     f"with {_DUELS} select race, option, opponent, round(wins * 100e0 / ballots, 6) as percent from duels",
 )
 def _(t):
-    return rounded(bal.pairwise_percent(t.ballots, RACE), "percent")
+    return rounded(bal.pairwise_percent(t.ballots, RACE, OPTIONS), "percent")
 
 
 def _runoff_sql() -> str:
@@ -155,7 +156,7 @@ _RUNOFF = _runoff_sql()
         from winners w left join outs o on o.race = w.race group by w.race, w.winner""",
 )
 def _(t):
-    result = bal.instant_runoff(t.ballots, RACE)
+    result = bal.instant_runoff(t.ballots, RACE, OPTIONS)
     order = F.array_join(F.transform("elimination_order", lambda o: o.cast("string")), ",")
     return result.withColumn("elimination_order", order)
 
@@ -175,7 +176,7 @@ def _(t):
         union all select race, 'instant_runoff', option, total, is_winner from r""",
 )
 def _(t):
-    return bal.method_results(t.ballots, RACE)
+    return bal.method_results(t.ballots, RACE, OPTIONS)
 
 
 @query(

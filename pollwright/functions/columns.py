@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +50,11 @@ def key_text(keys: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
 
 
+def group_key(keys: Sequence[str]) -> Column:
+    """All keys as one text that is never null and keeps null apart from empty."""
+    return F.concat_ws("\x01", *[F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys])
+
+
 def digest(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
@@ -64,6 +70,15 @@ def share(part: Column, whole: Column, scale: float = 100.0) -> Column:
     return part / F.nullif(whole.cast("double"), F.lit(0.0)) * F.lit(scale)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once.
+
+    A column used inside a lambda is evaluated again for every element. Here the value
+    becomes the variable of a lambda over a one-element array.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(values: Column | str) -> Column:
     return F.aggregate(as_column(values), F.lit(0.0), lambda acc, x: acc + x)
 
@@ -71,30 +86,78 @@ def array_sum(values: Column | str) -> Column:
 def normalized(values: Column | str) -> Column:
     """Negative entries to 0, then divide by the sum; an all-zero row stays zero."""
     clamped = F.transform(as_column(values), lambda x: F.greatest(x, F.lit(0.0)))
-    total = array_sum(clamped)
-    return F.transform(clamped, lambda x: F.when(total == 0.0, x).otherwise(x / total))
+
+    def divide(pair: Column) -> Column:
+        return F.transform(pair["v"], lambda x: x / pair["s"])
+
+    def by_sum(v: Column) -> Column:
+        total = array_sum(v)
+        return F.struct(v.alias("v"), F.when(total == 0.0, F.lit(1.0)).otherwise(total).alias("s"))
+
+    return let(let(clamped, by_sum), divide)
+
+
+def one_hot_array(values: Column, position: Column) -> Column:
+    """0/1 array of the size of ``values`` with a single 1 at ``position``."""
+    return let(position, lambda p: F.transform(values, lambda _, i: (i == p).cast("int")))
+
+
+def above_spread(values: Column | str) -> Column:
+    """0/1 array: entries above the mean plus the sample standard deviation of the array."""
+    v = as_column(values)
+    size = F.size(v)
+
+    def bar(mean: Column) -> Column:
+        spread = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+        return mean + F.sqrt(spread / F.nullif(size - 1, F.lit(0)))
+
+    def mark(limit: Column) -> Column:
+        return F.transform(v, lambda x: F.coalesce((x > limit).cast("int"), F.lit(0)))
+
+    return let(let(array_sum(v) / size, bar), mark)
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
+def unrolled_distance(a: Column, point: Sequence[float]) -> Column:
+    """Squared distance to a fixed point as plain arithmetic, which Spark compiles."""
+    return reduce(
+        lambda total, term: total + term,
+        [(a[i] - F.lit(float(c))) * (a[i] - F.lit(float(c))) for i, c in enumerate(point)],
+    )
+
+
 def top_position(scores: Column | str) -> Column:
     """0-based position of the largest entry, the first one on ties."""
     values = as_column(scores)
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def preference_order(scores: Column | str) -> Column:
-    """Positions from most to least preferred; ties in position order."""
-    pairs = F.transform(as_column(scores), lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
-    return F.transform(F.array_sort(pairs), lambda p: p["i"])
+def preference_order(scores: Column | str, size: int | None = None) -> Column:
+    """Positions from most to least preferred; ties in position order.
+
+    With a known ``size`` the pairs are built without a lambda; an array of another size is
+    still ranked whole.
+    """
+    values = as_column(scores)
+    pairs = F.transform(values, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
+    if size:
+        fixed = F.array(
+            *[F.struct((-F.get(values, F.lit(i))).alias("x"), F.lit(i).alias("i")) for i in range(size)]
+        )
+        pairs = F.when(F.size(values) == size, fixed).otherwise(pairs)
+    # sort_array compares compiled; array_sort would call a comparator per pair.
+    return F.sort_array(pairs)["i"]
 
 
 def ranks(order: Column | str) -> Column:
     """Rank of every position, 1 is best, from a preference order."""
-    o = as_column(order)
-    return F.transform(o, lambda _, i: F.array_position(o, i).cast("int"))
+    return let(
+        as_column(order),
+        lambda o: F.transform(F.sequence(F.lit(0), F.size(o) - 1), lambda i: F.array_position(o, i).cast("int")),
+    )
 
 
 def bin_index(value: Column, low: Column, width: Column, bins: int) -> Column:

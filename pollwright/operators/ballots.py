@@ -9,38 +9,45 @@ up map-side, so one huge race costs no more than many small ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollwright.functions.columns import array_sum, normalized, preference_order, ranks, squared_distance, top_position
+from pollwright.functions.columns import (
+    above_spread,
+    let,
+    normalized,
+    one_hot_array,
+    preference_order,
+    ranks,
+    squared_distance,
+    top_position,
+    unrolled_distance,
+)
 from pollwright.functions.scale import bounded_rows, null_safe_join, pair_with_blocks
 from pollwright.session import materialize
 
-# Options up to this number are compared inside one row; more are met block by block.
-LITERAL_OPTIONS = 1000
+# Options up to this number become part of the plan; more are met block by block.
+LITERAL_OPTIONS = 64
 
 
 def plurality_ballot(df: DataFrame) -> DataFrame:
     """``choice``: the top option, and ``plurality``: its one-hot array."""
-    one_hot = F.transform("scores", lambda _, i: (i == F.col("choice")).cast("int"))
-    return df.withColumn("choice", top_position("scores")).withColumn("plurality", one_hot)
+    choice = top_position("scores")
+    return df.withColumns({"choice": choice, "plurality": one_hot_array(F.col("scores"), choice)})
 
 
 def ranked_ballot(df: DataFrame) -> DataFrame:
     """``ranking``: options from best to worst, and ``ranks``: the rank of each option."""
-    return df.withColumn("ranking", preference_order("scores")).withColumn("ranks", ranks("ranking"))
+    ranking = preference_order("scores")
+    return df.withColumns({"ranking": ranking, "ranks": ranks(ranking)})
 
 
 def approval_ballot(df: DataFrame) -> DataFrame:
     """``approvals``: 1 where the score exceeds the ballot's mean plus sample deviation."""
-    size = F.size("scores")
-    mean = array_sum("scores") / size
-    spread = F.aggregate("scores", F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    bar = mean + F.sqrt(spread / F.nullif(size - 1, F.lit(0)))
-    with_bar = df.withColumn("_bar", bar)
-    approved = F.transform("scores", lambda x: F.coalesce((x > F.col("_bar")).cast("int"), F.lit(0)))
-    return with_bar.withColumn("approvals", approved).drop("_bar")
+    return df.withColumn("approvals", above_spread("scores"))
 
 
 def normalize_scores(df: DataFrame) -> DataFrame:
@@ -58,6 +65,64 @@ def _tally(per_option: DataFrame, race: Sequence[str], extra: dict[str, Column]
     )
 
 
+def _percent() -> dict[str, Column]:
+    return {"percent": F.col("total") * F.lit(100.0) / F.col("_ballots")}
+
+
+class _Width:
+    """Scores of ballots with a known number of options as plain columns.
+
+    Arithmetic on columns is compiled and added up without exploding a ballot, many times
+    faster than lambdas over arrays. A ballot of another size stops the query.
+    """
+
+    def __init__(self, df: DataFrame, race: Sequence[str], n: int):
+        wrong = F.raise_error(F.lit(f"a ballot does not have {n} options")).cast("double")
+        first = F.when(F.size("scores") == n, F.get("scores", F.lit(0))).otherwise(wrong)
+        rest = [F.get("scores", F.lit(i)) for i in range(1, n)]
+        self.n = n
+        self.race = list(race)
+        self.scores = [F.col(f"_s{i}") for i in range(n)]
+        self.ballots = df.select(*race, *[c.alias(f"_s{i}") for i, c in enumerate([first, *rest])])
+
+    def preferred(self, i: int, j: int) -> Column:
+        """Option ``i`` stands before ``j``: a higher score, or an equal one and a lower index."""
+        a, b = self.scores[i], self.scores[j]
+        return a >= b if i < j else a > b
+
+    def with_ranks(self) -> DataFrame:
+        ranks_ = {
+            f"_r{i}": reduce(add, [self.preferred(j, i).cast("int") for j in range(self.n) if j != i], F.lit(1))
+            for i in range(self.n)
+        }
+        return self.ballots.withColumns(ranks_)
+
+    def with_bar(self) -> DataFrame:
+        mean = self.ballots.withColumn("_mean", reduce(add, self.scores) / self.n)
+        spread = reduce(add, [(s - F.col("_mean")) * (s - F.col("_mean")) for s in self.scores])
+        return mean.withColumn("_bar", F.col("_mean") + F.sqrt(spread / F.nullif(F.lit(self.n - 1), F.lit(0))))
+
+    def sums(self, df: DataFrame, values: Sequence[Column]) -> DataFrame:
+        """One aggregate per option, then one row per option."""
+        wide = df.groupBy(*self.race).agg(
+            *[F.sum(v).cast("bigint").alias(f"_v{i}") for i, v in enumerate(values)], F.count(F.lit(1)).alias("_ballots")
+        )
+        return self.rows(wide, ["option"], [((i,), {"total": F.col(f"_v{i}")}) for i in range(self.n)], ["_ballots"])
+
+    def rows(self, wide: DataFrame, names: Sequence[str], cells, keep: Sequence[str] = ()) -> DataFrame:
+        """Wide aggregates to rows: ``cells`` lists index values and the value columns."""
+        structs = [
+            F.struct(
+                *[F.lit(v).alias(n) for n, v in zip(names, index)], *[c.alias(n) for n, c in values.items()]
+            )
+            for index, values in cells
+        ]
+        if not structs:
+            structs, wide = [F.struct(*[F.lit(None).cast("int").alias(n) for n in names])], wide.limit(0)
+        listed = wide.select(*self.race, *keep, F.explode(F.array(*structs)).alias("_c"))
+        return listed.select(*self.race, "_c.*", *keep)
+
+
 def _sum_per_option(df: DataFrame, race: Sequence[str], values: Column) -> DataFrame:
     """Sum of an array over all ballots, one row per option; ``_ballots`` counts the ballots."""
     return (
@@ -67,35 +132,54 @@ def _sum_per_option(df: DataFrame, race: Sequence[str], values: Column) -> DataF
     )
 
 
-def _percent() -> dict[str, Column]:
-    return {"percent": F.col("total") * F.lit(100.0) / F.col("_ballots")}
-
-
-def plurality_count(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
-    """(race, option, total, percent, is_winner): first choices."""
+def plurality_count(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+    """(race, option, total, percent, is_winner): first choices, zeros included."""
+    if n_options:
+        w = _Width(df, race, n_options)
+        first = [
+            reduce(and_, [w.preferred(i, j) for j in range(w.n) if j != i], F.lit(True)).cast("int")
+            for i in range(w.n)
+        ]
+        return _tally(w.sums(w.ballots, first), race, _percent())
     return _tally(_sum_per_option(plurality_ballot(df), race, F.col("plurality")), race, _percent())
 
 
-def approval_count(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def approval_count(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, option, total, percent, is_winner): approvals."""
+    if n_options:
+        w = _Width(df, race, n_options)
+        approved = [F.coalesce((s > F.col("_bar")).cast("int"), F.lit(0)) for s in w.scores]
+        return _tally(w.sums(w.with_bar(), approved), race, _percent())
     return _tally(_sum_per_option(approval_ballot(df), race, F.col("approvals")), race, _percent())
 
 
-def borda_count(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def borda_count(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, option, total, average, is_winner): M points for the best, 1 for the worst."""
-    points = F.transform("ranks", lambda r: F.size("ranks") - r + 1)
-    average = {"average": F.col("total") / F.col("_ballots")}
-    return _tally(_sum_per_option(ranked_ballot(df), race, points), race, average)
+    if n_options:
+        w = _Width(df, race, n_options)
+        summed = w.sums(w.with_ranks(), [F.lit(w.n + 1) - F.col(f"_r{i}") for i in range(w.n)])
+    else:
+        # The place in the ranking is the rank, so the array of ranks is not needed.
+        places = df.select(
+            *race, F.posexplode(preference_order("scores")).alias("_place", "option"), F.size("scores").alias("_m")
+        )
+        summed = places.groupBy(*race, "option").agg(
+            F.sum(F.col("_m") - F.col("_place")).cast("bigint").alias("total"), F.count(F.lit(1)).alias("_ballots")
+        )
+    return _tally(summed, race, {"average": F.col("total") / F.col("_ballots")})
 
 
-def rank_distribution(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def rank_distribution(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, option, rank, n): ballots that put the option at the rank, zeros included."""
-    counted = (
-        ranked_ballot(df)
-        .select(*race, F.posexplode("ranks").alias("option", "rank"))
-        .groupBy(*race, "option", "rank")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    if n_options:
+        # One aggregate per (option, rank) would be too many to compile, so the ranks are exploded.
+        w = _Width(df, race, n_options)
+        listed = F.posexplode(F.array(*[F.col(f"_r{i}") for i in range(w.n)])).alias("option", "rank")
+        places = w.with_ranks().select(*race, listed)
+    else:
+        order = F.posexplode(preference_order("scores")).alias("_place", "option")
+        places = df.select(*race, order).withColumn("rank", F.col("_place") + 1)
+    counted = places.groupBy(*race, "option", "rank").agg(F.count(F.lit(1)).alias("n"))
     width = counted.groupBy(*race).agg(F.max("rank").alias("_m"))
     zeros = (
         width.withColumn("option", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
@@ -105,19 +189,29 @@ def rank_distribution(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     return counted.unionByName(zeros).groupBy(*race, "option", "rank").agg(F.sum("n").alias("n"))
 
 
-def pairwise(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def pairwise(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, a, b, a_over_b, b_over_a, ballots) for options a < b.
 
-    Pairs are formed inside one ballot and added up in the same stage: what is shuffled is one
-    row per option pair and task.
+    Comparisons are made inside one ballot and added up in the same stage: what is shuffled is
+    one row per race (or per option pair, without ``n_options``) and task.
     """
+    if n_options:
+        w = _Width(df, race, n_options)
+        pairs = [(i, j) for i in range(w.n) for j in range(i + 1, w.n)]
+        wide = w.ballots.groupBy(*race).agg(
+            *[F.count_if(w.scores[i] > w.scores[j]).alias(f"_w{i}_{j}") for i, j in pairs],
+            *[F.count_if(w.scores[j] > w.scores[i]).alias(f"_w{j}_{i}") for i, j in pairs],
+            F.count(F.lit(1)).alias("ballots"),
+        )
+        cells = [
+            ((i, j), {"a_over_b": F.col(f"_w{i}_{j}"), "b_over_a": F.col(f"_w{j}_{i}")}) for i, j in pairs
+        ]
+        return w.rows(wide, ["a", "b"], cells, ["ballots"])
     upto = F.size("scores") - 1
-    left = df.select(*race, "scores", F.explode(F.sequence(F.lit(0), upto - 1)).alias("a")).where(
-        F.size("scores") > 1
-    )
-    both = left.select(
-        *race, "scores", "a", F.explode(F.sequence(F.col("a") + 1, F.size("scores") - 1)).alias("b")
+    left = df.where(F.size("scores") > 1).select(
+        *race, "scores", F.explode(F.sequence(F.lit(0), upto - 1)).alias("a")
     )
+    both = left.select(*race, "scores", "a", F.explode(F.sequence(F.col("a") + 1, upto)).alias("b"))
     a, b = F.get("scores", F.col("a")), F.get("scores", F.col("b"))
     return both.groupBy(*race, "a", "b").agg(
         F.count_if(a > b).alias("a_over_b"),
@@ -141,24 +235,24 @@ def _both_ways(pairs: DataFrame, race: Sequence[str]) -> DataFrame:
     return pairs.select(*race, "ballots", F.explode(rows).alias("p")).select(*race, "p.*", "ballots")
 
 
-def condorcet(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def condorcet(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, option, total, is_winner): pairs won; the winner wins all of them, or nobody does."""
-    duels = _both_ways(pairwise(df, race), race)
+    duels = _both_ways(pairwise(df, race, n_options), race)
     return duels.groupBy(*race, "option").agg(
         F.count_if(F.col("wins") > F.col("losses")).alias("total"),
         (F.count_if(F.col("wins") > F.col("losses")) == F.count(F.lit(1))).alias("is_winner"),
     )
 
 
-def pairwise_percent(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def pairwise_percent(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, option, opponent, percent): ballots that prefer the option to the opponent."""
-    duels = _both_ways(pairwise(df, race), race)
+    duels = _both_ways(pairwise(df, race, n_options), race)
     return duels.select(
         *race, "option", "opponent", (F.col("wins") * F.lit(100.0) / F.col("ballots")).alias("percent")
     )
 
 
-def instant_runoff(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def instant_runoff(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, winner, elimination_order, rounds), all races at once.
 
     Ballots are reduced to distinct rankings with their counts and written out once. Each
@@ -168,7 +262,7 @@ def instant_runoff(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """
     race = list(race)
     rankings = materialize(
-        df.select(*race, preference_order("scores").alias("ranking"))
+        df.select(*race, preference_order("scores", n_options).alias("ranking"))
         .groupBy(*race, "ranking")
         .agg(F.count(F.lit(1)).alias("n")),
         "rankings",
@@ -225,13 +319,13 @@ def _runoff_round(rankings: DataFrame, open_races: DataFrame, race: list[str]) -
     )
 
 
-def method_results(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+def method_results(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
     """(race, method, option, total, is_winner) of all five methods.
 
     For the instant runoff ``total`` is the round in which an option went out, null for those
     still standing at the end.
     """
-    runoff = instant_runoff(df, race)
+    runoff = instant_runoff(df, race, n_options)
     width = df.groupBy(*race).agg(F.max(F.size("scores")).alias("_m"))
     listed = null_safe_join(runoff, width, race) if race else runoff.join(F.broadcast(width))
     place = F.array_position("elimination_order", F.col("option"))
@@ -251,7 +345,7 @@ def method_results(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     rows = runoff_rows
     for method, count in tallies.items():
         rows = rows.unionByName(
-            count(df, race).select(*race, F.lit(method).alias("method"), "option", "total", "is_winner")
+            count(df, race, n_options).select(*race, F.lit(method).alias("method"), "option", "total", "is_winner")
         )
     return rows
 
@@ -290,9 +384,11 @@ def _literal_vectors(vectors: Sequence[Sequence[float]]) -> Column:
 def distance_scores(df: DataFrame, positions: Sequence[Sequence[float]], choice: str = "choice") -> DataFrame:
     """``scores`` of a voter whose main option is ``choice``: ``1 / (1 + d^2)``, normalised."""
     options = _literal_vectors(positions)
-    own = F.get(options, F.col(choice))
-    raw = F.transform(options, lambda p: F.lit(1.0) / (F.lit(1.0) + squared_distance(p, own)))
-    return df.withColumn("_raw", raw).withColumn("scores", normalized("_raw")).drop("_raw")
+
+    def by_distance(own: Column) -> Column:
+        return F.transform(options, lambda p: F.lit(1.0) / (F.lit(1.0) + squared_distance(p, own)))
+
+    return df.withColumn("scores", normalized(let(F.get(options, F.col(choice)), by_distance)))
 
 
 def nearest_option(
@@ -300,19 +396,24 @@ def nearest_option(
 ) -> DataFrame:
     """(key, option, distance): the option closest to each point, the lower one on ties.
 
-    Up to ``LITERAL_OPTIONS`` options travel with the plan and each row is settled on its own;
-    a longer list is met block by block and the best of all blocks is kept.
+    A short list of options travels with the plan as plain arithmetic and each row is settled
+    on its own; a longer list is met block by block and the best of all blocks is kept.
     """
     slim = options.select(F.col(option).alias("option"), F.col(center).alias("center"))
     rows = bounded_rows(slim, LITERAL_OPTIONS)
     if rows is not None:
-        rows = sorted(rows, key=lambda r: r["option"])
-        vectors = _literal_vectors([r["center"] for r in rows])
-        ids = F.array(*[F.lit(r["option"]).cast(slim.schema["option"].dataType) for r in rows])
-        met = points.withColumn("_best", _closest(F.arrays_zip(ids.alias("option"), vectors.alias("center")), x))
-        return met.select(key, "_best.option", F.sqrt("_best.d2").alias("distance"))
-    met = pair_with_blocks(points.select(key, x), slim, key="option", spread=key)
-    best = met.select(key, _closest(F.col("_options"), x).alias("_best")).groupBy(key).agg(F.min("_best").alias("_best"))
+        kind = slim.schema["option"].dataType
+        met = [
+            F.struct(
+                unrolled_distance(F.col(x), r["center"]).alias("d2"), F.lit(r["option"]).cast(kind).alias("option")
+            )
+            for r in rows
+        ]
+        best = points.select(key, (F.least(*met) if len(met) > 1 else met[0]).alias("_best"))
+    else:
+        blocks = pair_with_blocks(points.select(key, x), slim, key="option", spread=key)
+        best = blocks.select(key, _closest(F.col("_options"), x).alias("_best"))
+        best = best.groupBy(key).agg(F.min("_best").alias("_best"))
     return best.select(key, "_best.option", F.sqrt("_best.d2").alias("distance"))
 
 

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from pollwright.functions.columns import array_sum, bin_index, squared_distance
+from pollwright.functions.columns import bin_index, let, squared_distance, unrolled_distance
 from pollwright.functions.scale import bounded_rows, pair_with_blocks
 
 LOG_2PI = math.log(2.0 * math.pi)
 
-# Mixtures up to this size travel with the plan; larger ones are met block by block.
-LITERAL_MODES = 1000
+# Mixtures up to this size become part of the plan; larger ones are met block by block.
+LITERAL_MODES = 64
 
 
 def _mode_terms(modes: Column, x: str) -> Column:
@@ -28,6 +28,24 @@ def _mode_terms(modes: Column, x: str) -> Column:
     )
 
 
+def _literal_term(mode: Row, x: str) -> Column:
+    """The same for one known mode, as plain arithmetic."""
+    constant = math.log(mode["weight"]) - len(mode["center"]) * (math.log(mode["scale"]) + LOG_2PI / 2)
+    return F.lit(constant) - unrolled_distance(F.col(x), mode["center"]) / F.lit(2.0 * mode["scale"] ** 2)
+
+
+def _max_and_sum(terms: Column) -> Column:
+    """(top, sum of exp(term - top)): the pieces of a log-sum-exp that can be merged."""
+    topped = let(terms, lambda ts: F.struct(ts.alias("ts"), F.array_max(ts).alias("top")))
+    return let(
+        topped,
+        lambda p: F.struct(
+            p["top"].alias("top"),
+            F.aggregate(p["ts"], F.lit(0.0), lambda acc, t: acc + F.exp(t - p["top"])).alias("sum"),
+        ),
+    )
+
+
 def mixture_log_density(points: DataFrame, modes: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
     """(key, log_density) under a Gaussian mixture with spherical modes.
 
@@ -37,28 +55,21 @@ def mixture_log_density(points: DataFrame, modes: DataFrame, key: str = "id", x:
     slim = modes.select("mode_id", "center", "weight", "scale").where(F.col("weight") > 0)
     rows = bounded_rows(slim, LITERAL_MODES)
     if rows is not None:
-        literal = F.array(
-            *[
-                F.struct(
-                    F.array(*[F.lit(float(c)) for c in r["center"]]).alias("center"),
-                    F.lit(float(r["weight"])).alias("weight"),
-                    F.lit(float(r["scale"])).alias("scale"),
-                )
-                for r in sorted(rows, key=lambda r: r["mode_id"])
-            ]
-        )
-        scored = points.withColumn("_terms", _mode_terms(literal, x)).withColumn("_top", F.array_max("_terms"))
-        total = F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + F.exp(t - F.col("_top")))
+        names = [f"_t{i}" for i in range(len(rows))]
+        ordered = sorted(rows, key=lambda r: r["mode_id"])
+        scored = points.select("*", *[_literal_term(m, x).alias(n) for n, m in zip(names, ordered)])
+        scored = scored.withColumn("_top", F.greatest(*names) if len(names) > 1 else F.col(names[0]))
+        total = reduce(lambda a, b: a + b, [F.exp(F.col(n) - F.col("_top")) for n in names])
         return scored.select(key, (F.col("_top") + F.ln(total)).alias("log_density"))
     met = pair_with_blocks(points.select(key, x), slim, key="mode_id", spread=key)
-    parts = met.select(key, _mode_terms(F.col("_options"), x).alias("_terms"))
-    parts = parts.withColumn("_top", F.array_max("_terms")).select(
-        key, "_top", F.aggregate("_terms", F.lit(0.0), lambda acc, t: acc + F.exp(t - F.col("_top"))).alias("_sum")
-    )
+    parts = met.select(key, _max_and_sum(_mode_terms(F.col("_options"), x)).alias("_p"))
     # One short list per point: as many entries as there are blocks.
-    merged = parts.groupBy(key).agg(F.max("_top").alias("_max"), F.collect_list(F.struct("_top", "_sum")).alias("_p"))
-    total = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p["_sum"] * F.exp(p["_top"] - F.col("_max")))
-    return merged.select(key, (F.col("_max") + F.ln(total)).alias("log_density"))
+    merged = parts.groupBy(key).agg(F.collect_list("_p").alias("_ps"))
+    top = F.array_max(F.transform("_ps", lambda p: p["top"]))
+    total = let(
+        top, lambda t: t + F.ln(F.aggregate("_ps", F.lit(0.0), lambda acc, p: acc + p["sum"] * F.exp(p["top"] - t)))
+    )
+    return merged.select(key, total.alias("log_density"))
 
 
 def standard_normal_log_density(points: DataFrame, key: str = "id", x: str = "x") -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pollwright.functions.scale import null_safe_join
@@ -18,51 +16,61 @@ def attach_electors(pres: DataFrame, house: DataFrame) -> DataFrame:
     return joined.withColumn("electors", F.coalesce("electors", F.lit(0)) + 2 + dc)
 
 
-def carry_forward(main: DataFrame, offsets: Sequence[int] = (0, 2, 4)) -> DataFrame:
-    """Each regular row once per session of its term.
+def _backward(year_class: str = "year_class") -> Column:
+    return F.pmod(F.col(year_class) - F.col("class"), F.lit(3))
 
-    ``election_year`` keeps the year of the vote and ``election_cur`` the distance from it.
-    """
-    return (
-        main.withColumn("election_year", F.col("year"))
-        .withColumn("election_cur", F.explode(F.array(*[F.lit(o) for o in offsets])))
-        .withColumn("year", F.col("year") + F.col("election_cur"))
-    )
+
+def _original_year(year: Column) -> Column:
+    """Year of the regular election whose term a special election of ``year`` cuts."""
+    return year - F.pmod(year, F.lit(2)) - 2 * _backward()
 
 
 def special_terms(special: DataFrame) -> DataFrame:
     """Distance to the class's regular year both ways, and the year of the term it cuts."""
-    back = F.pmod(F.col("year_class") - F.col("class"), F.lit(3))
     return (
         special.withColumn("class_diff", F.pmod(F.col("class") - F.col("year_class"), F.lit(3)))
-        .withColumn("class_diff_backward", back)
-        .withColumn("original_year", _original_year())
+        .withColumn("class_diff_backward", _backward())
+        .withColumn("original_year", _original_year(F.col("year")))
     )
 
 
-def _original_year():
-    year = F.col("year")
-    return year - F.pmod(year, F.lit(2)) - 2 * F.col("class_diff_backward")
-
-
-def carry_special(special: DataFrame) -> DataFrame:
-    """Special rows for the rest of the term: one more copy two years on if the class is up
-    in four years."""
-    offsets = F.when(F.col("class_diff") == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+def _carry(df: DataFrame, offsets: Column) -> DataFrame:
     return (
-        special_terms(special)
-        .withColumn("election_year", F.col("year"))
+        df.withColumn("election_year", F.col("year"))
         .withColumn("election_cur", F.explode(offsets))
         .withColumn("year", F.col("year") + F.col("election_cur"))
-        .withColumn("original_year", _original_year())
     )
 
 
+def _regular_offsets() -> Column:
+    return F.array(F.lit(0), F.lit(2), F.lit(4))
+
+
+def _special_offsets() -> Column:
+    """One more session if the class is up in four years, none if it is up in two."""
+    class_diff = F.pmod(F.col("class") - F.col("year_class"), F.lit(3))
+    return F.when(class_diff == 2, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+
+
+def carry_forward(main: DataFrame) -> DataFrame:
+    """Each regular row once per session of its term.
+
+    ``election_year`` keeps the year of the vote and ``election_cur`` the distance from it.
+    """
+    return _carry(main, _regular_offsets())
+
+
+def carry_special(special: DataFrame) -> DataFrame:
+    """Special rows for the rest of the term they fill."""
+    carried = _carry(special_terms(special), _special_offsets())
+    return carried.withColumn("original_year", _original_year(F.col("year")))
+
+
 def drop_superseded(main_carried: DataFrame, special: DataFrame) -> DataFrame:
     """Remove carried regular rows from the year in which a special election cut their term.
 
     Only the earliest special year of each (state, class, term) matters, so the special
-    side is reduced to that before the anti join.
+    side is reduced to that before the anti join. Rows marked ``actually_special`` stay.
     """
     cuts = (
         special_terms(special)
@@ -73,7 +81,8 @@ def drop_superseded(main_carried: DataFrame, special: DataFrame) -> DataFrame:
     )
     return main_carried.join(
         cuts,
-        (F.col("state") == F.col("_state"))
+        ~F.col("actually_special")
+        & (F.col("state") == F.col("_state"))
         & (F.col("class") == F.col("_class"))
         & (F.col("election_year") == F.col("_term"))
         & (F.col("year") >= F.col("_cut")),
@@ -81,6 +90,16 @@ def drop_superseded(main_carried: DataFrame, special: DataFrame) -> DataFrame:
     )
 
 
+def carry_terms(rows: DataFrame, special: DataFrame) -> DataFrame:
+    """Regular and special rows carried in one pass over ``rows``, superseded terms removed.
+
+    The same rows as ``drop_superseded(carry_forward(regular), special)`` and
+    ``carry_special(special)`` together.
+    """
+    offsets = F.when(F.col("actually_special"), _special_offsets()).otherwise(_regular_offsets())
+    return drop_superseded(_carry(rows, offsets), special)
+
+
 def align_nearest(surveys: DataFrame, elections: DataFrame, date: str = "date", year: str = "year") -> DataFrame:
     """Each election row with the survey nearest to 1 November of its year, the earlier on ties.
 

@@ -16,8 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollwright.functions.columns import digest, key_text, unit_interval
-from pollwright.functions.scale import null_safe_join
+from pollwright.functions.columns import digest, group_key, key_text, unit_interval
 
 
 def _explode_draws(df: DataFrame, race: Sequence[str], n: int, seed: int, *extra: Column) -> DataFrame:
@@ -59,37 +58,44 @@ def vote_slices(
     tickets = (
         df.groupBy(*race, *ticket)
         .agg(F.sum(votes).alias("votes"), F.max(total).alias("_total"))
+        .withColumn("_race", group_key(race))
         .withColumn("_at", F.md5(F.concat_ws("|", *key_text(ticket))))
         .withColumn("_block", F.substring("_at", 1, 3))
     )
-    in_race = Window.partitionBy(*race)
+    in_race = Window.partitionBy("_race")
     earlier = in_race.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        tickets.groupBy(*race, "_block")
+        tickets.groupBy("_race", "_block")
         .agg(F.sum("votes").alias("_votes"), F.max("votes").alias("_top"), F.max("_total").alias("_max_total"))
         .select(
-            *race,
+            "_race",
             "_block",
             F.coalesce(F.sum("_votes").over(earlier), F.lit(0)).alias("_start"),
             F.sum("_votes").over(in_race).alias("race_votes"),
             F.max("_top").over(in_race).alias("_top"),
-            F.max("_max_total").over(in_race).alias("race_total"),
+            F.max("_max_total").over(in_race).alias("_race_total"),
         )
     )
+    # One partitioning serves the join and the window. Its size is set because the draws that
+    # follow multiply the work of every row, which a size-based merge of partitions ignores.
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = tickets.repartition(width, "_race", "_block")
     inside = (
-        Window.partitionBy(*race, "_block")
+        Window.partitionBy("_race", "_block")
         .orderBy("_at", *ticket)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = F.col("_start") + F.sum("votes").over(inside)
-    return null_safe_join(tickets, blocks, [*race, "_block"]).select(
+    return spread.join(blocks, ["_race", "_block"]).select(
         *race,
         *ticket,
         "votes",
         (upto - F.col("votes")).alias("below"),
         upto.alias("upto"),
         "race_votes",
-        "race_total",
+        # The ticket's own total changes nothing here; using it keeps both branches on the
+        # same ticket aggregate, so that Spark computes it once.
+        F.greatest("_race_total", "_total").alias("race_total"),
         (F.col("votes") == F.col("_top")).cast("int").alias("count_win"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pollwright.operators.aggregates import seat_counts
-from pollwright.operators.joins import attach_electors, carry_forward, carry_special, drop_superseded
+from pollwright.operators.joins import attach_electors, carry_terms
 from pollwright.operators.lottery import draw_electors, draw_winners, vote_slices
 from pollwright.operators.results import (
     drop_zero_votes,
@@ -16,9 +16,7 @@ from pollwright.operators.results import (
     fix_unopposed,
     party_major,
     senate_class_columns,
-    split_special,
     state_district,
-    union_results,
 )
 
 HOUSE_RACE = ["year", "state_district"]
@@ -55,9 +53,7 @@ def senate_current(df: DataFrame) -> DataFrame:
     rows = senate_class_columns(rows.withColumn("class", F.col("class").cast("int")))
     carried = ["state", "year_class", "actually_special"]
     slices = vote_slices(rows, SENATE_RACE, ["candidate", "party_simplified", *carried])
-    regular, special = split_special(slices)
-    regular = drop_superseded(carry_forward(regular), special)
-    return effective_year(union_results(regular, carry_special(special)))
+    return effective_year(carry_terms(slices, rows.where("actually_special")))
 
 
 def senate_winners(df: DataFrame, n: int = 200, seed: int = 42, undervote: str = "none") -> DataFrame:
