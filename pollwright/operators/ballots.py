@@ -2,8 +2,9 @@
 
 A ballot is a row with ``voter_id`` and ``scores``, an array with one score per option. Every
 function takes ``race``, the columns that tell elections apart (none by default). Ties always
-go to the lower option index. Counts are plain group-bys on (race, option): ballots are added
-up map-side, so one huge race costs no more than many small ones.
+go to the lower option index. Counts are plain group-bys: ballots are added up map-side, so
+one huge race costs no more than many small ones. Where all ballots have the same number of
+options, say so with ``n_options``: the counts are then compiled arithmetic.
 """
 
 from __future__ import annotations

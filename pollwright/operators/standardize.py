@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pollwright.functions.columns import clean_text, extract, to_number, to_votes, zero_pad
+from pollwright.functions.columns import as_flag, clean_text, extract, to_number, to_votes, zero_pad
 from pollwright.functions.scale import with_group_stats
 from pollwright.operators.results import require_columns
 from pollwright.sources.mappings import DEFAULT_MAPPINGS
@@ -56,7 +56,8 @@ def standardize_by_mapping(df: DataFrame, office: str, mappings: Mapping = DEFAU
     standard = df.select(*[c for c in columns if c is not None])
     present = set(standard.columns)
     return standard.withColumns(
-        {c: to_votes(c) for c in ("candidatevotes", "totalvotes") if c in present}
+        {c: F.col(c).try_cast("int") for c in ("year",) if c in present}
+        | {c: to_votes(c) for c in ("candidatevotes", "totalvotes") if c in present}
         | {
             c: F.upper(F.coalesce(F.col(c).cast("string"), F.lit("")))
             for c in ("state", "state_po", "candidate", "party")
@@ -110,10 +111,18 @@ def import_election(df: DataFrame, office: str) -> DataFrame:
     """Any result file to the office's standard schema."""
     check_office(office)
     shaped = standardize_new_format(df, office) if is_new_format(df) else standardize_old_format(df, office)
-    cleaned = shaped.withColumns({c: _text_or(shaped, c, "") for c in ("party", "candidate", "state")})
+    cleaned = shaped.withColumns(
+        {c: _text_or(shaped, c, "") for c in ("party", "candidate", "state")} | _typed(shaped)
+    )
     return require_columns(cleaned, office).withColumns({c: to_votes(c) for c in ("candidatevotes", "totalvotes")})
 
 
+def _typed(df: DataFrame) -> dict[str, Column]:
+    """Types of the columns that a CSV delivers as text."""
+    whole = {c: F.col(c).try_cast("int") for c in ("year", "class") if c in df.columns}
+    return whole | ({"writein": as_flag("writein")} if "writein" in df.columns else {})
+
+
 def derive_totalvotes(df: DataFrame, keys=("year", "state", "district")) -> DataFrame:
     """Race total as the sum of its candidates, where the file has none."""
     if "totalvotes" in df.columns:

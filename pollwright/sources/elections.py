@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pollwright.operators.results import filter_in
+from pollwright.operators.standardize import import_election, standardize_by_mapping
+from pollwright.sources.mappings import DEFAULT_MAPPINGS, read_mapping
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
@@ -39,3 +41,14 @@ def read_senate(spark: SparkSession, path: str, years=None, states=None) -> Data
 def read_house(spark: SparkSession, path: str, years=None, states=None, districts=None) -> DataFrame:
     """House files name the party in ``party``."""
     return _results(read_csv_text(spark, path), "party", years, states, districts)
+
+
+def read_election(spark: SparkSession, path: str, office: str) -> DataFrame:
+    """A result file of either generation in the office's standard schema."""
+    return import_election(read_csv_text(spark, path), office)
+
+
+def read_election_by_mapping(spark: SparkSession, path: str, office: str, mapping_path: str | None = None) -> DataFrame:
+    """A result file standardised by a mapping document, the built-in one by default."""
+    mappings = read_mapping(spark, mapping_path) if mapping_path else DEFAULT_MAPPINGS
+    return standardize_by_mapping(read_csv_text(spark, path), office, mappings)
