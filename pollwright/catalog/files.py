@@ -135,8 +135,9 @@ def _compass_file(t) -> str:
             )
         ).alias("dimensions")
     )
-    document = modes.select(F.struct(F.struct("*").alias("target_distribution")).alias("model_config")).join(
-        F.broadcast(dimensions)
+    document = modes.select(
+        F.struct(F.struct("*").alias("target_distribution")).alias("model_config"),
+        dimensions.scalar().alias("dimensions"),
     )
     path = scratch_path(t.spark, "compass")
     document.select(F.struct("dimensions", "model_config").alias("political_compass")).write.json(path)

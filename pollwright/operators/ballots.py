@@ -261,9 +261,16 @@ def instant_runoff(df: DataFrame, race: Sequence[str] = (), n_options: int | Non
     either closes a race (more than half of all its ballots) or drops its weakest option.
     The driver loops over rounds, at most one less than there are options.
     """
-    race = list(race)
+    return _settle(df, list(race), n_options).select(
+        *race, "winner", F.col("out").alias("elimination_order"), F.size("out").alias("rounds")
+    )
+
+
+def _settle(df: DataFrame, race: list[str], n_options: int | None) -> DataFrame:
+    """(race, ballots, options, out, winner) of every race."""
     rankings = materialize(
-        df.select(*race, preference_order("scores", n_options).alias("ranking"))
+        df.where(F.size("scores") > 0)
+        .select(*race, preference_order("scores", n_options).alias("ranking"))
         .groupBy(*race, "ranking")
         .agg(F.count(F.lit(1)).alias("n")),
         "rankings",
@@ -275,12 +282,9 @@ def instant_runoff(df: DataFrame, race: Sequence[str] = (), n_options: int | Non
     while True:
         open_races = state.where(F.col("winner").isNull())
         if open_races.isEmpty():
-            break
+            return done
         state = materialize(_runoff_round(rankings, open_races, race), "runoff")
         done = done.unionByName(state.where(F.col("winner").isNotNull()))
-    return done.select(
-        *race, "winner", F.col("out").alias("elimination_order"), F.size("out").alias("rounds")
-    )
 
 
 def _last_left() -> Column:
@@ -299,6 +303,7 @@ def _runoff_round(rankings: DataFrame, open_races: DataFrame, race: list[str]) -
         null_safe_join(rankings, open_races, keys)
         .groupBy(*keys, F.get(left_in, F.lit(0)).alias("option"))
         .agg(F.sum("n").alias("votes"))
+        .where(F.col("option").isNotNull())  # a shorter ballot can run out of options
     )
     # Options that nobody puts first still stand, with 0 votes.
     standing = open_races.select(
@@ -326,15 +331,14 @@ def method_results(df: DataFrame, race: Sequence[str] = (), n_options: int | Non
     For the instant runoff ``total`` is the round in which an option went out, null for those
     still standing at the end.
     """
-    runoff = instant_runoff(df, race, n_options)
-    width = df.groupBy(*race).agg(F.max(F.size("scores")).alias("_m"))
-    listed = null_safe_join(runoff, width, race) if race else runoff.join(F.broadcast(width))
-    place = F.array_position("elimination_order", F.col("option"))
-    runoff_rows = listed.withColumn("option", F.explode(F.sequence(F.lit(0), F.col("_m") - 1))).select(
+    listed = _settle(df, list(race), n_options).withColumn(
+        "option", F.explode(F.sequence(F.lit(0), F.col("options") - 1))
+    )
+    rows = listed.select(
         *race,
         F.lit("instant_runoff").alias("method"),
         "option",
-        F.nullif(place, F.lit(0)).cast("bigint").alias("total"),
+        F.nullif(F.array_position("out", F.col("option")), F.lit(0)).cast("bigint").alias("total"),
         (F.col("option") == F.col("winner")).alias("is_winner"),
     )
     tallies = {
@@ -343,7 +347,6 @@ def method_results(df: DataFrame, race: Sequence[str] = (), n_options: int | Non
         "borda": borda_count,
         "condorcet": condorcet,
     }
-    rows = runoff_rows
     for method, count in tallies.items():
         rows = rows.unionByName(
             count(df, race, n_options).select(*race, F.lit(method).alias("method"), "option", "total", "is_winner")

@@ -105,6 +105,14 @@ def test_without_race_and_single_option(spark):
     assert (one["winner"], one["rounds"]) == (0, 0)
 
 
+def test_runoff_of_short_and_empty_ballots(spark):
+    """Options beyond a short ballot are never its choice; it runs out and still counts in the total."""
+    df = table(spark, [[1, 2], [1, 2], [5, 4, 9], [5, 4, 9], [5, 4, 9], []])
+    (row,) = bal.instant_runoff(df, ["race"]).collect()
+    assert (row["winner"], row["elimination_order"]) == (2, [])
+    assert bal.instant_runoff(table(spark, [[]]), ["race"]).count() == 0
+
+
 def test_wrong_width_stops(spark):
     df = table(spark, [[1, 2], [1, 2, 3]])
     with pytest.raises(Exception, match="does not have 3 options"):
