@@ -78,8 +78,9 @@ _CLAMPED = [f"greatest({c}, 0)" for c in ("republicans", "independents", "democr
 @query(
     "normalize_shares",
     ["survey"],
-    f"""select date, round(republicans / s, 6) as republicans, round(independents / s, 6) as independents,
-               round(democrats / s, 6) as democrats from (select *, {' + '.join(_CLAMPED)} as s from survey) v""",
+    f"""select date, round(coalesce(republicans / nullif(s, 0), 0), 6) as republicans,
+               round(coalesce(independents / nullif(s, 0), 0), 6) as independents,
+               round(coalesce(democrats / nullif(s, 0), 0), 6) as democrats from (select *, {' + '.join(_CLAMPED)} as s from survey) v""",
 )
 def _(t):
     columns = ["republicans", "independents", "democrats"]
