@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from pollwright.session import materialize
 
+# Values that turn into columns stop being plannable beyond this; long forms have no such limit.
+MAX_COLUMNS = 10_000
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join where null keys match each other; the right keys are dropped.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwright.functions.columns import bin_index, share
-from pollwright.functions.scale import with_group_stats
+from pollwright.functions.scale import MAX_COLUMNS, bounded_rows, with_group_stats
 from pollwright.operators.results import presidential_years
 
 # The parties of the Senate picture, and of the House picture.
@@ -34,8 +34,11 @@ def votes_by_year_state(df: DataFrame) -> DataFrame:
 
 
 def party_values(df: DataFrame) -> list[str]:
-    """Distinct non-null parties in order, for the columns of a pivot."""
-    return [r["party"] for r in df.select("party").dropna().distinct().orderBy("party").collect()]
+    """Distinct non-null parties in order; they become column names, so they must be few."""
+    rows = bounded_rows(df.select("party").dropna().distinct(), MAX_COLUMNS)
+    if rows is None:
+        raise ValueError(f"more than {MAX_COLUMNS} parties; name those to pivot or use the long form")
+    return sorted(r["party"] for r in rows)
 
 
 def pivot_vote_shares(shares: DataFrame, parties: Sequence[str] | None = None, keys=("year", "state")) -> DataFrame:

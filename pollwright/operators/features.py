@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pollwright.functions.scale import running_sum
+from pollwright.functions.scale import MAX_COLUMNS, bounded_rows, running_sum
 
 UNKNOWN = "Unknown"
 
@@ -16,9 +16,6 @@ UNKNOWN = "Unknown"
 PARTY_ORDER = ["DEMOCRAT", "REPUBLICAN", "INDEPENDENT", "OTHER"]
 FOLDED_PARTIES = ["LIBERTARIAN", "GREEN"]
 
-# A wide table stops being plannable long before this; use label codes beyond it.
-MAX_ONE_HOT = 10_000
-
 
 def _category(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN))
@@ -53,10 +50,10 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted distinct values per column; they become column names, so they must be few."""
     fitted = {}
     for c in columns:
-        rows = df.select(_category(c).alias("value")).distinct().orderBy("value").limit(MAX_ONE_HOT + 1).collect()
-        if len(rows) > MAX_ONE_HOT:
-            raise ValueError(f"{c} has more than {MAX_ONE_HOT} values; use label_encode")
-        fitted[c] = [r["value"] for r in rows]
+        rows = bounded_rows(df.select(_category(c).alias("value")).distinct(), MAX_COLUMNS)
+        if rows is None:
+            raise ValueError(f"{c} has more than {MAX_COLUMNS} values; use label_encode")
+        fitted[c] = sorted(r["value"] for r in rows)
     return fitted
 
 
