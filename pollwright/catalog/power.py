@@ -27,9 +27,10 @@ def _u(keys: list[str], prefix: list[str] = ()) -> str:
 def _slices(source: str, race: list[str], ticket: list[str], votes: str, total: str) -> str:
     """Ticket slices of a source relation as CTE text ``tickets`` and ``slices``."""
     r, t = ", ".join(race), ", ".join(ticket)
-    at = "md5(concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), '')" for c in ticket) + "))"
+    text = ", ".join(f"coalesce(cast({c} as varchar), '')" for c in ticket)
+    order = ", ".join([f"substr(md5(concat_ws('|', {text})), 1, 3)"] + [f"{c} nulls first" for c in ticket])
     return f"""tickets as (select {r}, {t}, sum({votes}) as votes, max({total}) as total from {source} group by all),
-    slices as (select *, sum(votes) over (partition by {r} order by {at}, {t} rows unbounded preceding) as upto,
+    slices as (select *, sum(votes) over (partition by {r} order by {order} rows unbounded preceding) as upto,
                       sum(votes) over (partition by {r}) as race_votes, max(total) over (partition by {r}) as race_total,
                       case when votes = max(votes) over (partition by {r}) then 1 else 0 end as count_win
                from tickets)"""

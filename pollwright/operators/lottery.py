@@ -46,10 +46,10 @@ def vote_slices(
 ) -> DataFrame:
     """One row per ticket with its slice ``(below, upto]`` of the race's votes.
 
-    Rows of the same ticket are added first. The order inside a race is the md5 of the
-    ticket; its first three digits split even the largest race into up to 4,096 blocks, so
-    the window over a race sees only block sums and the window inside a block sees only a
-    small part of the race. The chances do not depend on the order.
+    Rows of the same ticket are added first. Inside a race tickets are ordered by the first
+    three md5 digits, then by the ticket itself. The digits split even the largest race into
+    up to 4,096 blocks, so the window over a race sees only block sums and the window inside
+    a block sees only a small part of the race. The chances do not depend on the order.
 
     Also gives ``race_total`` (largest total of the race), ``race_votes`` (sum of its
     candidates) and ``count_win`` (1 for the most votes, on all that tie).
@@ -59,8 +59,7 @@ def vote_slices(
         df.groupBy(*race, *ticket)
         .agg(F.sum(votes).alias("votes"), F.max(total).alias("_total"))
         .withColumn("_race", group_key(race))
-        .withColumn("_at", F.md5(F.concat_ws("|", *key_text(ticket))))
-        .withColumn("_block", F.substring("_at", 1, 3))
+        .withColumn("_block", F.substring(F.md5(F.concat_ws("|", *key_text(ticket))), 1, 3))
     )
     in_race = Window.partitionBy("_race")
     earlier = in_race.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +81,7 @@ def vote_slices(
     spread = tickets.repartition(width, "_race", "_block")
     inside = (
         Window.partitionBy("_race", "_block")
-        .orderBy("_at", *ticket)
+        .orderBy(*ticket)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = F.col("_start") + F.sum("votes").over(inside)

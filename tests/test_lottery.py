@@ -19,7 +19,7 @@ def uniform(seed, replicate, *keys):
 
 def expected(rows, race, n, seed, undervote="none"):
     """Winners of one race by a plain loop: walk the candidates until the die is covered."""
-    inside = sorted((r for r in rows if r[0] == race), key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    inside = sorted((r for r in rows if r[0] == race), key=lambda r: (hashlib.md5(r[1].encode()).hexdigest()[:3], r[1]))
     total = max(r[3] for r in inside)
     out = {}
     for i in range(n):
