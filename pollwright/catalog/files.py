@@ -112,7 +112,7 @@ def _(t):
 
 
 def _compass_file(t) -> str:
-    """One compass document built from the modes and regions of the tables."""
+    """One compass document: a dimension per nation, a mode per label, both summed up from the tables."""
     modes = t.modes.groupBy().agg(
         F.count(F.lit(1)).cast("int").alias("n_modes"),
         F.transform(
@@ -124,16 +124,14 @@ def _compass_file(t) -> str:
         ).alias("mode_weights"),
         F.lit(0.15).alias("mode_scale"),
     )
-    dimensions = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy().agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    F.replace(F.lower(F.concat_ws("_", "r_name", "n_name")), F.lit(" "), F.lit("_")).alias("name"),
-                    F.col("r_name").alias("description"),
-                    F.array(F.lit(-1.0), F.col("n_nationkey").cast("double")).alias("range"),
-                )
-            )
-        ).alias("dimensions")
+    named = F.replace(F.lower(F.concat_ws("_", "r_name", "n_name")), F.lit(" "), F.lit("_"))
+    per_nation = t.customer.groupBy("c_nationkey").agg(F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"))
+    dimensions = (
+        per_nation.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(named.alias("name"), F.col("r_name").alias("description"), F.array("low", "high").alias("range"))
+        .groupBy()
+        .agg(F.array_sort(F.collect_list(F.struct("name", "description", "range"))).alias("dimensions"))
     )
     document = modes.select(
         F.struct(F.struct("*").alias("target_distribution")).alias("model_config"),
@@ -161,8 +159,10 @@ def _(t):
     [],
     """select name, description, low, high,
               array_to_string(list_transform(string_split(name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') as label
-       from (select replace(lower(r_name || '_' || n_name), ' ', '_') as name, r_name as description, -1e0 as low,
-                    cast(n_nationkey as double) as high from nation join region on n_regionkey = r_regionkey) d""",
+       from (select replace(lower(r_name || '_' || n_name), ' ', '_') as name, r_name as description,
+                    min(c_acctbal) as low, max(c_acctbal) as high
+             from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+             group by r_name, n_name) d""",
 )
 def _(t):
     dims = compass.read_dimensions(t.spark, _compass_file(t))

@@ -401,7 +401,8 @@ def nearest_option(
     """(key, option, distance): the option closest to each point, the lower one on ties.
 
     A short list of options travels with the plan as plain arithmetic and each row is settled
-    on its own; a longer list is met block by block and the best of all blocks is kept.
+    on its own; a longer list is met block by block and the best of all blocks is kept, for
+    which ``key`` must be unique.
     """
     slim = options.select(F.col(option).alias("option"), F.col(center).alias("center"))
     rows = bounded_rows(slim, LITERAL_OPTIONS)

@@ -50,7 +50,8 @@ def mixture_log_density(points: DataFrame, modes: DataFrame, key: str = "id", x:
     """(key, log_density) under a Gaussian mixture with spherical modes.
 
     A row needs only itself and the modes, so nothing is shuffled. For mixtures beyond
-    ``LITERAL_MODES`` the sum is built from one (max, sum) pair per block of modes.
+    ``LITERAL_MODES`` the sum is built from one (max, sum) pair per block of modes; ``key``
+    must then be unique.
     """
     slim = modes.select("mode_id", "center", "weight", "scale").where(F.col("weight") > 0)
     rows = bounded_rows(slim, LITERAL_MODES)

@@ -82,6 +82,16 @@ def test_hot_race_in_the_lottery(hot, small_partitions):
     assert len(per_task) > 4 and max(r["count"] for r in per_task) < 50_000 / 2
 
 
+def test_hot_category_in_label_codes(spark, small_partitions):
+    word = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("w"), (F.col("id") % 500).cast("string")))
+    df = spark.range(0, 90_000, 1, 8).select("id", word.alias("c"))
+    coded = features.label_encode(df, features.fit_labels(df, ["c"]))
+    assert "skew=true" in final_plan(coded)
+    codes = coded.groupBy("c").agg(F.min("c_code").alias("a"), F.max("c_code").alias("b")).orderBy("c").collect()
+    assert [(r["a"], r["b"]) for r in codes] == [(i, i) for i in range(len(codes))]
+    assert coded.count() == 90_000
+
+
 def test_hot_group_in_running_sum(hot, small_partitions):
     df = running_sum(hot, ["race"], ["candidate"], F.lit(1), "place").where("race = -1")
     assert df.agg(F.min("place"), F.max("place"), F.count_distinct("place")).first()[:] == (1, 50_000, 50_000)
