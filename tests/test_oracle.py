@@ -8,6 +8,7 @@ import __spark_entry__ as entry_module
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
+NOT_IN_PLANS = ("Python", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
 QUERIES = entry_module.queries()
 ORACLES = entry_module.oracle_sql()
 
@@ -19,7 +20,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
-    assert differences(QUERIES[name](spark, SF), con, ORACLES[name]) is None
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [op for op in NOT_IN_PLANS if op in plan]
+    assert differences(df, con, ORACLES[name]) is None
 
 
 def test_every_query_has_sql():
