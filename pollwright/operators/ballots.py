@@ -298,28 +298,28 @@ def _runoff_round(rankings: DataFrame, open_races: DataFrame, race: list[str]) -
     if not race:
         rankings = rankings.withColumn("_all", F.lit(0))
         open_races = open_races.withColumn("_all", F.lit(0))
+    # These are the same on all rows of a race, so grouping by them too spares a join back.
+    of_race = [*keys, "ballots", "options", "out"]
     left_in = F.filter("ranking", lambda o: ~F.array_contains("out", o))
     first_choices = (
         null_safe_join(rankings, open_races, keys)
-        .groupBy(*keys, F.get(left_in, F.lit(0)).alias("option"))
-        .agg(F.sum("n").alias("votes"))
+        .select(*of_race, F.get(left_in, F.lit(0)).alias("option"), F.col("n").alias("votes"))
         .where(F.col("option").isNotNull())  # a shorter ballot can run out of options
     )
     # Options that nobody puts first still stand, with 0 votes.
     standing = open_races.select(
-        *keys,
+        *of_race,
         F.explode(F.array_except(F.sequence(F.lit(0), F.col("options") - 1), F.col("out"))).alias("option"),
         F.lit(0).cast("bigint").alias("votes"),
     )
-    votes = first_choices.unionByName(standing).groupBy(*keys, "option").agg(F.sum("votes").alias("votes"))
-    ends = votes.groupBy(*keys).agg(
+    votes = first_choices.unionByName(standing).groupBy(*of_race, "option").agg(F.sum("votes").alias("votes"))
+    ends = votes.groupBy(*of_race).agg(
         F.min(F.struct((-F.col("votes")).alias("v"), "option")).alias("top"),
         F.min(F.struct("votes", "option")).alias("low"),
     )
     decided = F.col("top.v") * -2 > F.col("ballots")
     return (
-        null_safe_join(open_races, ends, keys)
-        .withColumn("out", F.when(decided, F.col("out")).otherwise(F.array_append("out", F.col("low.option"))))
+        ends.withColumn("out", F.when(decided, F.col("out")).otherwise(F.array_append("out", F.col("low.option"))))
         .withColumn("winner", F.when(decided, F.col("top.option")).otherwise(_last_left()))
         .select(*race, "ballots", "options", "out", "winner")
     )
