@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from pollwright.catalog.registry import query, rounded
 from pollwright.operators import aggregates as agg
-from pollwright.operators import results as res
 from pollwright.session import scratch_path
-from pollwright.sources import compass, elections, mappings, sinks, surveys
+from pollwright.sources import compass, elections, sinks, surveys
 
 _SHARES = ["republicans", "independents", "democrats"]
 

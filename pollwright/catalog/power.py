@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from pollwright.catalog.registry import query, rounded
 from pollwright.operators import aggregates as agg
 from pollwright.operators import joins, lottery
