@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,6 @@ ADAPTIVE = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_scratch: tempfile.TemporaryDirectory | None = None
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Turn on the adaptive settings that the operators count on."""
@@ -27,16 +24,12 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    global _local_scratch
+    """The shared folder named in ``spark.checkpoint.dir``; where that is unset, a folder in
+    the warehouse, which all executors share as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if _local_scratch is None:
-        _local_scratch = tempfile.TemporaryDirectory(prefix="pollwright-")
-    return _local_scratch.name
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
