@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import pollwright.llm
 
@@ -48,6 +49,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, also where ``body`` uses it inside a loop."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in small slices, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -5,11 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pollwright.llm import byte_cnn, packing, quality_lines, simhash_cover, token_counts
+from pollwright.llm import (
+    byte_cnn,
+    fingerprints,
+    line_runs,
+    link_trust,
+    mixing,
+    packing,
+    quality_lines,
+    sharding,
+    simhash_cover,
+    token_counts,
+)
 from pollwright.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from pollwright.session import tune
 
 
+SHARD_BYTES = 1 << 20
+MIX_TARGETS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
+URL_RULES = (
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+)
+
 @query("op1_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -17,12 +38,80 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.quality_rules(docs, model)
 
 
+@query("op2_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_likeness(table(tune(spark), sf_dir, "documents"))
+
+
 @query("op3_token_counts")
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.prefix_token_counts(table(spark, sf_dir, "documents"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+@query(
+    "op4_sharding",
+    f"""
+    with sizes as (
+        select doc_id, octet_length(encode(coalesce(text, ''))) as n_bytes from documents
+    ), numbered as (
+        select *, row_number() over (partition by doc_id, n_bytes) - 1 as copy from sizes
+    ), hashed as (
+        select *, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), 'null') || ':' || n_bytes || ':' || copy),
+                                      1, 15) as bigint) as hash
+        from numbered
+    ), levels as (
+        select h.doc_id, h.n_bytes, h.copy, d.depth, hash >> (60 - d.depth) as prefix
+        from hashed h, (select unnest(range(0, 61)) as depth) d where h.n_bytes <= {SHARD_BYTES}
+    ), buckets as (
+        select depth, prefix, sum(n_bytes) as shard_bytes, count(*) as shard_docs
+        from levels group by depth, prefix having sum(n_bytes) <= {SHARD_BYTES}
+    ), leaves as (
+        select doc_id, n_bytes, copy, min(depth) as depth
+        from levels join buckets using (depth, prefix) group by doc_id, n_bytes, copy
+    )
+    select l.doc_id, l.n_bytes, case when depth = 0 then '' else lpad(to_base(prefix, 2), cast(depth as int), '0') end as shard,
+           cast(depth as int) as depth, cast(shard_bytes as bigint) as shard_bytes, shard_docs
+    from leaves l join levels using (doc_id, n_bytes, copy, depth) join buckets using (depth, prefix)
+    union all
+    select doc_id, n_bytes, lpad(to_base(hash, 2), 60, '0'), 60, n_bytes, 1 from hashed where n_bytes > {SHARD_BYTES}""",
+)
+def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.extendible_shards(table(tune(spark), sf_dir, "documents"), SHARD_BYTES).drop("copy")
+
+
+@query("op5_mixing")
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tune(spark), sf_dir, "documents")
+    model = mixing.fit_domains(docs, mixing.quality_domains(table(spark, sf_dir, "labels")))
+    rates = mixing.mixing_rates(docs, model, MIX_TARGETS)
+    chances = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return rates.select("doc_id", "tokens", *chances, "rate")
+
+
+@query(
+    "op6_line_dedup",
+    """
+    with lines as (
+        select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos from documents
+    ), keyed as (
+        select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
+    ), frequent as (
+        select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+    ), marked as (
+        select doc_id, pos, line, key in (select key from frequent) as dropped from keyed
+    )
+    select doc_id, count(*) as n_lines, cast(count(*) filter (dropped) as bigint) as n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
+    from marked group by doc_id""",
+)
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.dedup_lines(table(tune(spark), sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op7_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -34,6 +123,11 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.score_quality(docs, byte_cnn.fit_byte_cnn(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op9_url_filters")
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge_urls(table(tune(spark), sf_dir, "pages"), URL_RULES)
+
+
 @query("op10_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_duplicates(table(tune(spark), sf_dir, "documents"))
