@@ -7,7 +7,6 @@ expected tokens per domain meet the targets.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -119,23 +118,30 @@ def fit_rates(
         F.sum("tokens").alias("total"),
     ).first()
     total = float(sums["total"] or 0)
-    rate = F.lit(1.0)
     if not total:
-        return rate, 0.0
+        return F.lit(1.0), 0.0
     gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
     inverse = np.linalg.pinv(gram + np.eye(k) * 1e-9 * total)
     weights = np.array([targets[d] for d in domains], float)
     wanted = weights / weights.sum() * total
-    error = math.inf
-    for _ in range(steps):
+    moves: list[list[float]] = []
+    while True:
+        rate = _rate(p, moves)
         now = members.agg(*[F.sum(F.col("tokens") * rate * p[i]).alias(f"t{i}") for i in range(k)]).first()
         missing = wanted - np.array([now[f"t{i}"] for i in range(k)], float)
         error = float(np.abs(missing).sum() / total)
-        if error <= tolerance:
-            break
-        move = inverse @ missing
-        rate = F.greatest(F.lit(0.0), rate + sum(p[i] * float(move[i]) for i in range(k)))
-    return rate, error
+        if error <= tolerance or len(moves) == steps:
+            return rate, error
+        moves.append((inverse @ missing).tolist())
+
+
+def _rate(p: list[Column], moves: list[list[float]]) -> Column:
+    """The rate after all moves, each cut at 0."""
+    if not moves:
+        return F.lit(1.0)
+    table = F.array(*[F.array(*[F.lit(x) for x in m]) for m in moves])
+    step = lambda r, m: F.greatest(F.lit(0.0), r + sum(x * F.get(m, F.lit(i)) for i, x in enumerate(p)))
+    return F.aggregate(table, F.lit(1.0), step)
 
 
 def mixing_rates(docs: DataFrame, model: DomainModel, targets: Mapping[str, float]) -> DataFrame:
