@@ -13,7 +13,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from pollwright.catalog import files, modelling, power, results, voting  # noqa: F401  (they register)
+from pollwright.catalog import ballot_queries, files, modelling, power, results  # noqa: F401  (they register)
 from pollwright.catalog.fixtures import Tables
 from pollwright.catalog.registry import QUERIES
 from pollwright.plans import control
@@ -53,8 +53,8 @@ def main() -> None:
     # The lotteries at the replicate count of a full run.
     runs["house_control_200"] = lambda s, d: control.house_control(Tables(s, d).house, REPLICATES)
     runs["senate_control_200"] = lambda s, d: control.senate_control(Tables(s, d).senate, REPLICATES)
-    runs["elector_lottery_20"] = lambda s, d: control.elector_lottery(
-        Tables(s, d).president, Tables(s, d).house, REPLICATES // 10
+    runs["elector_lottery_200"] = lambda s, d: control.elector_lottery(
+        Tables(s, d).president, Tables(s, d).house, REPLICATES
     )
 
     times = {}

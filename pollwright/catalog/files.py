@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from pollwright.catalog.registry import query, rounded
-from pollwright.operators import aggregates as agg
 from pollwright.session import scratch_path
 from pollwright.sources import compass, elections, sinks, surveys
 
 _SHARES = ["republicans", "independents", "democrats"]
+_LEANERS = {"Republicans/Republican leaners": "republicans", "Democrats/Democratic leaners": "democrats"}
 
 
 def _poll_file(t, titles: dict[str, str]) -> str:
@@ -44,9 +46,7 @@ def _(t):
               'polls' as source from survey""",
 )
 def _(t):
-    path = _poll_file(
-        t, {"Republicans/Republican leaners": "republicans", "Democrats/Democratic leaners": "democrats"}
-    )
+    path = _poll_file(t, _LEANERS)
     polls = surveys.read_leaner_survey(t.spark, path, source="polls")
     return rounded(polls, "republican_leaners", "democratic_leaners")
 
@@ -92,22 +92,51 @@ def _(t):
 
 @query(
     "export_bundle",
-    ["elections"],
-    """select 'by_year' as dataset, cast(year as varchar) as key, party, cast(sum(votes) as bigint) as votes
-       from elections where party is not null group by all
-       union all
-       select 'by_state', state, party, cast(sum(votes) as bigint) from elections where party is not null group by all""",
+    ["elections", "survey"],
+    """select 'surveys/party_identification' as dataset, cast(date as varchar) as key, 'republicans' as name,
+              round(republicans, 6) as value from survey
+       union all select 'surveys/party_identification', cast(date as varchar), 'independents', round(independents, 6) from survey
+       union all select 'surveys/party_identification', cast(date as varchar), 'democrats', round(democrats, 6) from survey
+       union all select 'surveys/leaners', cast(date as varchar), 'republican_leaners', round(republicans, 6) from survey
+       union all select 'surveys/leaners', cast(date as varchar), 'democratic_leaners', round(democrats, 6) from survey
+       union all select 'elections/presidential/by_year', cast(year as varchar), party, cast(sum(votes) as double)
+                 from elections where party is not null group by all
+       union all select 'elections/presidential/by_state', state, party, cast(sum(votes) as double)
+                 from elections where party is not null group by all
+       union all select 'elections/presidential/vote_shares', year || '/' || state, party,
+                        round(votes / cast(total_votes as double) * 100, 6) from elections
+       union all select 'elections/senate/by_year', cast(year as varchar), party, cast(sum(votes) as double)
+                 from elections where party is not null and state like '%1%' group by all""",
 )
 def _(t):
+    """All six datasets written by the exporter and read back."""
+    polls = surveys.read_party_survey(t.spark, _poll_file(t, surveys.PARTY_TITLES))
+    leaners = surveys.read_leaner_survey(t.spark, _poll_file(t, _LEANERS))
+    # The files of the two offices: all races, and those of some states.
+    senate = t.elections.where(F.col("state").like("%1%"))
     path = scratch_path(t.spark, "bundle")
-    frames = {"by_year": agg.votes_by_year(t.elections), "by_state": agg.votes_by_state(t.elections)}
-    sinks.export_bundle(frames, path)
-    by_year = t.spark.read.schema("year int, party string, votes bigint").json(f"{path}/by_year")
-    by_state = t.spark.read.schema("state string, party string, votes bigint").json(f"{path}/by_state")
-    columns = ["party", "votes"]
-    return by_year.select(F.lit("by_year").alias("dataset"), F.col("year").cast("string").alias("key"), *columns).union(
-        by_state.select(F.lit("by_state"), "state", *columns)
-    )
+    bundle = sinks.visualization_bundle(polls, leaners, t.elections, senate)
+    sinks.export_bundle(bundle, path)
+
+    def rows(dataset: str, key, *pairs):
+        schema = bundle[dataset].schema
+        named = F.array(*[F.struct(n.alias("name"), v.cast("double").alias("value")) for n, v in pairs])
+        back = t.spark.read.schema(schema).json(f"{path}/{dataset}")
+        cells = back.select(F.lit(dataset).alias("dataset"), key.cast("string").alias("key"), F.explode(named).alias("c"))
+        return cells.select("dataset", "key", "c.name", F.col("c.value").alias("value"))
+
+    column = lambda *names: [(F.lit(n), F.col(n)) for n in names]
+    votes = (F.col("party"), F.col("votes"))
+    place = F.concat_ws("/", F.col("year").cast("string"), "state")
+    parts = [
+        rows("surveys/party_identification", F.col("date"), *column(*_SHARES)),
+        rows("surveys/leaners", F.col("date"), *column("republican_leaners", "democratic_leaners")),
+        rows("elections/presidential/by_year", F.col("year"), votes),
+        rows("elections/presidential/by_state", F.col("state"), votes),
+        rows("elections/presidential/vote_shares", place, (F.col("party"), F.col("vote_share"))),
+        rows("elections/senate/by_year", F.col("year"), votes),
+    ]
+    return rounded(reduce(lambda a, b: a.unionByName(b), parts), "value")
 
 
 def _compass_file(t) -> str:
@@ -115,7 +144,7 @@ def _compass_file(t) -> str:
     modes = t.modes.groupBy().agg(
         F.count(F.lit(1)).cast("int").alias("n_modes"),
         F.transform(
-            F.array_sort(F.collect_list(F.struct("mode_id", F.array("c0", "c1", "c2", "c3").alias("c")))),
+            F.array_sort(F.collect_list(F.struct("mode_id", F.col("center").alias("c")))),
             lambda m: m["c"],
         ).alias("mode_centers"),
         F.transform(
@@ -143,14 +172,15 @@ def _compass_file(t) -> str:
 
 @query(
     "read_modes",
-    ["modes"],
-    """select cast(row_number() over (order by mode_id) - 1 as int) as mode_id, round(c0, 6) as c0, round(c3, 6) as c3,
-              round(n / sum(n) over (), 6) as weight, 0.15e0 as scale from modes""",
+    ["mode_long"],
+    """select cast(dense_rank() over (order by mode_id) - 1 as int) as mode_id, cast(i - 1 as int) as dim,
+              round(c, 6) as c, round(n / (sum(case when i = 1 then n end) over ()), 6) as weight, 0.15e0 as scale
+       from mode_long""",
 )
 def _(t):
     modes = compass.read_modes(t.spark, _compass_file(t))
-    flat = modes.select("mode_id", F.col("center")[0].alias("c0"), F.col("center")[3].alias("c3"), "weight", "scale")
-    return rounded(flat, "c0", "c3", "weight")
+    flat = modes.select("mode_id", F.posexplode("center").alias("dim", "c"), "weight", "scale")
+    return rounded(flat, "c", "weight")
 
 
 @query(

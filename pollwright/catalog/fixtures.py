@@ -20,44 +20,54 @@ VIEWS = {
                cast(sum(count(*)) over (partition by year(o_orderdate), n_name, c_mktsegment) as bigint) as total_votes
         from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
         group by year(o_orderdate), n_name, c_mktsegment, o_orderpriority""",
-    # House files: even years, DC, zero votes, lone candidates, totals above the votes.
+    # House files: even years, DC, zero votes, lone candidates (NATION_3 has a district per
+    # candidate), totals above the votes.
     "house": """
         select cast(1976 + 2 * (year - 1995) as int) as year, state,
                case when state = 'NATION_7' then 'DC' else substr(state, 8, 2) end as state_po,
-               district, case when district = 'MACHINERY' then 'GENERAL' else 'GEN' end as stage,
+               case when state = 'NATION_3' then concat(district, ' ', substr(candidate, 1, 1)) else district end as district,
+               case when district = 'MACHINERY' then 'GENERAL' else 'GEN' end as stage,
                'FALSE' as runoff, 'FALSE' as special, candidate, party, false as writein, 'TOTAL' as mode,
                cast(case when votes % 4 = 0 then 0 else votes end as double) as candidatevotes,
                cast(total_votes + total_votes % 3 as double) as totalvotes
-        from {elections}
-        where not (state = 'NATION_3' and candidate <> '1-URGENT')""",
+        from {elections}""",
     "president": """
         select cast(1976 + 4 * (year - 1995) as int) as year, state,
                case when state = 'NATION_7' then 'DC' else substr(state, 8, 2) end as state_po,
                candidate, max(party) as party, cast(sum(votes) as double) as candidatevotes,
                cast(sum(sum(votes)) over (partition by year, state) as double) as totalvotes
         from {elections} group by year, state, candidate""",
-    # Senate rows in 2-year steps, class from the nation, some special elections.
+    "senate_rows": """
+        select *, cast(floor((year - 1976) / 2) % 3 as int) + 1 as year_class from (
+            select cast(1976 + 2 * (year(o_orderdate) - 1995) as int) as year, cast(n_nationkey as int) as nk,
+                   n_name as state, o_orderpriority as candidate,
+                   case o_orderpriority when '1-URGENT' then 'DEMOCRAT' when '2-HIGH' then 'REPUBLICAN'
+                        when '3-MEDIUM' then 'LIBERTARIAN' else 'OTHER' end as party_simplified,
+                   count(*) as candidatevotes
+            from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
+            group by year(o_orderdate), n_nationkey, n_name, o_orderpriority) c""",
+    # Senate rows in 2-year steps: the class of the year in every state, and for some states in
+    # some years a special election of another class as extra rows.
     "senate": """
         select year, state, case when state = 'NATION_7' then 'DC' else substr(state, 8, 2) end as state_po,
                'statewide' as district, class, class <> year_class as special, candidate, party_simplified,
-               candidatevotes, cast(sum(candidatevotes) over (partition by year, state) as bigint) as totalvotes
-        from (select *, cast(floor((year - 1976) / 2) % 3 as int) + 1 as year_class from (
-                select 1976 + 2 * (year(o_orderdate) - 1995) as year, n_nationkey as nk, n_name as state,
-                       cast(n_nationkey % 3 + 1 as int) as class, o_orderpriority as candidate,
-                       case o_orderpriority when '1-URGENT' then 'DEMOCRAT' when '2-HIGH' then 'REPUBLICAN'
-                            when '3-MEDIUM' then 'LIBERTARIAN' else 'OTHER' end as party_simplified,
-                       count(*) as candidatevotes
-                from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey
-                group by year(o_orderdate), n_nationkey, n_name, o_orderpriority) e) f
-        where class = year_class or (nk % 5 = 0 and year % 4 = 2)""",
-    # Monthly shares with gaps.
+               candidatevotes, cast(sum(candidatevotes) over (partition by year, state, class) as bigint) as totalvotes
+        from (select *, year_class as class from {senate_rows}
+              union all
+              select *, nk % 3 + 1 as class from {senate_rows}
+              where nk % 5 = 0 and year % 4 = 2 and nk % 3 + 1 <> year_class) f""",
+    # Monthly shares.
     "survey": """
         select cast(date_trunc('month', o_orderdate) as date) as date,
                100e0 * sum(case when o_orderpriority = '2-HIGH' then 1 else 0 end) / count(*) as republicans,
                100e0 * sum(case when o_orderpriority = '3-MEDIUM' then 1 else 0 end) / count(*) as independents,
                100e0 * sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) / count(*) as democrats
-        from {orders} where month(o_orderdate) not in (5, 6, 10)
-        group by cast(date_trunc('month', o_orderdate) as date)""",
+        from {orders} group by cast(date_trunc('month', o_orderdate) as date)""",
+    # The same with blank values in some months.
+    "gappy_survey": """
+        select date, case when month(date) in (5, 6, 10) then null else republicans end as republicans,
+               case when month(date) in (5, 6, 10) then null else independents end as independents,
+               case when month(date) in (5, 6, 10) then null else democrats end as democrats from {survey}""",
     # New-format files: text votes with a bad value, a missing seat, lower-case stage.
     "new_format": """
         select o_orderkey as race_id, n_name as state, substr(n_name, 8, 2) as state_abbrev,
@@ -96,39 +106,42 @@ VIEWS = {
                case when c_custkey % 9 = 0 then null else c_acctbal end as gappy_balance,
                case when c_custkey % 7 = 0 then null else n_name end as gappy_nation
         from {customer} join {nation} on c_nationkey = n_nationkey""",
-    # Class modes of the points as a mixture: one mode per label.
-    "modes": """
-        select label as mode_id, avg(cast(a as double)) as c0, avg(cast(b as double)) as c1,
-               avg(cast(c as double)) as c2, avg(cast(d as double)) as c3, count(*) as n
-        from (select label, embedding[{one}] as a, embedding[{two}] as b, embedding[{three}] as c,
-                     embedding[{four}] as d from {embeddings}) e group by label""",
 }
 
-# Arrays are cut differently in the two engines, and Spark counts elements from 0.
+# Arrays are built differently in the two engines.
 SPARK_ONLY = {
     "ballots": """
-        select vec_id as voter_id, label as race,
-               transform(slice(embedding, 1, 5), x -> cast(x as double)) as scores from {embeddings}""",
-    "points": """
-        select vec_id as id, transform(slice(embedding, 1, 4), x -> cast(x as double)) as x from {embeddings}""",
+        select vec_id as voter_id, label as race, transform(embedding, x -> cast(x as double)) as scores
+        from {embeddings}""",
+    "points": "select vec_id as id, transform(embedding, x -> cast(x as double)) as x from {embeddings}",
+    # Modes of the points as a mixture: more than a hundred means.
+    "modes": """
+        select mode_id, transform(array_sort(collect_list(struct(i, v))), s -> s.v) as center, max(n) as n
+        from (select mode_id, i, avg(v) as v, count(*) as n
+              from (select cast(label * 20 + vec_id % 20 as int) as mode_id,
+                           posexplode(transform(embedding, x -> cast(x as double))) as (i, v) from {embeddings}) e
+              group by mode_id, i) m group by mode_id""",
 }
 DUCKDB_ONLY = {
     "ballots": """
-        select vec_id as voter_id, label as race, cast(embedding[1:5] as double[]) as scores from {embeddings}""",
-    "points": "select vec_id as id, cast(embedding[1:4] as double[]) as x from {embeddings}",
+        select vec_id as voter_id, label as race, cast(embedding as double[]) as scores from {embeddings}""",
+    "points": "select vec_id as id, cast(embedding as double[]) as x from {embeddings}",
+    "mode_long": """
+        select cast(label * 20 + vec_id % 20 as int) as mode_id, i, avg(cast(embedding[i] as double)) as c, count(*) as n
+        from (select *, unnest(range(1, len(embedding) + 1)) as i from {embeddings}) e group by all""",
+    "modes": """
+        select mode_id, list(c order by i) as center, max(n) as n from {mode_long} group by mode_id""",
     # One row per ballot and option.
     "ballot_long": """
-        select voter_id, race, cast(i - 1 as int) as option, scores[i] as score
-        from {ballots}, unnest([1, 2, 3, 4, 5]) as t(i)""",
+        select voter_id, race, cast(i - 1 as int) as option, scores[i] as score, len(scores) as width
+        from (select *, unnest(range(1, len(scores) + 1)) as i from {ballots}) b""",
     "ballot_ranks": """
-        select voter_id, race, option, score,
+        select voter_id, race, option, score, width,
                cast(row_number() over (partition by voter_id order by score desc, option) as int) as rank
         from {ballot_long}""",
     "point_long": """
-        select id, cast(i - 1 as int) as dim, x[i] as v from {points}, unnest([1, 2, 3, 4]) as t(i)""",
+        select id, cast(i - 1 as int) as dim, x[i] as v from (select *, unnest(range(1, len(x) + 1)) as i from {points}) p""",
 }
-_SPARK_INDEX = {"one": "0", "two": "1", "three": "2", "four": "3"}
-_DUCKDB_INDEX = {"one": "1", "two": "2", "three": "3", "four": "4"}
 
 
 class Tables:
@@ -147,9 +160,7 @@ class Tables:
             if text is None:
                 self._built[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             else:
-                used = set(re.findall(r"\{(\w+)\}", text)) - set(_SPARK_INDEX)
-                for word, index in _SPARK_INDEX.items():
-                    text = text.replace("{%s}" % word, index)
+                used = set(re.findall(r"\{(\w+)\}", text))
                 self._built[name] = self.spark.sql(text, **{u: getattr(self, u) for u in used})
         return self._built[name]
 
@@ -163,10 +174,7 @@ def duckdb_with(views: list[str], body: str) -> str:
         if text is None or name in parts:
             return
         for used in re.findall(r"\{(\w+)\}", text):
-            if used not in _DUCKDB_INDEX:
-                add(used)
-        for word, index in _DUCKDB_INDEX.items():
-            text = text.replace("{%s}" % word, index)
+            add(used)
         parts[name] = re.sub(r"\{(\w+)\}", r"\1", text).strip()
 
     for view in views:
@@ -175,6 +183,8 @@ def duckdb_with(views: list[str], body: str) -> str:
     ctes = [f"{name} as (\n{text})" for name, text in parts.items()]
     if not ctes:
         return body
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(ctes) + ",\n" + body[len("with recursive ") :]
     if body.lower().startswith("with "):
         return "with " + ",\n".join(ctes) + ",\n" + body[5:]
     return "with " + ",\n".join(ctes) + "\n" + body

@@ -20,7 +20,7 @@ _CODE = "dense_rank() over (order by coalesce(gappy_nation, 'Unknown')) - 1"
 )
 def _(t):
     rows = t.customers.select("c_custkey", "gappy_nation")
-    return features.label_encode(rows, features.fit_labels(rows, ["gappy_nation"]))
+    return features.label_encode(rows, features.fit_labels(rows, ["gappy_nation"]), ["gappy_nation"])
 
 
 _HOT = ", ".join(f"cast(segment = '{s}' as int) as {s.lower()}" for s in _SEGMENTS)
@@ -33,7 +33,27 @@ def _lower_hot(df):
 @query("one_hot", ["customers"], f"select c_custkey, {_HOT} from customers")
 def _(t):
     rows = t.customers.select("c_custkey", "segment")
-    return _lower_hot(features.one_hot(rows, features.fit_one_hot(rows, ["segment"]))).drop("segment")
+    return _lower_hot(features.one_hot(rows, {"segment": _SEGMENTS})).drop("segment")
+
+
+@query(
+    "one_hot_long",
+    ["customers"],
+    """select c_custkey, 'segment' as "column", segment as value from customers
+       union all select c_custkey, 'gappy_nation', coalesce(gappy_nation, 'Unknown') from customers""",
+)
+def _(t):
+    return features.one_hot_long(t.customers, "c_custkey", ["segment", "gappy_nation"])
+
+
+@query(
+    "category_values",
+    ["customers"],
+    """select distinct 'segment' as "column", segment as value from customers
+       union all select distinct 'gappy_nation', coalesce(gappy_nation, 'Unknown') from customers""",
+)
+def _(t):
+    return features.category_values(t.customers, ["segment", "gappy_nation"])
 
 
 _SCALED = """round((coalesce(gappy_balance, 0) - avg(coalesce(gappy_balance, 0)) over ())
@@ -54,7 +74,7 @@ def _(t):
 )
 def _(t):
     coded = features.encode_demographics(
-        t.customers, ["gappy_nation"], ["gappy_balance"], ["segment"], keep=["c_custkey"]
+        t.customers, ["gappy_nation"], ["gappy_balance"], {"segment": _SEGMENTS}, keep=["c_custkey"]
     )
     return rounded(_lower_hot(coded), "gappy_balance")
 
@@ -102,36 +122,49 @@ def _(t):
 
 # --- densities --------------------------------------------------------------------------
 
-SCALE = 0.15
+SCALE = 0.5
+
+# A listed mixture of more than 64 modes, by a rule that both engines know.
+LISTED = [([((k * 7 + d * 3) % 11 - 5) / 10 for d in range(64)], (k + 1) / 3240, 0.4 + k % 4 * 0.1) for k in range(80)]
+_LISTED = """listed as (select k as mode_id, (k + 1) / 3240e0 as weight, 0.4e0 + k % 4 * 0.1e0 as scale,
+                    list_transform(range(64), lambda d: ((k * 7 + d * 3) % 11 - 5) / 10e0) as center from range(80) as r(k))"""
 
 
 def modes_of(t):
     """The fixture modes as a mixture: weights by size, one scale."""
     total = t.modes.agg(F.sum("n")).scalar()
-    return t.modes.select(
-        "mode_id",
-        F.array("c0", "c1", "c2", "c3").alias("center"),
-        (F.col("n") / total).alias("weight"),
-        F.lit(SCALE).alias("scale"),
-    )
+    return t.modes.select("mode_id", "center", (F.col("n") / total).alias("weight"), F.lit(SCALE).alias("scale"))
 
 
-_LOG_DENSITY = f"""terms as (
-        select id, ln(n / (select sum(n) from modes)) - 4 * ln({SCALE}e0) - 2 * ln({2 * math.pi!r})
-               - ((x[1] - c0) ** 2 + (x[2] - c1) ** 2 + (x[3] - c2) ** 2 + (x[4] - c3) ** 2)
-                 / (2 * {SCALE}e0 * {SCALE}e0) as term from points, modes),
+def _log_density(source: str) -> str:
+    return f"""terms as (
+        select id, ln(weight) - len(x) * (ln(scale) + {math.log(2 * math.pi) / 2!r})
+               - list_sum(list_transform(list_zip(x, center), lambda p: (p[1] - p[2]) ** 2)) / (2 * scale * scale) as term
+        from points, {source}),
     tops as (select *, max(term) over (partition by id) as top from terms),
     scored as (select id, max(top) + ln(sum(exp(term - top))) as log_density from tops group by id)"""
+
+
 _NORMAL = f"-0.5e0 * list_sum(list_transform(x, lambda v: v * v + {math.log(2 * math.pi)!r}))"
 
 
 @query(
     "mixture_log_density",
+    ["points"],
+    f"with {_LISTED}, {_log_density('listed')} select id, round(log_density, 4) as log_density from scored",
+)
+def _(t):
+    return rounded(density.mixture_log_density(t.points, LISTED), "log_density", places=4)
+
+
+@query(
+    "mixture_log_density_by_table",
     ["points", "modes"],
-    f"with {_LOG_DENSITY} select id, round(log_density, 6) as log_density from scored",
+    f"""with fitted as (select mode_id, center, n / (select sum(n) from modes) as weight, {SCALE}e0 as scale from modes),
+        {_log_density("fitted")} select id, round(log_density, 4) as log_density from scored""",
 )
 def _(t):
-    return rounded(density.mixture_log_density(t.points, modes_of(t)), "log_density")
+    return rounded(density.mixture_log_density_by_table(t.points, modes_of(t)), "log_density", places=4)
 
 
 @query(
@@ -145,14 +178,14 @@ def _(t):
 
 @query(
     "nll_summary",
-    ["points", "modes"],
-    f"""with {_LOG_DENSITY}, normal as (select avg({_NORMAL}) as m from points),
+    ["points"],
+    f"""with {_LISTED}, {_log_density("listed")}, normal as (select avg({_NORMAL}) as m from points),
              target as (select avg(log_density) as t from scored)
-        select round(-m, 6) as nll, round(-t, 6) as target_nll, round(t - m, 6) as nll_gap from normal, target""",
+        select round(-m, 4) as nll, round(-t, 4) as target_nll, round(t - m, 4) as nll_gap from normal, target""",
 )
 def _(t):
-    scored = density.score_both(t.points, modes_of(t))
-    return rounded(density.nll_summary(scored), "nll", "target_nll", "nll_gap")
+    scored = density.score_both(t.points, LISTED)
+    return rounded(density.nll_summary(scored), "nll", "target_nll", "nll_gap", places=4)
 
 
 @query(

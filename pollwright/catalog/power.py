@@ -6,9 +6,10 @@ from pollwright.catalog.registry import query, rounded
 from pollwright.operators import aggregates as agg
 from pollwright.operators import joins, lottery
 from pollwright.operators import results as res
+from pollwright.operators import standardize as std
 from pollwright.plans import control
 
-N = 12
+N = 200
 SEED = 42
 
 
@@ -145,6 +146,26 @@ def _(t):
     return agg.race_wins(control.house_winners(t.house, N, SEED), 1980, "NATION_1-BUILDING")
 
 
+# A new-format file without race totals, from import to control.
+_NEW_HOUSE = """new_house as (
+        select *, sum(candidatevotes) over (partition by year, state, district) as totalvotes
+        from (select cycle as year, upper(state) as state, state_abbrev as state_po, upper(candidate_name) as candidate,
+                     case when regexp_matches(office_seat_name, 'District ([0-9]+)')
+                          then lpad(regexp_extract(office_seat_name, 'District ([0-9]+)', 1), 3, '0') else '000' end
+                     as district, upper(coalesce(ballot_party, '')) as party,
+                     coalesce(try_cast(votes as double), 0) as candidatevotes from new_format) n)"""
+
+
+@query(
+    "house_control_new_format",
+    ["new_format"],
+    _HOUSE_SEATS.replace("with ", f"with {_NEW_HOUSE}, ", 1).replace("from house where", "from new_house where")
+    + " select * from seats",
+)
+def _(t):
+    return control.house_control(std.import_election(t.new_format, "house"), N, SEED)
+
+
 # --- Senate terms -----------------------------------------------------------------------
 
 _YEAR_CLASS = "cast(floor(((year - 1976) / 2.0) % 3) as int) + 1"
@@ -245,6 +266,30 @@ def _(t):
     return agg.seats_by_state(control.senate_winners(t.senate, N, SEED))
 
 
+@query(
+    "seat_totals_senate",
+    ["senate"],
+    _SENATE_SEATS + " select eff_year, replicate, cast(sum(seats) as bigint) as seats from seats group by all",
+)
+def _(t):
+    return agg.seat_totals(senate_seats(t), "eff_year")
+
+
+@query(
+    "seat_distribution_house",
+    ["house"],
+    _HOUSE_SEATS
+    + """ select year, party_major, round(coalesce(avg(seats), 0), 6) as mean_seats, coalesce(max(count_win), 0) as count_win
+          from (select distinct year from seats) y
+               cross join unnest(['DEMOCRAT', 'REPUBLICAN', 'OTHER']) as p(party_major)
+               left join seats using (year, party_major) group by all""",
+)
+def _(t):
+    return rounded(
+        agg.seat_distribution(house_seats(t), agg.HOUSE_PARTIES, "year", "party_major"), "mean_seats"
+    )
+
+
 _DISTRIBUTION = (
     _SENATE_SEATS
     + """, distribution as (

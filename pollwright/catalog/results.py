@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pollwright.catalog.registry import query, rounded
+from pollwright.catalog.registry import placed, query, rounded
 from pollwright.operators import aggregates as agg
 from pollwright.operators import results as res
 from pollwright.operators import standardize as std
@@ -230,17 +230,19 @@ def _(t):
 @query(
     "sort_results",
     ["house"],
-    """select year, state, district, candidate, candidatevotes from house
-       order by year, state, district, candidatevotes desc""",
+    """select year, state, district, candidate, candidatevotes,
+              row_number() over (order by year, state, district, candidatevotes desc, candidate) as place from house""",
 )
 def _(t):
     columns = ["year", "state", "district", "candidate", "candidatevotes"]
-    return res.sort_results(t.house, "house").select(*columns)
+    return placed(res.sort_results(t.house.select(*columns), "house"))
 
 
 # --- standard schema --------------------------------------------------------------------
 
 _VOTES = "coalesce(try_cast(votes as double), 0)"
+_DISTRICT = """case when regexp_matches(office_seat_name, 'District ([0-9]+)')
+                    then lpad(regexp_extract(office_seat_name, 'District ([0-9]+)', 1), 3, '0') else '000' end"""
 
 
 @query(
@@ -347,12 +349,90 @@ def _(t):
                upper(stage) as stage, 'FALSE' as runoff, upper(cast(special as varchar)) as special,
                upper(candidate_name) as candidate, upper(coalesce(ballot_party, '')) as party,
                coalesce(ballot_party, '') = 'W' as writein, 'TOTAL' as mode, {_VOTES} as candidatevotes,
-               cast(0 as double) as totalvotes from new_format""",
+               sum({_VOTES}) over (partition by cycle, upper(state), {_DISTRICT}) as totalvotes from new_format""",
 )
 def _(t):
     return std.import_election(t.new_format, "house")
 
 
+_PRESIDENT_NEW = f"""select cycle as year, upper(state) as state, upper(state_abbrev) as state_po,
+               upper(candidate_name) as candidate, upper(coalesce(ballot_party, '')) as party, {_VOTES} as candidatevotes,
+               coalesce(ballot_party, '') = 'W' as writein"""
+
+
+@query("standardize_by_mapping_president", ["new_format"], _PRESIDENT_NEW + ", 'TOTAL' as mode from new_format")
+def _(t):
+    return std.standardize_by_mapping(t.new_format, "president")
+
+
+@query(
+    "standardize_by_mapping_old_format",
+    ["old_format"],
+    """select year, upper(state) as state, upper(state_po) as state_po, stage, special, upper(candidate) as candidate,
+              upper(coalesce(party, '')) as party, coalesce(try_cast(candidatevotes as double), 0) as candidatevotes,
+              cast(totalvotes as double) as totalvotes from old_format""",
+)
+def _(t):
+    return std.standardize_by_mapping(t.old_format.withColumnRenamed("party", "party_detailed"), "house")
+
+
+@query(
+    "import_election_president",
+    ["new_format"],
+    _PRESIDENT_NEW.replace("upper(state_abbrev)", "state_abbrev")
+    + f", sum({_VOTES}) over (partition by cycle, upper(state)) as totalvotes from new_format",
+)
+def _(t):
+    return std.import_election(t.new_format, "president")
+
+
+def _chain_sql(office: str, seat: str, seat_sql: str) -> str:
+    """Both generations imported, the newer row of a key kept, and the race totals checked."""
+    return f"""with imported as (
+            select year, upper(state) as state, upper(candidate) as candidate, upper(coalesce(party, '')) as party,
+                   {'cast(floor((year - 1976) / 2.0) % 3 as int) + 1' if office == 'senate' else "'000'"} as {seat},
+                   coalesce(try_cast(candidatevotes as double), 0) as candidatevotes,
+                   cast(totalvotes as double) as totalvotes, special, 0 as source from old_format
+            union all
+            select cycle, upper(state), upper(candidate_name), upper(coalesce(ballot_party, '')), {seat_sql}, {_VOTES},
+                   sum({_VOTES}) over (partition by cycle, upper(state), {seat_sql}), special, 1 from new_format),
+        kept as (select * from imported qualify row_number() over (
+                     partition by year, state, candidate, party, {seat}
+                     order by source desc, candidatevotes desc, totalvotes desc, special desc) = 1),
+        races as (select sum(candidatevotes) as s, min(totalvotes) as lo, max(totalvotes) as hi
+                  from kept group by year, state, {seat})
+        select 'race_totals' as "check", count_if(s <> lo or s <> hi) as offending, count_if(s <> lo or s <> hi) = 0 as passed
+        from races union all select 'rows', count(*), true from kept"""
+
+
+def _chain(t, office: str, seat: str):
+    old, new = std.import_election(t.old_format, office), std.import_election(t.new_format, office)
+    # The special flags come as different texts; what is compared must not depend on them.
+    merged = win.merge_keep_latest(old, new, office, sequence=["candidatevotes", "totalvotes"])
+    checks = std.validate(merged, office, keys=["year", "state", seat]).where(F.col("check") == "race_totals")
+    rows = merged.agg(F.lit("rows").alias("check"), F.count("*").alias("offending"), F.lit(True).alias("passed"))
+    return checks.unionByName(rows)
+
+
+@query("import_merge_validate_house", ["old_format", "new_format"], _chain_sql("house", "district", _DISTRICT))
+def _(t):
+    return _chain(t, "house", "district")
+
+
+@query(
+    "import_merge_validate_senate",
+    ["old_format", "new_format"],
+    _chain_sql(
+        "senate",
+        "class",
+        """case when regexp_matches(office_seat_name, 'Class ([0-9]+)')
+                    then cast(regexp_extract(office_seat_name, 'Class ([0-9]+)', 1) as int) else 0 end""",
+    ),
+)
+def _(t):
+    return _chain(t, "senate", "class")
+
+
 @query(
     "derive_totalvotes",
     ["house"],
@@ -384,10 +464,13 @@ def _(t):
     ["old_format"],
     """with r as (select *, year % 5 as class, 'statewide' as district from old_format)
        select 'required_columns' as "check", cast(0 as bigint) as offending, true as passed
-       union all select 'numeric_votes', count_if(try_cast(candidatevotes as double) is null), false from r
-       union all select 'nonnegative_votes', cast(0 as bigint), true
-       union all select 'senate_class', count_if(class not between 1 and 3), false from r
-       union all select 'race_totals', count_if(coalesce(s, 0) <> lo or coalesce(s, 0) <> hi), false
+       union all select 'numeric_votes', count_if(bad), count_if(bad) = 0
+       from (select try_cast(candidatevotes as double) is null as bad from r) a
+       union all select 'nonnegative_votes', count_if(bad), count_if(bad) = 0
+       from (select coalesce(try_cast(candidatevotes as double) < 0, false) as bad from r) a
+       union all select 'senate_class', count_if(bad), count_if(bad) = 0 from (select class not between 1 and 3 as bad from r) a
+       union all select 'race_totals', count_if(coalesce(s, 0) <> lo or coalesce(s, 0) <> hi),
+                        count_if(coalesce(s, 0) <> lo or coalesce(s, 0) <> hi) = 0
        from (select sum(try_cast(candidatevotes as double)) as s, min(totalvotes) as lo, max(totalvotes) as hi
              from r group by year, state, district) g""",
 )
@@ -443,7 +526,28 @@ def _lower(df):
 
 @query("pivot_vote_shares", ["shares"], _pivot_sql("shares", "vote_share"))
 def _(t):
-    return _lower(agg.pivot_vote_shares(t.shares))
+    return _lower(agg.pivot_vote_shares(t.shares, _PARTIES))
+
+
+@query(
+    "mean_vote_shares",
+    ["shares"],
+    """select year, state, party, round(avg(vote_share), 6) as vote_share from shares
+       where party is not null group by all""",
+)
+def _(t):
+    return rounded(agg.mean_vote_shares(t.shares), "vote_share")
+
+
+@query(
+    "district_shares",
+    ["elections"],
+    """select year, district, party, cast(sum(votes) as bigint) as votes, max(total_votes) as total_votes,
+              round(sum(votes) / cast(max(total_votes) as double) * 100, 6) as vote_share
+       from elections where party is not null group by year, district, party""",
+)
+def _(t):
+    return rounded(agg.district_shares(t.elections, ["year", "district"]), "vote_share")
 
 
 @query(
@@ -459,11 +563,12 @@ def _(t):
 @query(
     "available_years_states",
     ["elections"],
-    """select distinct 'year' as kind, cast(year as varchar) as value from elections
-       union all select distinct 'state', state from elections""",
+    """select *, row_number() over (order by kind, value) as place
+       from (select distinct 'year' as kind, cast(year as varchar) as value from elections
+             union all select distinct 'state', state from elections) v""",
 )
 def _(t):
-    return agg.available_years_states(t.elections)
+    return placed(agg.available_years_states(t.elections))
 
 
 @query(
@@ -565,15 +670,16 @@ _SHARES = ["republicans", "independents", "democrats"]
 
 @query(
     "interpolate_monthly",
-    ["survey"],
-    f"""with g as (select cast(unnest(generate_series(min(date), max(date), interval 1 month)) as date) as date from survey),
+    ["gappy_survey"],
+    f"""with g as (select cast(unnest(generate_series(min(date), max(date), interval 1 month)) as date) as date
+                    from gappy_survey),
              f as (select g.date, {', '.join(_SHARES)}, row_number() over (order by g.date) as pos
-                   from g left join survey s on g.date = s.date),
+                   from g left join gappy_survey s on g.date = s.date),
              n as (select *, {', '.join(_neighbours(v) for v in _SHARES)} from f)
         select date, {', '.join(_filled(v) for v in _SHARES)} from n""",
 )
 def _(t):
-    return rounded(win.interpolate_monthly(t.survey, "date", _SHARES), *_SHARES)
+    return rounded(win.interpolate_monthly(t.gappy_survey, "date", _SHARES), *_SHARES)
 
 
 @query(

@@ -121,37 +121,36 @@ def squared_distance(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def unrolled_distance(a: Column, point: Sequence[float]) -> Column:
-    """Squared distance to a fixed point as plain arithmetic, which Spark compiles."""
-    return reduce(
-        lambda total, term: total + term,
-        [(a[i] - F.lit(float(c))) * (a[i] - F.lit(float(c))) for i, c in enumerate(point)],
-    )
+def _real(x: Column) -> Column:
+    """The score, null for NaN."""
+    return F.when(~F.isnan(x), x)
 
 
-def top_position(scores: Column | str) -> Column:
-    """0-based position of the largest entry, the first one on ties."""
-    values = as_column(scores)
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+def preferred(a: Column, b: Column) -> Column:
+    """Whether score ``a`` is above ``b``; null and NaN are below every number and alike."""
+    a, b = _real(a), _real(b)
+    return F.coalesce(a > b, a.isNotNull() & b.isNull())
 
 
-def preference_order(scores: Column | str, size: int | None = None) -> Column:
-    """Positions from most to least preferred; ties in position order.
-
-    With a known ``size`` the pairs are built without a lambda; an array of another size is
-    still ranked whole.
-    """
+def preference_order(scores: Column | str) -> Column:
+    """Positions from most to least preferred; ties in position order, null and NaN last."""
     values = as_column(scores)
-    pairs = F.transform(values, lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
-    if size:
-        fixed = F.array(
-            *[F.struct((-F.get(values, F.lit(i))).alias("x"), F.lit(i).alias("i")) for i in range(size)]
-        )
-        pairs = F.when(F.size(values) == size, fixed).otherwise(pairs)
+    pairs = F.transform(
+        values, lambda x, i: F.struct(_real(x).isNull().alias("none"), (-_real(x)).alias("x"), i.alias("i"))
+    )
     # sort_array compares compiled; array_sort would call a comparator per pair.
     return F.sort_array(pairs)["i"]
 
 
+def top_position(scores: Column | str) -> Column:
+    """0-based position of the largest entry, the first one on ties; null and NaN are below
+    every number. Null for an empty array."""
+    values = as_column(scores)
+    numbers = F.transform(values, _real)
+    found = F.array_position(numbers, F.array_max(numbers)) - 1
+    return F.when(F.size(values) > 0, F.coalesce(found, F.lit(0))).cast("int")
+
+
 def ranks(order: Column | str) -> Column:
     """Rank of every position, 1 is best, from a preference order."""
     return let(

@@ -5,13 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pollwright.session import materialize
-
-# Values that turn into columns stop being plannable beyond this; long forms have no such limit.
-MAX_COLUMNS = 10_000
+from pollwright.session import cut
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -41,14 +38,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
 
     Rows are range partitioned on (keys, order), so a large group spans many consecutive
     blocks. Block sums give every block its starting value, and a window inside
-    (keys, block) does the rest. The blocks are written out, because both uses of the
+    (keys, block) does the rest. The blocks are a checkpoint, because both uses of the
     range partitioning must see the same one.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order, *rest)])
-    blocks = materialize(
-        ranged.withColumn("_block", F.spark_partition_id()).withColumn("_value", value), "running-sum"
-    )
+    blocks = cut(ranged.withColumn("_block", F.spark_partition_id()).withColumn("_value", value))
 
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -68,19 +63,14 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     )
 
 
-def bounded_rows(df: DataFrame, limit: int) -> list[Row] | None:
-    """The rows of a small table, or None when it has more than ``limit`` of them."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
-
-
 def pair_with_blocks(points: DataFrame, options: DataFrame, key: str, spread: str, block_rows: int = 512) -> DataFrame:
-    """Every point beside every block of options, for option tables too big for a literal.
+    """Every point beside every block of a table of options.
 
-    Options are packed into arrays of about ``block_rows`` structs (column ``_options``). A
-    point is repeated once per block, not once per option, and the join key carries a salt
-    taken from ``spread`` so that a block is met by many tasks.
+    Options are packed once into arrays of about ``block_rows`` structs (column ``_options``,
+    null for a block that got none). A point is repeated once per block, not once per option,
+    and the join key carries a salt taken from ``spread`` so that a block is met by many tasks.
     """
+    options = cut(options)
     n_blocks = max(1, -(-options.count() // block_rows))
     salts = 64
     packed = (
@@ -92,6 +82,6 @@ def pair_with_blocks(points: DataFrame, options: DataFrame, key: str, spread: st
     return (
         points.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
         .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-        .join(packed, ["_block", "_salt"])
+        .join(packed, ["_block", "_salt"], "left")
         .drop("_block", "_salt")
     )

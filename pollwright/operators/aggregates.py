@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwright.functions.columns import bin_index, share
-from pollwright.functions.scale import MAX_COLUMNS, bounded_rows, with_group_stats
+from pollwright.functions.scale import with_group_stats
 from pollwright.operators.results import presidential_years
 
 # The parties of the Senate picture, and of the House picture.
@@ -33,28 +33,23 @@ def votes_by_year_state(df: DataFrame) -> DataFrame:
     return _sum_votes(df, "year", "state", "party")
 
 
-def party_values(df: DataFrame) -> list[str]:
-    """Distinct non-null parties in order; they become column names, so they must be few."""
-    rows = bounded_rows(df.select("party").dropna().distinct(), MAX_COLUMNS)
-    if rows is None:
-        raise ValueError(f"more than {MAX_COLUMNS} parties; name those to pivot or use the long form")
-    return sorted(r["party"] for r in rows)
+def mean_vote_shares(shares: DataFrame, keys=("year", "state")) -> DataFrame:
+    """The mean share of each party per key, in long form: any number of parties."""
+    return shares.dropna(subset=[*keys, "party"]).groupBy(*keys, "party").agg(F.avg("vote_share").alias("vote_share"))
 
 
-def pivot_vote_shares(shares: DataFrame, parties: Sequence[str] | None = None, keys=("year", "state")) -> DataFrame:
-    """One row per key with the mean share of each party, 0 where it did not run.
+def pivot_vote_shares(shares: DataFrame, parties: Sequence[str], keys=("year", "state")) -> DataFrame:
+    """One row per key with the mean share of each listed party, 0 where it did not run.
 
-    Without ``parties`` they are found first, which takes a pass over the data.
+    Keys where only other parties ran are left out. ``mean_vote_shares`` takes all parties.
     """
-    parties = list(parties) if parties is not None else party_values(shares)
+    parties = list(parties)
     kept = shares.dropna(subset=[*keys, "party"]).where(F.col("party").isin(parties))
     return kept.groupBy(*keys).pivot("party", parties).agg(F.avg("vote_share")).na.fill(0.0, subset=parties)
 
 
-def aggregate_district(
-    df: DataFrame, group_by: Sequence[str] = ("year", "state"), parties: Sequence[str] | None = None
-) -> DataFrame:
-    """Party shares of any grouping level, in wide form.
+def district_shares(df: DataFrame, group_by: Sequence[str] = ("year", "state")) -> DataFrame:
+    """Party shares of any grouping level, in long form.
 
     The total is taken to be the same on all rows of a group; the largest is used, so the
     result does not depend on row order.
@@ -64,8 +59,14 @@ def aggregate_district(
         .groupBy(*group_by, "party")
         .agg(F.coalesce(F.sum("votes"), F.lit(0)).alias("votes"), F.max("total_votes").alias("total_votes"))
     )
-    shares = summed.withColumn("vote_share", share(F.col("votes"), F.col("total_votes")))
-    return pivot_vote_shares(shares, parties, group_by)
+    return summed.withColumn("vote_share", share(F.col("votes"), F.col("total_votes")))
+
+
+def aggregate_district(
+    df: DataFrame, parties: Sequence[str], group_by: Sequence[str] = ("year", "state")
+) -> DataFrame:
+    """Shares of the listed parties at any grouping level, in wide form."""
+    return pivot_vote_shares(district_shares(df, group_by), parties, group_by)
 
 
 def seat_counts(winners: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -159,7 +160,10 @@ def seat_stack(
     party: str = "party_simplified",
     top: float = 100.0,
 ) -> DataFrame:
-    """Lower and upper edge of each party's band: D, Other, Lib up from 0, R down from ``top``."""
+    """Lower and upper edge of each party's band: D, Other, Lib up from 0, R down from ``top``.
+    Parties that have no band of their own are part of Other."""
+    named = F.when(F.col(party).isin(SENATE_PARTIES), F.col(party)).otherwise("OTHER")
+    distribution = distribution.withColumn(party, named)
 
     def seats_of(name: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(party) == name, F.col(value))), F.lit(0)).cast("double")

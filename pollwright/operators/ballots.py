@@ -1,17 +1,14 @@
-"""Voting methods on a table of ballots.
+"""Ballot counts.
 
 A ballot is a row with ``voter_id`` and ``scores``, an array with one score per option. Every
 function takes ``race``, the columns that tell elections apart (none by default). Ties always
-go to the lower option index. Counts are plain group-bys: ballots are added up map-side, so
-one huge race costs no more than many small ones. Where all ballots have the same number of
-options, say so with ``n_options``: the counts are then compiled arithmetic.
+go to the lower option index; null and NaN rank below every number. Counts are plain group-bys:
+ballots are added up map-side, so one huge race costs no more than many small ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,16 +19,16 @@ from pollwright.functions.columns import (
     normalized,
     one_hot_array,
     preference_order,
+    preferred,
     ranks,
     squared_distance,
     top_position,
-    unrolled_distance,
 )
-from pollwright.functions.scale import bounded_rows, null_safe_join, pair_with_blocks
-from pollwright.session import materialize
+from pollwright.functions.scale import null_safe_join, pair_with_blocks
+from pollwright.session import cut
 
-# Options up to this number become part of the plan; more are met block by block.
-LITERAL_OPTIONS = 64
+# Runoff rounds that are planned together before their small result is a checkpoint.
+ROUNDS_AT_ONCE = 8
 
 
 def plurality_ballot(df: DataFrame) -> DataFrame:
@@ -70,60 +67,6 @@ def _percent() -> dict[str, Column]:
     return {"percent": F.col("total") * F.lit(100.0) / F.col("_ballots")}
 
 
-class _Width:
-    """Scores of ballots with a known number of options as plain columns.
-
-    Arithmetic on columns is compiled and added up without exploding a ballot, many times
-    faster than lambdas over arrays. A ballot of another size stops the query.
-    """
-
-    def __init__(self, df: DataFrame, race: Sequence[str], n: int):
-        wrong = F.raise_error(F.lit(f"a ballot does not have {n} options")).cast("double")
-        first = F.when(F.size("scores") == n, F.get("scores", F.lit(0))).otherwise(wrong)
-        rest = [F.get("scores", F.lit(i)) for i in range(1, n)]
-        self.n = n
-        self.race = list(race)
-        self.scores = [F.col(f"_s{i}") for i in range(n)]
-        self.ballots = df.select(*race, *[c.alias(f"_s{i}") for i, c in enumerate([first, *rest])])
-
-    def preferred(self, i: int, j: int) -> Column:
-        """Option ``i`` stands before ``j``: a higher score, or an equal one and a lower index."""
-        a, b = self.scores[i], self.scores[j]
-        return a >= b if i < j else a > b
-
-    def with_ranks(self) -> DataFrame:
-        ranks_ = {
-            f"_r{i}": reduce(add, [self.preferred(j, i).cast("int") for j in range(self.n) if j != i], F.lit(1))
-            for i in range(self.n)
-        }
-        return self.ballots.withColumns(ranks_)
-
-    def with_bar(self) -> DataFrame:
-        mean = self.ballots.withColumn("_mean", reduce(add, self.scores) / self.n)
-        spread = reduce(add, [(s - F.col("_mean")) * (s - F.col("_mean")) for s in self.scores])
-        return mean.withColumn("_bar", F.col("_mean") + F.sqrt(spread / F.nullif(F.lit(self.n - 1), F.lit(0))))
-
-    def sums(self, df: DataFrame, values: Sequence[Column]) -> DataFrame:
-        """One aggregate per option, then one row per option."""
-        wide = df.groupBy(*self.race).agg(
-            *[F.sum(v).cast("bigint").alias(f"_v{i}") for i, v in enumerate(values)], F.count(F.lit(1)).alias("_ballots")
-        )
-        return self.rows(wide, ["option"], [((i,), {"total": F.col(f"_v{i}")}) for i in range(self.n)], ["_ballots"])
-
-    def rows(self, wide: DataFrame, names: Sequence[str], cells, keep: Sequence[str] = ()) -> DataFrame:
-        """Wide aggregates to rows: ``cells`` lists index values and the value columns."""
-        structs = [
-            F.struct(
-                *[F.lit(v).alias(n) for n, v in zip(names, index)], *[c.alias(n) for n, c in values.items()]
-            )
-            for index, values in cells
-        ]
-        if not structs:
-            structs, wide = [F.struct(*[F.lit(None).cast("int").alias(n) for n in names])], wide.limit(0)
-        listed = wide.select(*self.race, *keep, F.explode(F.array(*structs)).alias("_c"))
-        return listed.select(*self.race, "_c.*", *keep)
-
-
 def _sum_per_option(df: DataFrame, race: Sequence[str], values: Column) -> DataFrame:
     """Sum of an array over all ballots, one row per option; ``_ballots`` counts the ballots."""
     return (
@@ -133,53 +76,32 @@ def _sum_per_option(df: DataFrame, race: Sequence[str], values: Column) -> DataF
     )
 
 
-def plurality_count(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def plurality_count(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, option, total, percent, is_winner): first choices, zeros included."""
-    if n_options:
-        w = _Width(df, race, n_options)
-        first = [
-            reduce(and_, [w.preferred(i, j) for j in range(w.n) if j != i], F.lit(True)).cast("int")
-            for i in range(w.n)
-        ]
-        return _tally(w.sums(w.ballots, first), race, _percent())
     return _tally(_sum_per_option(plurality_ballot(df), race, F.col("plurality")), race, _percent())
 
 
-def approval_count(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def approval_count(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, option, total, percent, is_winner): approvals."""
-    if n_options:
-        w = _Width(df, race, n_options)
-        approved = [F.coalesce((s > F.col("_bar")).cast("int"), F.lit(0)) for s in w.scores]
-        return _tally(w.sums(w.with_bar(), approved), race, _percent())
     return _tally(_sum_per_option(approval_ballot(df), race, F.col("approvals")), race, _percent())
 
 
-def borda_count(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def borda_count(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, option, total, average, is_winner): M points for the best, 1 for the worst."""
-    if n_options:
-        w = _Width(df, race, n_options)
-        summed = w.sums(w.with_ranks(), [F.lit(w.n + 1) - F.col(f"_r{i}") for i in range(w.n)])
-    else:
-        # The place in the ranking is the rank, so the array of ranks is not needed.
-        places = df.select(
-            *race, F.posexplode(preference_order("scores")).alias("_place", "option"), F.size("scores").alias("_m")
-        )
-        summed = places.groupBy(*race, "option").agg(
-            F.sum(F.col("_m") - F.col("_place")).cast("bigint").alias("total"), F.count(F.lit(1)).alias("_ballots")
-        )
+    # The place in the ranking is the rank, so the array of ranks is not needed.
+    places = df.select(
+        *race, F.posexplode(preference_order("scores")).alias("_place", "option"), F.size("scores").alias("_m")
+    )
+    summed = places.groupBy(*race, "option").agg(
+        F.sum(F.col("_m") - F.col("_place")).cast("bigint").alias("total"), F.count(F.lit(1)).alias("_ballots")
+    )
     return _tally(summed, race, {"average": F.col("total") / F.col("_ballots")})
 
 
-def rank_distribution(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def rank_distribution(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, option, rank, n): ballots that put the option at the rank, zeros included."""
-    if n_options:
-        # One aggregate per (option, rank) would be too many to compile, so the ranks are exploded.
-        w = _Width(df, race, n_options)
-        listed = F.posexplode(F.array(*[F.col(f"_r{i}") for i in range(w.n)])).alias("option", "rank")
-        places = w.with_ranks().select(*race, listed)
-    else:
-        order = F.posexplode(preference_order("scores")).alias("_place", "option")
-        places = df.select(*race, order).withColumn("rank", F.col("_place") + 1)
+    order = F.posexplode(preference_order("scores")).alias("_place", "option")
+    places = df.select(*race, order).withColumn("rank", F.col("_place") + 1)
     counted = places.groupBy(*race, "option", "rank").agg(F.count(F.lit(1)).alias("n"))
     width = counted.groupBy(*race).agg(F.max("rank").alias("_m"))
     zeros = (
@@ -190,24 +112,12 @@ def rank_distribution(df: DataFrame, race: Sequence[str] = (), n_options: int |
     return counted.unionByName(zeros).groupBy(*race, "option", "rank").agg(F.sum("n").alias("n"))
 
 
-def pairwise(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def pairwise(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, a, b, a_over_b, b_over_a, ballots) for options a < b.
 
     Comparisons are made inside one ballot and added up in the same stage: what is shuffled is
-    one row per race (or per option pair, without ``n_options``) and task.
+    one row per race, option pair and task.
     """
-    if n_options:
-        w = _Width(df, race, n_options)
-        pairs = [(i, j) for i in range(w.n) for j in range(i + 1, w.n)]
-        wide = w.ballots.groupBy(*race).agg(
-            *[F.count_if(w.scores[i] > w.scores[j]).alias(f"_w{i}_{j}") for i, j in pairs],
-            *[F.count_if(w.scores[j] > w.scores[i]).alias(f"_w{j}_{i}") for i, j in pairs],
-            F.count(F.lit(1)).alias("ballots"),
-        )
-        cells = [
-            ((i, j), {"a_over_b": F.col(f"_w{i}_{j}"), "b_over_a": F.col(f"_w{j}_{i}")}) for i, j in pairs
-        ]
-        return w.rows(wide, ["a", "b"], cells, ["ballots"])
     upto = F.size("scores") - 1
     left = df.where(F.size("scores") > 1).select(
         *race, "scores", F.explode(F.sequence(F.lit(0), upto - 1)).alias("a")
@@ -215,8 +125,8 @@ def pairwise(df: DataFrame, race: Sequence[str] = (), n_options: int | None = No
     both = left.select(*race, "scores", "a", F.explode(F.sequence(F.col("a") + 1, upto)).alias("b"))
     a, b = F.get("scores", F.col("a")), F.get("scores", F.col("b"))
     return both.groupBy(*race, "a", "b").agg(
-        F.count_if(a > b).alias("a_over_b"),
-        F.count_if(b > a).alias("b_over_a"),
+        F.count_if(preferred(a, b)).alias("a_over_b"),
+        F.count_if(preferred(b, a)).alias("b_over_a"),
         F.count(F.lit(1)).alias("ballots"),
     )
 
@@ -236,102 +146,112 @@ def _both_ways(pairs: DataFrame, race: Sequence[str]) -> DataFrame:
     return pairs.select(*race, "ballots", F.explode(rows).alias("p")).select(*race, "p.*", "ballots")
 
 
-def condorcet(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
-    """(race, option, total, is_winner): pairs won; the winner wins all of them, or nobody does."""
-    duels = _both_ways(pairwise(df, race, n_options), race)
-    return duels.groupBy(*race, "option").agg(
-        F.count_if(F.col("wins") > F.col("losses")).alias("total"),
-        (F.count_if(F.col("wins") > F.col("losses")) == F.count(F.lit(1))).alias("is_winner"),
+def condorcet(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
+    """(race, option, total, is_winner): pairs won; the winner wins all of them, or nobody does.
+    The only option of a race wins it."""
+    duels = _both_ways(pairwise(df, race), race).select(*race, "option", "wins", "losses")
+    options = df.groupBy(*race).agg(F.max(F.size("scores")).alias("_m")).where(F.col("_m") > 0)
+    listed = options.select(*race, F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("option"))
+    won = F.count_if(F.col("wins") > F.col("losses"))
+    return (
+        duels.unionByName(listed, allowMissingColumns=True)
+        .groupBy(*race, "option")
+        .agg(won.alias("total"), (won == F.count("wins")).alias("is_winner"))
     )
 
 
-def pairwise_percent(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def pairwise_percent(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, option, opponent, percent): ballots that prefer the option to the opponent."""
-    duels = _both_ways(pairwise(df, race, n_options), race)
+    duels = _both_ways(pairwise(df, race), race)
     return duels.select(
         *race, "option", "opponent", (F.col("wins") * F.lit(100.0) / F.col("ballots")).alias("percent")
     )
 
 
-def instant_runoff(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def instant_runoff(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, winner, elimination_order, rounds), all races at once.
 
-    Ballots are reduced to distinct rankings with their counts and written out once. Each
-    round joins them with the small table of open races, counts first remaining choices and
-    either closes a race (more than half of all its ballots) or drops its weakest option.
-    The driver loops over rounds, at most one less than there are options.
+    Ballots are reduced to distinct rankings with their counts once. Each round joins them with
+    the small table of races, counts first remaining choices and either closes a race (more than
+    half of all its ballots) or drops its weakest option. There are fewer rounds than options;
+    some are planned together, then the races are a checkpoint and the closed ones are set aside.
     """
-    return _settle(df, list(race), n_options).select(
+    return _settle(df, list(race)).select(
         *race, "winner", F.col("out").alias("elimination_order"), F.size("out").alias("rounds")
     )
 
 
-def _settle(df: DataFrame, race: list[str], n_options: int | None) -> DataFrame:
+def _settle(df: DataFrame, race: list[str]) -> DataFrame:
     """(race, ballots, options, out, winner) of every race."""
-    rankings = materialize(
-        df.where(F.size("scores") > 0)
-        .select(*race, preference_order("scores", n_options).alias("ranking"))
-        .groupBy(*race, "ranking")
-        .agg(F.count(F.lit(1)).alias("n")),
-        "rankings",
+    keys = race or ["_all"]
+    ballots = df if race else df.withColumn("_all", F.lit(0))
+    rankings = cut(
+        ballots.where(F.size("scores") > 0)
+        .select(*keys, preference_order("scores").alias("ranking"))
+        .groupBy(*keys, "ranking")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    no_options = F.array().cast("array<int>")
-    state = rankings.groupBy(*race).agg(F.sum("n").alias("ballots"), F.max(F.size("ranking")).alias("options"))
-    state = materialize(state.withColumn("out", no_options).withColumn("winner", _last_left()), "runoff")
+    state = rankings.groupBy(*keys).agg(F.sum("n").alias("ballots"), F.max(F.size("ranking")).alias("options"))
+    state = state.withColumn("out", F.array().cast("array<int>")).withColumn("winner", _last_left(F.col("out")))
+    state = cut(state)
     done = state.where(F.col("winner").isNotNull())
-    while True:
-        open_races = state.where(F.col("winner").isNull())
-        if open_races.isEmpty():
-            return done
-        state = materialize(_runoff_round(rankings, open_races, race), "runoff")
+    state = state.where(F.col("winner").isNull())
+    rounds = (state.agg(F.max("options")).first()[0] or 1) - 1
+    while rounds > 0 and not state.isEmpty():
+        for _ in range(min(rounds, ROUNDS_AT_ONCE)):
+            state = _runoff_round(rankings, state, keys)
+        rounds -= ROUNDS_AT_ONCE
+        state = cut(state)
         done = done.unionByName(state.where(F.col("winner").isNotNull()))
+        state = state.where(F.col("winner").isNull())
+    return done
 
 
-def _last_left() -> Column:
+def _last_left(out: Column) -> Column:
     """The only option left, null while there are several."""
-    remaining = F.array_except(F.sequence(F.lit(0), F.col("options") - 1), F.col("out"))
+    remaining = F.array_except(F.sequence(F.lit(0), F.col("options") - 1), out)
     return F.when(F.size(remaining) == 1, F.get(remaining, F.lit(0)))
 
 
-def _runoff_round(rankings: DataFrame, open_races: DataFrame, race: list[str]) -> DataFrame:
-    keys = race or ["_all"]
-    if not race:
-        rankings = rankings.withColumn("_all", F.lit(0))
-        open_races = open_races.withColumn("_all", F.lit(0))
-    # These are the same on all rows of a race, so grouping by them too spares a join back.
-    of_race = [*keys, "ballots", "options", "out"]
+def _runoff_round(rankings: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """The next state of every race; a closed one stays as it is."""
+    of_race = [*keys, "ballots", "options", "out", "winner"]
     left_in = F.filter("ranking", lambda o: ~F.array_contains("out", o))
-    first_choices = (
-        null_safe_join(rankings, open_races, keys)
-        .select(*of_race, F.get(left_in, F.lit(0)).alias("option"), F.col("n").alias("votes"))
-        .where(F.col("option").isNotNull())  # a shorter ballot can run out of options
+    votes = (
+        null_safe_join(rankings, state, keys)
+        # A shorter ballot can run out of options; it then counts for null.
+        .select(*of_race, F.get(left_in, F.lit(0)).alias("option"), "n")
+        .groupBy(*of_race, "option")
+        .agg(F.sum("n").alias("votes"))
+        .groupBy(*of_race)
+        .agg(F.collect_list(F.struct("option", "votes")).alias("counted"))
     )
-    # Options that nobody puts first still stand, with 0 votes.
-    standing = open_races.select(
-        *of_race,
-        F.explode(F.array_except(F.sequence(F.lit(0), F.col("options") - 1), F.col("out"))).alias("option"),
-        F.lit(0).cast("bigint").alias("votes"),
-    )
-    votes = first_choices.unionByName(standing).groupBy(*of_race, "option").agg(F.sum("votes").alias("votes"))
-    ends = votes.groupBy(*of_race).agg(
-        F.min(F.struct((-F.col("votes")).alias("v"), "option")).alias("top"),
-        F.min(F.struct("votes", "option")).alias("low"),
-    )
-    decided = F.col("top.v") * -2 > F.col("ballots")
+
+    def of_option(o: Column) -> Column:
+        """Options that nobody puts first still stand, with 0 votes."""
+        found = F.get(F.filter("counted", lambda c: c["option"] == o), F.lit(0))["votes"]
+        return F.struct(F.coalesce(found, F.lit(0)).alias("votes"), o.alias("option"))
+
+    standing = F.transform(F.array_except(F.sequence(F.lit(0), F.col("options") - 1), F.col("out")), of_option)
+    top = F.array_min(F.transform("standing", lambda s: F.struct((-s["votes"]).alias("v"), s["option"].alias("option"))))
+    ends = votes.withColumn("standing", standing).withColumns({"top": top, "low": F.array_min("standing")})
+    decided = F.col("winner").isNotNull() | (F.col("top.v") * -2 > F.col("ballots"))
     return (
-        ends.withColumn("out", F.when(decided, F.col("out")).otherwise(F.array_append("out", F.col("low.option"))))
-        .withColumn("winner", F.when(decided, F.col("top.option")).otherwise(_last_left()))
-        .select(*race, "ballots", "options", "out", "winner")
+        ends.withColumn("next", F.when(decided, F.col("out")).otherwise(F.array_append("out", F.col("low.option"))))
+        .withColumn(
+            "won", F.coalesce("winner", F.when(decided, F.col("top.option")).otherwise(_last_left(F.col("next"))))
+        )
+        .select(*keys, "ballots", "options", F.col("next").alias("out"), F.col("won").alias("winner"))
     )
 
 
-def method_results(df: DataFrame, race: Sequence[str] = (), n_options: int | None = None) -> DataFrame:
+def method_results(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, method, option, total, is_winner) of all five methods.
 
     For the instant runoff ``total`` is the round in which an option went out, null for those
     still standing at the end.
     """
-    listed = _settle(df, list(race), n_options).withColumn(
+    listed = _settle(df, list(race)).withColumn(
         "option", F.explode(F.sequence(F.lit(0), F.col("options") - 1))
     )
     rows = listed.select(
@@ -349,17 +269,18 @@ def method_results(df: DataFrame, race: Sequence[str] = (), n_options: int | Non
     }
     for method, count in tallies.items():
         rows = rows.unionByName(
-            count(df, race, n_options).select(*race, F.lit(method).alias("method"), "option", "total", "is_winner")
+            count(df, race).select(*race, F.lit(method).alias("method"), "option", "total", "is_winner")
         )
     return rows
 
 
-def sort_lexicographic(df: DataFrame) -> DataFrame:
-    """Ballots in element-by-element order of their scores."""
-    return df.orderBy("scores")
+def sort_lexicographic(df: DataFrame, key: str = "voter_id") -> DataFrame:
+    """Ballots in element-by-element order of their scores, equal ones by ``key``."""
+    return df.orderBy("scores", key)
 
 
 def sort_by_top_choice(df: DataFrame, key: str = "voter_id") -> DataFrame:
+    """Ballots by their top option, then by ``key``."""
     return df.withColumn("choice", top_position("scores")).orderBy("choice", key)
 
 
@@ -395,38 +316,49 @@ def distance_scores(df: DataFrame, positions: Sequence[Sequence[float]], choice:
     return df.withColumn("scores", normalized(let(F.get(options, F.col(choice)), by_distance)))
 
 
+def _closest(options: Column, x: str) -> Column:
+    """Smallest (d2, option) over an array of (option, center) of the point's width."""
+    fitting = F.filter(options, lambda o: F.size(o["center"]) == F.size(x))
+    return F.array_min(
+        F.transform(
+            fitting,
+            lambda o: F.struct(squared_distance(F.col(x), o["center"]).alias("d2"), o["option"].alias("option")),
+        )
+    )
+
+
 def nearest_option(
-    points: DataFrame, options: DataFrame, key: str = "id", x: str = "x", option: str = "option", center: str = "center"
+    points: DataFrame, options: Sequence[tuple[int, Sequence[float]]], key: str = "id", x: str = "x"
 ) -> DataFrame:
-    """(key, option, distance): the option closest to each point, the lower one on ties.
+    """(key, option, distance): the listed option closest to each point, the lower one on ties.
 
-    A short list of options travels with the plan as plain arithmetic and each row is settled
-    on its own; a longer list is met block by block and the best of all blocks is kept, for
-    which ``key`` must be unique.
+    One row out for each row in; a point of another width than all options, or null, has null.
+    Each row is settled on its own, so nothing moves.
     """
-    slim = options.select(F.col(option).alias("option"), F.col(center).alias("center"))
-    rows = bounded_rows(slim, LITERAL_OPTIONS)
-    if rows is not None:
-        kind = slim.schema["option"].dataType
-        met = [
-            F.struct(
-                unrolled_distance(F.col(x), r["center"]).alias("d2"), F.lit(r["option"]).cast(kind).alias("option")
-            )
-            for r in rows
+    if not options:
+        return points.select(key, F.lit(None).cast("int").alias("option"), F.lit(None).cast("double").alias("distance"))
+    listed = F.array(
+        *[
+            F.struct(F.lit(name).alias("option"), F.array(*[F.lit(float(v)) for v in center]).alias("center"))
+            for name, center in options
         ]
-        best = points.select(key, (F.least(*met) if len(met) > 1 else met[0]).alias("_best"))
-    else:
-        blocks = pair_with_blocks(points.select(key, x), slim, key="option", spread=key)
-        best = blocks.select(key, _closest(F.col("_options"), x).alias("_best"))
-        best = best.groupBy(key).agg(F.min("_best").alias("_best"))
+    )
+    best = points.select(key, _closest(listed, x).alias("_best"))
     return best.select(key, "_best.option", F.sqrt("_best.d2").alias("distance"))
 
 
-def _closest(options: Column, x: str) -> Column:
-    """Smallest (d2, option) over an array of (option, center)."""
-    return F.array_min(
-        F.transform(
-            options,
-            lambda o: F.struct(squared_distance(F.col(x), o["center"]).alias("d2"), o["option"].alias("option")),
-        )
-    )
+def nearest_option_in_table(
+    points: DataFrame, options: DataFrame, key: str = "id", x: str = "x", option: str = "option", center: str = "center"
+) -> DataFrame:
+    """``nearest_option`` for a table of options that may be long, with the same contract.
+
+    Equal (key, point) rows are counted and settled once. Each is met by every block of options,
+    the best of all blocks is kept, and the row is repeated as often as it came.
+    """
+    counted = points.select(key, x).groupBy(key, x).agg(F.count(F.lit(1)).alias("_n"))
+    slim = options.select(F.col(option).alias("option"), F.col(center).alias("center"))
+    blocks = pair_with_blocks(counted, slim, key="option", spread=x)
+    best = blocks.select(key, x, "_n", _closest(F.col("_options"), x).alias("_best"))
+    best = best.groupBy(key, x, "_n").agg(F.min("_best").alias("_best"))
+    repeated = best.select(key, "_best", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
+    return repeated.select(key, "_best.option", F.sqrt("_best.d2").alias("distance"))

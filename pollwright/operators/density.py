@@ -3,37 +3,31 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pollwright.functions.columns import bin_index, let, squared_distance, unrolled_distance
-from pollwright.functions.scale import bounded_rows, pair_with_blocks
+from pollwright.functions.columns import bin_index, let, squared_distance
+from pollwright.functions.scale import pair_with_blocks
 
 LOG_2PI = math.log(2.0 * math.pi)
 
-# Mixtures up to this size become part of the plan; larger ones are met block by block.
-LITERAL_MODES = 64
+Mode = tuple[Sequence[float], float, float]  # center, weight, scale
 
 
 def _mode_terms(modes: Column, x: str) -> Column:
-    """``log w + log N(x; center, scale^2 I)`` for an array of (center, weight, scale)."""
+    """``log w + log N(x; center, scale^2 I)`` for an array of (center, weight, scale); modes
+    without weight or of another width have none."""
     d = F.size(x)
     return F.transform(
-        modes,
+        F.filter(modes, lambda m: (m["weight"] > 0) & (F.size(m["center"]) == d)),
         lambda m: F.ln(m["weight"])
         - d * (F.ln(m["scale"]) + LOG_2PI / 2)
         - squared_distance(F.col(x), m["center"]) / (F.lit(2.0) * m["scale"] * m["scale"]),
     )
 
 
-def _literal_term(mode: Row, x: str) -> Column:
-    """The same for one known mode, as plain arithmetic."""
-    constant = math.log(mode["weight"]) - len(mode["center"]) * (math.log(mode["scale"]) + LOG_2PI / 2)
-    return F.lit(constant) - unrolled_distance(F.col(x), mode["center"]) / F.lit(2.0 * mode["scale"] ** 2)
-
-
 def _max_and_sum(terms: Column) -> Column:
     """(top, sum of exp(term - top)): the pieces of a log-sum-exp that can be merged."""
     topped = let(terms, lambda ts: F.struct(ts.alias("ts"), F.array_max(ts).alias("top")))
@@ -46,31 +40,52 @@ def _max_and_sum(terms: Column) -> Column:
     )
 
 
-def mixture_log_density(points: DataFrame, modes: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
-    """(key, log_density) under a Gaussian mixture with spherical modes.
+def _listed(modes: Sequence[Mode]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.array(*[F.lit(float(v)) for v in center]).alias("center"),
+                F.lit(float(weight)).alias("weight"),
+                F.lit(float(scale)).alias("scale"),
+            )
+            for center, weight, scale in modes
+        ]
+    )
+
+
+def _log_density(modes: Sequence[Mode], x: str) -> Column:
+    if not modes:
+        return F.lit(None).cast("double")
+    return let(_max_and_sum(_mode_terms(_listed(modes), x)), lambda p: p["top"] + F.ln(p["sum"]))
+
+
+def mixture_log_density(points: DataFrame, modes: Sequence[Mode], key: str = "id", x: str = "x") -> DataFrame:
+    """(key, log_density) under a Gaussian mixture of listed spherical modes.
+
+    One row out for each row in; a null point, or one of another width than all modes, has null.
+    A row needs only itself and the modes, so nothing moves.
+    """
+    return points.select(key, _log_density(modes, x).alias("log_density"))
+
+
+def mixture_log_density_by_table(points: DataFrame, modes: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
+    """``mixture_log_density`` for a table (mode_id, center, weight, scale) that may be long, with
+    the same contract.
 
-    A row needs only itself and the modes, so nothing is shuffled. For mixtures beyond
-    ``LITERAL_MODES`` the sum is built from one (max, sum) pair per block of modes; ``key``
-    must then be unique.
+    Equal (key, point) rows are counted and scored once. Each is met by every block of modes, the
+    sum is built from one (max, sum) pair per block, and the row is repeated as often as it came.
     """
-    slim = modes.select("mode_id", "center", "weight", "scale").where(F.col("weight") > 0)
-    rows = bounded_rows(slim, LITERAL_MODES)
-    if rows is not None:
-        names = [f"_t{i}" for i in range(len(rows))]
-        ordered = sorted(rows, key=lambda r: r["mode_id"])
-        scored = points.select("*", *[_literal_term(m, x).alias(n) for n, m in zip(names, ordered)])
-        scored = scored.withColumn("_top", F.greatest(*names) if len(names) > 1 else F.col(names[0]))
-        total = reduce(lambda a, b: a + b, [F.exp(F.col(n) - F.col("_top")) for n in names])
-        return scored.select(key, (F.col("_top") + F.ln(total)).alias("log_density"))
-    met = pair_with_blocks(points.select(key, x), slim, key="mode_id", spread=key)
-    parts = met.select(key, _max_and_sum(_mode_terms(F.col("_options"), x)).alias("_p"))
+    counted = points.select(key, x).groupBy(key, x).agg(F.count(F.lit(1)).alias("_n"))
+    slim = modes.select("mode_id", "center", "weight", "scale")
+    met = pair_with_blocks(counted, slim, key="mode_id", spread=x)
+    parts = met.select(key, x, "_n", _max_and_sum(_mode_terms(F.col("_options"), x)).alias("_p"))
     # One short list per point: as many entries as there are blocks.
-    merged = parts.groupBy(key).agg(F.collect_list("_p").alias("_ps"))
+    tops = parts.groupBy(key, x, "_n").agg(F.collect_list(F.when(F.col("_p.top").isNotNull(), F.col("_p"))).alias("_ps"))
     top = F.array_max(F.transform("_ps", lambda p: p["top"]))
     total = let(
         top, lambda t: t + F.ln(F.aggregate("_ps", F.lit(0.0), lambda acc, p: acc + p["sum"] * F.exp(p["top"] - t)))
     )
-    return merged.select(key, total.alias("log_density"))
+    return tops.select(key, total.alias("log_density"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).drop("_i")
 
 
 def standard_normal_log_density(points: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
@@ -143,11 +158,11 @@ def marginal_grid(points: DataFrame, grid: int = 30, lim: float = 1.5, x: str =
     )
 
 
-def score_both(points: DataFrame, modes: DataFrame, key: str = "id", x: str = "x") -> DataFrame:
-    """Both log densities of every point side by side, without a join."""
-    scored = mixture_log_density(points.withColumn("_keep", F.struct(key, x)), modes, "_keep", x)
-    flat = scored.select(F.col(f"_keep.{key}").alias(key), F.col(f"_keep.{x}").alias(x), "log_density")
+def score_both(points: DataFrame, modes: Sequence[Mode], key: str = "id", x: str = "x") -> DataFrame:
+    """Both log densities of every point side by side, in one pass."""
     squares = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v * v + LOG_2PI)
-    return flat.select(
-        key, (F.lit(-0.5) * squares).alias("model_log_density"), F.col("log_density").alias("target_log_density")
+    return points.select(
+        key,
+        (F.lit(-0.5) * squares).alias("model_log_density"),
+        _log_density(modes, x).alias("target_log_density"),
     )

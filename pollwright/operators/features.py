@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pollwright.functions.scale import MAX_COLUMNS, bounded_rows, running_sum
+from pollwright.functions.scale import running_sum
 
 UNKNOWN = "Unknown"
 
@@ -21,44 +21,41 @@ def _category(column: str):
     return F.coalesce(F.col(column).cast("string"), F.lit(UNKNOWN))
 
 
-def fit_labels(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
-    """Per column a table (value, code): the position among the sorted distinct values.
+def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value): the distinct values of all columns, in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("value")) for c in columns])
+    return df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
 
-    Codes are a running count over range-partitioned values, so a column with very many
-    categories is numbered in parallel.
+
+def fit_labels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, code): the position of each value among the sorted values of its column.
+
+    Codes are a running count over range-partitioned values, so columns with very many
+    categories are numbered in parallel, and all of them in one pass.
     """
-    fitted = {}
-    for c in columns:
-        values = df.select(_category(c).alias("value")).distinct()
-        counted = running_sum(values, [], ["value"], F.lit(1).cast("bigint"), "_n")
-        fitted[c] = counted.select("value", (F.col("_n") - 1).cast("bigint").alias("code"))
-    return fitted
+    counted = running_sum(category_values(df, columns), ["column"], ["value"], F.lit(1).cast("bigint"), "_n")
+    return counted.select("column", "value", (F.col("_n") - 1).cast("bigint").alias("code"))
 
 
-def label_encode(df: DataFrame, labels: Mapping[str, DataFrame]) -> DataFrame:
-    """``{col}_code`` for every fitted column; a value not seen in fitting is an error."""
+def label_encode(df: DataFrame, labels: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``{col}_code`` for every column; a value not seen in fitting is an error."""
     out = df
-    for c, table in labels.items():
-        lookup = table.select(F.col("value").alias("_value"), F.col("code").alias(f"{c}_code"))
+    for c in columns:
+        lookup = labels.where(F.col("column") == c).select(F.col("value").alias("_value"), F.col("code").alias(f"{c}_code"))
         out = out.withColumn("_key", _category(c)).join(lookup, F.col("_key") == F.col("_value"), "left")
         unseen = F.raise_error(F.concat(F.lit(f"unseen value in {c}: "), F.col("_key"))).cast("bigint")
         out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), unseen)).drop("_key", "_value")
     return out
 
 
-def fit_one_hot(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values per column; they become column names, so they must be few."""
-    fitted = {}
-    for c in columns:
-        rows = bounded_rows(df.select(_category(c).alias("value")).distinct(), MAX_COLUMNS)
-        if rows is None:
-            raise ValueError(f"{c} has more than {MAX_COLUMNS} values; use label_encode")
-        fitted[c] = sorted(r["value"] for r in rows)
-    return fitted
+def one_hot_long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, column, value): the ones of a one-hot encoding, for any number of values."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), _category(c).alias("value")) for c in columns])
+    return df.select(key, F.explode(pairs).alias("_p")).select(key, "_p.*")
 
 
 def one_hot(df: DataFrame, values: Mapping[str, Sequence[str]]) -> DataFrame:
-    """0/1 columns ``{col}_{value}``; an unseen value gives zeros."""
+    """0/1 columns ``{col}_{value}`` for the listed values; another value gives zeros."""
     return df.select(
         "*",
         *[(_category(c) == v).cast("int").alias(f"{c}_{v}") for c, vs in values.items() for v in vs],
@@ -87,16 +84,20 @@ def standard_scale(df: DataFrame, columns: Sequence[str], scaler: DataFrame | No
 
 
 class DemographicEncoder:
-    """Label codes, then one-hot columns, then scaled numbers, fitted once and reused."""
+    """Label codes, then one-hot columns, then scaled numbers, fitted once and reused.
+
+    ``onehot`` lists the values of each one-hot column, which become columns of the result.
+    """
 
-    def __init__(self, categorical: Sequence[str], numerical: Sequence[str], onehot: Sequence[str] = ()):
+    def __init__(
+        self, categorical: Sequence[str], numerical: Sequence[str], onehot: Mapping[str, Sequence[str]] | None = None
+    ):
         self.categorical = list(categorical)
         self.numerical = list(numerical)
-        self.onehot = list(onehot)
+        self.values = {c: list(vs) for c, vs in (onehot or {}).items()}
 
     def fit(self, df: DataFrame) -> DemographicEncoder:
         self.labels = fit_labels(df, self.categorical)
-        self.values = fit_one_hot(df, self.onehot)
         self.scaler = fit_scaler(df, self.numerical) if self.numerical else None
         return self
 
@@ -106,14 +107,18 @@ class DemographicEncoder:
         return [f"{c}_code" for c in self.categorical] + hot + self.numerical
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        out = one_hot(label_encode(df, self.labels), self.values)
+        out = one_hot(label_encode(df, self.labels, self.categorical), self.values)
         if self.numerical:
             out = standard_scale(out, self.numerical, self.scaler)
         return out.select(*keep, *[f"`{n}`" for n in self.feature_names])
 
 
 def encode_demographics(
-    df: DataFrame, categorical: Sequence[str], numerical: Sequence[str], onehot: Sequence[str] = (), keep=()
+    df: DataFrame,
+    categorical: Sequence[str],
+    numerical: Sequence[str],
+    onehot: Mapping[str, Sequence[str]] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     return DemographicEncoder(categorical, numerical, onehot).fit(df).transform(df, keep)
 

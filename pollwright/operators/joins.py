@@ -103,14 +103,14 @@ def carry_terms(rows: DataFrame, special: DataFrame) -> DataFrame:
 def align_nearest(surveys: DataFrame, elections: DataFrame, date: str = "date", year: str = "year") -> DataFrame:
     """Each election row with the survey nearest to 1 November of its year, the earlier on ties.
 
-    Only distinct dates are compared: surveys are first reduced to one row per date (the
-    smallest, if a date has several). The window without a partition key therefore holds at
+    Only distinct days are compared: surveys are first reduced to one row per day (the
+    smallest, if a day has several). The window without a partition key therefore holds at
     most one row per calendar day and year, and the result has one row per election year.
     """
     values = [c for c in surveys.columns if c != date]
     per_day = (
         surveys.where(F.col(date).isNotNull())
-        .groupBy(F.col(date).alias("_day"))
+        .groupBy(F.col(date).cast("date").alias("_day"))
         .agg(F.min(F.struct(*values)).alias("_values"))
         .select("_day", F.struct(F.col("_day").alias("day"), F.col("_values").alias("values")).alias("_survey"))
     )
@@ -123,12 +123,12 @@ def align_nearest(surveys: DataFrame, elections: DataFrame, date: str = "date",
     line = per_day.unionByName(targets, allowMissingColumns=True)
     in_order = Window.orderBy("_day")
     before = in_order.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = in_order.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc("_day")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     near = line.select(
         "_year",
         "_day",
         F.last("_survey", ignorenulls=True).over(before).alias("_left"),
-        F.first("_survey", ignorenulls=True).over(after).alias("_right"),
+        F.last("_survey", ignorenulls=True).over(after).alias("_right"),
     ).where(F.col("_year").isNotNull())
     to_left = F.datediff("_day", "_left.day")
     to_right = F.datediff("_right.day", "_day")

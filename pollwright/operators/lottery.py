@@ -51,8 +51,8 @@ def vote_slices(
     up to 4,096 blocks, so the window over a race sees only block sums and the window inside
     a block sees only a small part of the race. The chances do not depend on the order.
 
-    Also gives ``race_total`` (largest total of the race), ``race_votes`` (sum of its
-    candidates) and ``count_win`` (1 for the most votes, on all that tie).
+    Also gives ``race_total`` (largest total of the race, or ``race_votes`` where no total above
+    0 is known), ``race_votes`` (sum of its candidates) and ``count_win`` (1 for the most votes, on all that tie).
     """
     race, ticket = list(race), list(ticket)
     tickets = (
@@ -94,7 +94,9 @@ def vote_slices(
         "race_votes",
         # The ticket's own total changes nothing here; using it keeps both branches on the
         # same ticket aggregate, so that Spark computes it once.
-        F.greatest("_race_total", "_total").alias("race_total"),
+        F.when(F.greatest("_race_total", "_total") > 0, F.greatest("_race_total", "_total"))
+        .otherwise(F.col("race_votes"))
+        .alias("race_total"),
         (F.col("votes") == F.col("_top")).cast("int").alias("count_win"),
     )
 

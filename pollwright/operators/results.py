@@ -150,6 +150,8 @@ def distinct_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def sort_results(df: DataFrame, office: str, votes: str = "candidatevotes") -> DataFrame:
-    """Year, state and seat upwards, votes downwards."""
+    """Year, state and seat upwards, votes downwards; then all other columns, so that equal rows
+    keep their place."""
     seat = {"senate": ["class"], "house": ["district"], "president": []}[check_office(office)]
-    return df.orderBy("year", "state", *seat, F.desc(votes))
+    first = ["year", "state", *seat]
+    return df.orderBy(*first, F.desc(votes), *[c for c in df.columns if c not in (*first, votes)])

@@ -108,13 +108,17 @@ def standardize_old_format(df: DataFrame, office: str) -> DataFrame:
 
 
 def import_election(df: DataFrame, office: str) -> DataFrame:
-    """Any result file to the office's standard schema."""
+    """Any result file to the office's standard schema. Where the file has no race totals they are
+    the sums of the candidates' votes."""
     check_office(office)
     shaped = standardize_new_format(df, office) if is_new_format(df) else standardize_old_format(df, office)
     cleaned = shaped.withColumns(
         {c: _text_or(shaped, c, "") for c in ("party", "candidate", "state")} | _typed(shaped)
     )
-    return require_columns(cleaned, office).withColumns({c: to_votes(c) for c in ("candidatevotes", "totalvotes")})
+    full = require_columns(cleaned, office).withColumns({c: to_votes(c) for c in ("candidatevotes", "totalvotes")})
+    if "totalvotes" in cleaned.columns:
+        return full
+    return derive_totalvotes(full.drop("totalvotes"), race_keys(office)).select(*full.columns)
 
 
 def _typed(df: DataFrame) -> dict[str, Column]:
@@ -123,6 +127,12 @@ def _typed(df: DataFrame) -> dict[str, Column]:
     return whole | ({"writein": as_flag("writein")} if "writein" in df.columns else {})
 
 
+def race_keys(office: str) -> list[str]:
+    """The columns that tell an office's races apart."""
+    seat = {"house": ["district"], "senate": ["district", "class"], "president": []}
+    return ["year", "state", *seat[check_office(office)]]
+
+
 def derive_totalvotes(df: DataFrame, keys=("year", "state", "district")) -> DataFrame:
     """Race total as the sum of its candidates, where the file has none."""
     if "totalvotes" in df.columns:
@@ -146,22 +156,22 @@ def validate(df: DataFrame, office: str, keys=("year", "state", "district")) ->
             bad_class = ~F.coalesce(F.col("class").try_cast("int").between(1, 3), F.lit(False))
         total = to_number("totalvotes") if "totalvotes" in df.columns else F.lit(None).cast("double")
         per_race = df.groupBy(*races).agg(
-            F.count_if(votes.isNull()).alias("text"),
-            F.count_if(votes < 0).alias("negative"),
-            F.count_if(bad_class).alias("class"),
-            F.coalesce(F.sum(votes), F.lit(0.0)).alias("sum"),
-            F.min(total).alias("low"),
-            F.max(total).alias("high"),
+            F.count_if(votes.isNull()).alias("_text"),
+            F.count_if(votes < 0).alias("_negative"),
+            F.count_if(bad_class).alias("_class"),
+            F.coalesce(F.sum(votes), F.lit(0.0)).alias("_sum"),
+            F.min(total).alias("_low"),
+            F.max(total).alias("_high"),
         )
-        off = ~(F.col("sum").eqNullSafe(F.col("low")) & F.col("sum").eqNullSafe(F.col("high")))
+        off = ~(F.col("_sum").eqNullSafe(F.col("_low")) & F.col("_sum").eqNullSafe(F.col("_high")))
         # The race check skips races with a null key, as a group-by in pandas does.
         keyed = F.lit(True)
         for k in races:
             keyed = keyed & F.col(k).isNotNull()
         summary = per_race.agg(
-            F.sum("text").alias("numeric_votes"),
-            F.sum("negative").alias("nonnegative_votes"),
-            F.sum("class").alias("senate_class"),
+            F.sum("_text").alias("numeric_votes"),
+            F.sum("_negative").alias("nonnegative_votes"),
+            F.sum("_class").alias("senate_class"),
             F.count_if(off & keyed).alias("race_totals"),
         )
         checks |= {"numeric_votes": F.col("numeric_votes"), "nonnegative_votes": F.col("nonnegative_votes")}

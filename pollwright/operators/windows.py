@@ -75,12 +75,14 @@ def interpolate_monthly(
     )
     in_order = Window.partitionBy(*keys).orderBy(date)
     before = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = in_order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The same running frame from the other end: a frame that starts at the current row would
+    # be read anew for every row.
+    after = Window.partitionBy(*keys).orderBy(F.desc(date)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = filled.withColumn("_at", F.row_number().over(in_order))
     for v in values:
         spot = F.when(F.col(v).isNotNull(), F.struct(F.col("_at").alias("at"), F.col(v).alias("v")))
         placed = placed.withColumn(f"_{v}_left", F.last(spot, ignorenulls=True).over(before)).withColumn(
-            f"_{v}_right", F.first(spot, ignorenulls=True).over(after)
+            f"_{v}_right", F.last(spot, ignorenulls=True).over(after)
         )
     out = []
     for v in values:

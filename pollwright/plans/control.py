@@ -53,7 +53,7 @@ def senate_current(df: DataFrame) -> DataFrame:
     rows = senate_class_columns(rows.withColumn("class", F.col("class").cast("int")))
     carried = ["state", "year_class", "actually_special"]
     slices = vote_slices(rows, SENATE_RACE, ["candidate", "party_simplified", *carried])
-    return effective_year(carry_terms(slices, rows.where("actually_special")))
+    return effective_year(carry_terms(slices, slices.where("actually_special")))
 
 
 def senate_winners(df: DataFrame, n: int = 200, seed: int = 42, undervote: str = "none") -> DataFrame:

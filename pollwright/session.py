@@ -36,9 +36,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that
-    survives lost executors and is computed once."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder: computed once, and not again when an executor
+    is lost. With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes the files
+    when nobody refers to them any more."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch_dir(df.sparkSession))
+    return df.checkpoint()

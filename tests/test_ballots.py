@@ -47,8 +47,7 @@ def runoff(orders, options):
     return standing[0], out
 
 
-@pytest.mark.parametrize("fixed", [True, False])
-def test_all_methods_against_loops(spark, fixed):
+def test_all_methods_against_loops(spark):
     rng = random.Random(3)
     m, data = 4, {}
     for race in range(6):
@@ -58,15 +57,14 @@ def test_all_methods_against_loops(spark, fixed):
         [(f"{r}-{i}", r, list(map(float, s))) for r, b in data.items() for i, s in enumerate(b)],
         "voter_id string, race int, scores array<double>",
     )
-    n = m if fixed else None
     get = lambda d, *k: {tuple(r[x] for x in k): r for r in d.collect()}
-    plurality = get(bal.plurality_count(df, ["race"], n), "race", "option")
-    approval = get(bal.approval_count(df, ["race"], n), "race", "option")
-    borda = get(bal.borda_count(df, ["race"], n), "race", "option")
-    places = get(bal.rank_distribution(df, ["race"], n), "race", "option", "rank")
-    condorcet = get(bal.condorcet(df, ["race"], n), "race", "option")
-    percent = get(bal.pairwise_percent(df, ["race"], n), "race", "option", "opponent")
-    irv = get(bal.instant_runoff(df, ["race"], n), "race")
+    plurality = get(bal.plurality_count(df, ["race"]), "race", "option")
+    approval = get(bal.approval_count(df, ["race"]), "race", "option")
+    borda = get(bal.borda_count(df, ["race"]), "race", "option")
+    places = get(bal.rank_distribution(df, ["race"]), "race", "option", "rank")
+    condorcet = get(bal.condorcet(df, ["race"]), "race", "option")
+    percent = get(bal.pairwise_percent(df, ["race"]), "race", "option", "opponent")
+    irv = get(bal.instant_runoff(df, ["race"]), "race")
     for race, scores in data.items():
         orders = [sorted(range(m), key=lambda c: (-s[c], c)) for s in scores]
         for c in range(m):
@@ -113,10 +111,61 @@ def test_runoff_of_short_and_empty_ballots(spark):
     assert bal.instant_runoff(table(spark, [[]]), ["race"]).count() == 0
 
 
-def test_wrong_width_stops(spark):
-    df = table(spark, [[1, 2], [1, 2, 3]])
-    with pytest.raises(Exception, match="does not have 3 options"):
-        bal.borda_count(df, ["race"], 3).collect()
+def test_null_and_nan_rank_last(spark):
+    nan = float("nan")
+    rows = [[None, 0.3, 0.2], [nan, 0.5, 0.1], [0.1, None, nan], [None, nan, None]]
+    df = spark.createDataFrame([(i, i, s) for i, s in enumerate(rows)], "voter_id long, race int, scores array<double>")
+    ranking = {r["voter_id"]: r["ranking"] for r in bal.ranked_ballot(df).collect()}
+    assert ranking == {0: [1, 2, 0], 1: [1, 2, 0], 2: [0, 1, 2], 3: [0, 1, 2]}
+    for count in (bal.plurality_count, bal.borda_count):
+        winners = {r["race"]: r["option"] for r in count(df, ["race"]).where("is_winner").collect()}
+        assert winners == {0: 1, 1: 1, 2: 0, 3: 0}
+    irv = {r["race"]: r["winner"] for r in bal.instant_runoff(df, ["race"]).collect()}
+    assert irv == {0: 1, 1: 1, 2: 0, 3: 0}
+    duels = {(r["race"], r["a"], r["b"]): (r["a_over_b"], r["b_over_a"]) for r in bal.pairwise(df, ["race"]).collect()}
+    assert duels[0, 0, 1] == (0, 1) and duels[1, 0, 2] == (0, 1) and duels[2, 1, 2] == (0, 0) and duels[3, 0, 1] == (0, 0)
+
+
+def test_only_option_wins_every_pair(spark):
+    (row,) = bal.condorcet(table(spark, [[1.0], [2.0]]), ["race"]).collect()
+    assert (row["option"], row["total"], row["is_winner"]) == (0, 0, True)
+
+
+def test_many_options(spark):
+    rng = random.Random(8)
+    m = 64
+    scores = [[rng.random() for _ in range(m)] for _ in range(40)]
+    df = table(spark, scores)
+    orders = [sorted(range(m), key=lambda c: (-s[c], c)) for s in scores]
+    winner, out = runoff(orders, m)
+    got = bal.instant_runoff(df, ["race"]).first()
+    assert (got["winner"], got["elimination_order"]) == (winner, out)
+    beaten = {r["option"]: r["total"] for r in bal.condorcet(df, ["race"]).collect()}
+    for c in (0, 31, 63):
+        assert beaten[c] == sum(2 * sum(s[c] > s[d] for s in scores) > len(scores) for d in range(m) if d != c)
+
+
+def test_runoff_leaves_no_files(spark):
+    """Checkpoints go when nobody refers to them."""
+    import gc
+    import time
+    from pathlib import Path
+
+    from pollwright.session import scratch_dir
+
+    # Spark's folder for this session lies below the shared one.
+    shared = Path(scratch_dir(spark).removeprefix("file:"))
+    files = lambda: {str(p) for p in shared.glob("*/rdd-*")}
+    before = files()
+    rows = bal.instant_runoff(table(spark, [[1, 2, 3], [3, 2, 1], [2, 3, 1]]), ["race"]).collect()
+    assert len(rows) == 1 and files() - before
+    for _ in range(60):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if not files() - before:
+            break
+        time.sleep(0.5)
+    assert not files() - before
 
 
 def test_sorting(spark):
@@ -134,15 +183,24 @@ def test_distance_scores(spark):
     assert scores == pytest.approx([r / sum(raw) for r in raw])
 
 
-def test_nearest_option_by_blocks_equals_literal(spark, monkeypatch):
-    points = spark.range(300).select("id", F.array((F.col("id") % 17).cast("double"), (F.col("id") % 5).cast("double")).alias("x"))
-    options = spark.range(40).select(
-        F.col("id").alias("option"), F.array((F.col("id") % 8).cast("double"), (F.col("id") % 3).cast("double")).alias("center")
-    )
-    short = {r["id"]: (r["option"], r["distance"]) for r in bal.nearest_option(points, options).collect()}
-    monkeypatch.setattr(bal, "LITERAL_OPTIONS", 3)
-    monkeypatch.setattr(
-        bal, "pair_with_blocks", lambda *a, **k: __import__("pollwright.functions.scale", fromlist=["x"]).pair_with_blocks(*a, **k, block_rows=7)
-    )
-    long = {r["id"]: (r["option"], r["distance"]) for r in bal.nearest_option(points, options).collect()}
-    assert short == long and len(short) == 300
+@pytest.mark.parametrize("n", [1, 64, 65, 600])
+def test_nearest_option_listed_and_in_a_table(spark, n):
+    """One row out per row in, at every number of options: equal and null ids, odd widths, null."""
+    options = [(i, [float(i % 8), float(i % 3)]) for i in range(n)]
+    rows = [(i % 40 if i % 9 else None, [float(i % 17), float(i % 5)]) for i in range(120)]
+    rows += [(7, [1.0, 2.0, 3.0]), (7, None), (None, [1.0])]
+    points = spark.createDataFrame(rows, "id long, x array<double>")
+    wide = spark.createDataFrame(options, "option int, center array<double>")
+    want = []
+    for i, x in rows:
+        if x is None or len(x) != 2:
+            want.append((i, None, None))
+        else:
+            d2, o = min(((x[0] - c[0]) ** 2 + (x[1] - c[1]) ** 2, o) for o, c in options)
+            want.append((i, o, d2**0.5))
+    order = lambda r: tuple((v is not None, v) for v in r)
+    for got in (bal.nearest_option(points, options), bal.nearest_option_in_table(points, wide)):
+        assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+    assert bal.nearest_option(points, []).where("option is not null").count() == 0
+    none = bal.nearest_option_in_table(points, wide.limit(0))
+    assert none.count() == len(rows) and none.where("option is not null").count() == 0

@@ -7,22 +7,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pollwright.functions.scale import pair_with_blocks
 from pollwright.operators import density, features
 
 
 def test_labels_and_unseen_value(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "c string")
     labels = features.fit_labels(df, ["c"])
-    codes = sorted((r["c"] or "", r["c_code"]) for r in features.label_encode(df, labels).collect())
+    codes = sorted((r["c"] or "", r["c_code"]) for r in features.label_encode(df, labels, ["c"]).collect())
     assert codes == [("", 0), ("a", 1), ("b", 2), ("b", 2)]  # 'Unknown' sorts before lower case
     with pytest.raises(Exception, match="unseen value in c: z"):
-        features.label_encode(spark.createDataFrame([("z",)], "c string"), labels).collect()
+        features.label_encode(spark.createDataFrame([("z",)], "c string"), labels, ["c"]).collect()
 
 
 def test_one_hot_unseen_is_zero(spark):
-    values = features.fit_one_hot(spark.createDataFrame([("a",), (None,)], "c string"), ["c"])
-    row = features.one_hot(spark.createDataFrame([("z",)], "c string"), values).first()
+    known = features.category_values(spark.createDataFrame([("a",), (None,)], "c string"), ["c"])
+    values = sorted(r["value"] for r in known.collect())
+    row = features.one_hot(spark.createDataFrame([("z",)], "c string"), {"c": values}).first()
     assert row.asDict() == {"c": "z", "c_Unknown": 0, "c_a": 0}
 
 
@@ -36,7 +36,7 @@ def test_scaling(spark):
 
 def test_encoder_applies_what_it_fitted(spark):
     train = spark.createDataFrame([("a", "u", 0.0), ("b", "v", 2.0)], "c string, h string, x double")
-    encoder = features.DemographicEncoder(["c"], ["x"], ["h"]).fit(train)
+    encoder = features.DemographicEncoder(["c"], ["x"], {"h": ["u", "v"]}).fit(train)
     assert encoder.feature_names == ["c_code", "h_u", "h_v", "x"]
     row = encoder.transform(spark.createDataFrame([("b", "w", 3.0)], "c string, h string, x double")).first()
     assert tuple(row) == (1, 0, 0, 2.0)
@@ -59,36 +59,36 @@ def test_date_features(spark):
     assert row["sin_day"] == pytest.approx(math.sin(2 * math.pi * 366 / 365))
 
 
-def mixture(spark, k):
+def expected(x, modes):
+    if x is None or len(x) != 3:
+        return None
+    terms = [
+        math.log(w) - 3 * math.log(s) - 1.5 * math.log(2 * math.pi) - np.sum((np.array(x) - np.array(c)) ** 2) / (2 * s * s)
+        for c, w, s in modes
+        if w > 0
+    ]
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
+@pytest.mark.parametrize("k", [1, 64, 65, 600])
+def test_mixture_listed_and_in_a_table(spark, k):
+    """One row out per row in, at every number of modes: equal and null ids, odd widths, null."""
     rng = np.random.default_rng(5)
-    centers, weights = rng.normal(size=(k, 3)), rng.random(k)
-    modes = [(i, list(map(float, c)), float(w), 0.3 + 0.01 * i) for i, (c, w) in enumerate(zip(centers, weights))]
-    return spark.createDataFrame(modes, "mode_id int, center array<double>, weight double, scale double"), modes
-
-
-def expected(points, modes):
-    out = []
-    for x in points:
-        terms = [
-            math.log(w) - 3 * math.log(s) - 1.5 * math.log(2 * math.pi) - np.sum((x - np.array(c)) ** 2) / (2 * s * s)
-            for _, c, w, s in modes
-        ]
-        top = max(terms)
-        out.append(top + math.log(sum(math.exp(t - top) for t in terms)))
-    return out
-
-
-@pytest.mark.parametrize("limit", [64, 2])
-def test_mixture_both_ways(spark, monkeypatch, limit):
-    monkeypatch.setattr(density, "LITERAL_MODES", limit)
-    monkeypatch.setattr(density, "pair_with_blocks", lambda *a, **k: pair_with_blocks(*a, **k, block_rows=4))
-    modes, plain = mixture(spark, 9)
-    xs = np.random.default_rng(1).normal(size=(50, 3)) * 3
-    points = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(xs)], "id int, x array<double>")
-    got = {r["id"]: r["log_density"] for r in density.mixture_log_density(points, modes).collect()}
-    assert [got[i] for i in range(50)] == pytest.approx(expected(xs, plain), abs=1e-9)
+    modes = [(c.tolist(), 0.0 if i == 3 else float(w), 0.3 + i / 600) for i, (c, w) in enumerate(zip(rng.normal(size=(k, 3)), rng.random(k)))]
+    rows = [(int(i) % 30 if i % 7 else None, (rng.normal(size=3) * 3).tolist()) for i in range(50)]
+    rows += [(1, rows[1][1]), (1, rows[1][1]), (2, [1.0, 2.0, 3.0, 4.0]), (2, None), (None, [0.5])]
+    points = spark.createDataFrame(rows, "id int, x array<double>")
+    table = spark.createDataFrame([(i, *m) for i, m in enumerate(modes)], "mode_id int, center array<double>, weight double, scale double")
+    order = lambda r: (r[0] is not None, r[0], r[1] is not None, r[1])
+    want = sorted(((i, expected(x, modes)) for i, x in rows), key=order)
+    for scored in (density.mixture_log_density(points, modes), density.mixture_log_density_by_table(points, table)):
+        got = sorted(map(tuple, scored.collect()), key=order)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        for (_, g), (_, w) in zip(got, want):
+            assert (g is None) == (w is None) and (g is None or g == pytest.approx(w, abs=1e-9))
     both = density.score_both(points, modes).agg(F.count("*"), F.avg("target_log_density")).first()
-    assert both[0] == 50 and both[1] == pytest.approx(np.mean(expected(xs, plain)))
+    assert both[0] == len(rows) and both[1] == pytest.approx(np.mean([w for _, w in want if w is not None]))
 
 
 def test_marginals(spark):

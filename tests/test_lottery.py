@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pollwright.operators import lottery
+from pollwright.operators.standardize import import_election
 from pollwright.plans import control
 
 SCHEMA = "race string, candidate string, candidatevotes double, totalvotes double"
@@ -133,3 +134,23 @@ def test_electors_all_cast(spark):
     drawn = control.elector_lottery(pres, house, 10)
     totals = [r["s"] for r in drawn.groupBy("replicate").agg(F.sum("electors").alias("s")).collect()]
     assert totals == [7] * 10
+
+
+def test_unknown_totals_are_the_votes(spark):
+    """A race without a total above 0, as new files have it, is drawn over the votes it has."""
+    df = spark.createDataFrame(
+        [("a", 60.0, 0.0), ("b", 40.0, None)], "candidate string, candidatevotes double, totalvotes double"
+    ).withColumn("race", F.lit(1))
+    wins = lottery.lottery_winners(df, ["race"], ["candidate"], n=200).groupBy("candidate").agg(F.sum("won").alias("w"))
+    won = {r["candidate"]: r["w"] for r in wins.collect()}
+    assert sum(won.values()) == 200 and won["a"] > won["b"] > 40
+
+
+def test_imported_new_format_has_two_winners(spark):
+    df = spark.createDataFrame(
+        [(1, "oh", "OH", "District 7", 2022, "general", "Ann", "dem", "5"), (1, "oh", "OH", "District 7", 2022, "general", "Bob", "rep", "6")],
+        "race_id int, state string, state_abbrev string, office_seat_name string, cycle int, stage string, "
+        "candidate_name string, ballot_party string, votes string",
+    )
+    won = control.house_winners(import_election(df, "house"), 200).where("won = 1").select("candidate").distinct()
+    assert won.count() == 2

@@ -7,10 +7,12 @@ import pytest
 import __spark_entry__ as entry_module
 from compare import connect, differences
 
+from pollwright.catalog import registry
+
 SF = "/root/testdata/sf0.001"
 NOT_IN_PLANS = ("Python", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES = registry.QUERIES
+ORACLES = registry.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +30,7 @@ def test_query_matches_sql(spark, con, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):

@@ -85,7 +85,7 @@ def test_hot_race_in_the_lottery(hot, small_partitions):
 def test_hot_category_in_label_codes(spark, small_partitions):
     word = F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("w"), (F.col("id") % 500).cast("string")))
     df = spark.range(0, 90_000, 1, 8).select("id", word.alias("c"))
-    coded = features.label_encode(df, features.fit_labels(df, ["c"]))
+    coded = features.label_encode(df, features.fit_labels(df, ["c"]), ["c"])
     assert "skew=true" in final_plan(coded)
     codes = coded.groupBy("c").agg(F.min("c_code").alias("a"), F.max("c_code").alias("b")).orderBy("c").collect()
     assert [(r["a"], r["b"]) for r in codes] == [(i, i) for i in range(len(codes))]
@@ -101,7 +101,7 @@ def test_hot_race_in_instant_runoff(spark, small_partitions):
     scores = F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double") for i in range(4)])
     race = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id") % 50).cast("int")
     df = spark.range(9_000).select(F.col("id").alias("voter_id"), race.alias("race"), scores.alias("scores"))
-    many = {r["race"]: tuple(r) for r in bal.instant_runoff(df, ["race"], 4).collect()}
+    many = {r["race"]: tuple(r) for r in bal.instant_runoff(df, ["race"]).collect()}
     alone = bal.instant_runoff(df.where("race = -1"), ["race"]).first()
     assert len(many) == 51 and many[-1] == tuple(alone)
 
@@ -138,8 +138,8 @@ def test_no_python_and_no_cross_join_in_any_plan(tables):
         control.elector_lottery(tables.president, house, 4),
         joins.align_nearest(tables.survey, tables.elections),
         win.interpolate_monthly(tables.survey, "date", ["democrats"]),
-        bal.condorcet(tables.ballots, ["race"], 5),
-        bal.method_results(tables.ballots, ["race"], 5),
+        bal.condorcet(tables.ballots, ["race"]),
+        bal.method_results(tables.ballots, ["race"]),
         features.standard_scale(tables.customers, ["balance"]),
         agg.seat_histogram(control.house_control(house, 4), 10, "year", "party_major"),
     ]
@@ -179,6 +179,22 @@ def test_nearest_survey_window_sees_dates_only(spark, tables, tmp_path):
     assert "candidate" not in text[text.index("SinglePartition"):]
 
 
+def test_no_frame_is_read_anew_for_every_row(spark):
+    days = spark.range(9).select(F.date_add(F.lit("2000-01-31"), F.col("id").cast("int") * 40).alias("date"), "id")
+    years = spark.range(2000, 2003).select(F.col("id").cast("int").alias("year"))
+    for df in (joins.align_nearest(days, years), win.interpolate_monthly(days, "date", ["id"])):
+        assert "unboundedfollowing" not in plan(df).lower()
+        assert df.count() > 0
+
+
+def test_survey_times_count_by_day(spark):
+    """A timestamp column gives one row per day to the window, not one per instant."""
+    surveys = spark.createDataFrame([("2000-10-30 08:00:00", 1.0), ("2000-10-30 20:00:00", 2.0)], "date string, x double")
+    surveys = surveys.withColumn("date", F.col("date").cast("timestamp"))
+    (row,) = joins.align_nearest(surveys, spark.createDataFrame([(2000,)], "year int")).collect()
+    assert (str(row["survey_date"]), row["x"]) == ("2000-10-30", 1.0)
+
+
 def test_null_keys_meet(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
     right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, w int")

@@ -87,7 +87,7 @@ def test_new_format_edges(spark):
     assert [r["writein"] for r in rows] == [False, True, False]
     assert [r["stage"] for r in rows] == ["GENERAL", "GENERAL", ""]
     assert [r["special"] for r in rows] == ["FALSE", "", "TRUE"]
-    assert [r["totalvotes"] for r in rows] == [0.0, 0.0, 0.0]
+    assert [r["totalvotes"] for r in rows] == [0.0, 5.0, 0.0]  # the sum of the race
     with pytest.raises(ValueError):
         import_election(df, "mayor")
 
