@@ -44,3 +44,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(scratch_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no one reads any more, wherever the folder lies."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
