@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 
 import pollwright.llm
 
-from pollwright.session import scratch_dir
+from pollwright.session import cut  # noqa: F401  (the operators take it from here)
 
 # Task code travels with the task, so executors need not have this package.
 cloudpickle.register_pickle_by_value(pollwright.llm)
@@ -40,13 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder: computed once, and not again when an
-    executor is lost. Spark's cleaner deletes the files once nobody refers to them."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(scratch_dir(df.sparkSession))
-    return df.checkpoint()
+def per_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that the tasks of one Python worker share, such as a tokenizer with its memory.
+    Task code is unpickled anew for every task, so it is kept outside of it."""
+    kept = sys.modules.setdefault("pollwright_kept", ModuleType("pollwright_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

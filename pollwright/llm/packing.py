@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pollwright.llm.common import slices
+from pollwright.llm.common import per_process, slices
 from pollwright.llm.word_bpe import DEFAULT_PATH, ChunkIds
 
 SCHEMA = (
@@ -28,31 +28,31 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     imbalance are merged, the large parts of one onto the small parts of the other, until one
     is left.
     """
-    if ways == 1:
-        return [list(range(len(sizes)))]
-    heap = [(-size, i, np.array([size]), [[i]]) for i, size in enumerate(sizes)]
+    heap = [(-size, i, [size], [[i]]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     order = len(heap)
     while len(heap) > 1:
         _, _, sums, parts = heapq.heappop(heap)
-        _, _, more, others = heapq.heappop(heap)
-        both = len(sums) + len(more) - ways
-        if both > 0:
+        # While a partial partition has empty parts, its imbalance is its largest sum, so it
+        # stays on top and takes in the next largest; single items come in falling order.
+        grown = False
+        while heap and len(sums) < ways and len(heap[0][2]) == 1:
+            _, _, more, others = heapq.heappop(heap)
+            sums, parts = sums + more, parts + others
+            grown = True
+        if heap and not (grown and len(sums) == ways):
+            _, _, more, others = heapq.heappop(heap)
+            both = max(0, len(sums) + len(more) - ways)
             # The smallest parts here meet the largest over there.
-            met = sums[-both:] + more[both - 1 :: -1]
-            met_parts = [a + b for a, b in zip(parts[-both:], others[both - 1 :: -1])]
-            sums = np.concatenate([sums[:-both], met, more[both:]])
-            parts = parts[:-both] + met_parts + others[both:]
-        else:
-            sums, parts = np.concatenate([sums, more]), parts + others
-        by = np.argsort(-sums, kind="stable")
-        sums, parts = sums[by], [parts[i] for i in by]
-        if len(sums) == ways and sums[-1]:
-            # Only differences count from here on; the parts themselves keep the items.
-            sums = sums - sums[-1]
-            heapq.heappush(heap, (-int(sums[0]), order, sums, parts))
-        else:
-            heapq.heappush(heap, (-int(sums[0]), order, sums, parts))
+            kept = len(sums) - both
+            met = [a + b for a, b in zip(sums[kept:], reversed(more[:both]))]
+            met_parts = [a + b for a, b in zip(parts[kept:], reversed(others[:both]))]
+            sums, parts = sums[:kept] + met + more[both:], parts[:kept] + met_parts + others[both:]
+        by = sorted(range(len(sums)), key=lambda i: -sums[i])
+        # Only differences count from here on; the parts themselves keep the items.
+        least = sums[by[-1]] if len(sums) == ways else 0
+        sums, parts = [sums[i] - least for i in by], [parts[i] for i in by]
+        heapq.heappush(heap, (-sums[0], order, sums, parts))
         order += 1
     return heap[0][3] if heap else []
 
@@ -111,7 +111,7 @@ def pack_documents(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = ChunkIds(path)
+        ids_of = per_process(("ids", path), lambda: ChunkIds(path))
         first = TaskContext.get().partitionId() << 32
         end = np.array([end_id], dtype="<u4").tobytes()
         waiting: list[tuple[int | None, bytes]] = []
@@ -131,9 +131,8 @@ def pack_documents(
             names = SCHEMA.replace(" bigint", "").split(", ")
             return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))})
 
-        for part in slices(batches, 128):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.encode(texts)):
+        for part in slices(batches, 512):
+            for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.encode(part.column(1))):
                 waiting.append((doc_id, ids + end))
                 tokens += len(ids) // 4 + 1
                 if tokens >= group_windows * capacity:

@@ -1,26 +1,33 @@
 """Token ids of ``word_bpe_49k.json``, with the work done once per distinct piece of text.
 
 The tokenizer never joins characters across white space, so a text's ids are those of its
-white-space-free chunks one after the other, and a chunk's ids can be remembered. The memory
+chunks between blanks one after the other, and a chunk's ids can be remembered. The memory
 is bounded: two generations of ``limit`` chunks, the older one dropped when the newer is full.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+from array import array
 from collections.abc import Callable
+from itertools import pairwise
 from typing import Any
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
 DEFAULT_PATH = public_tokenizers.path("word_bpe_49k.json")
 # The tokenizer's own split of a chunk, and its special strings (fixed values).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
-# Python's split() also splits at these four; the tokenizer doesn't.
+# Python and its regular expressions take these four for white space; the tokenizer doesn't.
 NOT_BLANK = regex.compile("[\x1c-\x1f]")
 # Below this code point, but for one letter, lower-casing keeps the length, is the same in
 # every library, and no normal form changes anything.
@@ -28,19 +35,19 @@ SIMPLE_BELOW, NOT_SIMPLE = "ɐ", "İ"
 
 
 def is_simple(chunk: str) -> bool:
-    return (chunk.isascii() or (max(chunk) < SIMPLE_BELOW and NOT_SIMPLE not in chunk)) and "<|" not in chunk
+    if chunk.isascii():
+        return "<|" not in chunk and not NOT_BLANK.search(chunk)
+    return max(chunk) < SIMPLE_BELOW and NOT_SIMPLE not in chunk and "<|" not in chunk and not NOT_BLANK.search(chunk)
 
 
 def split_simple(chunk: str) -> list[str]:
+    """Pieces of a simple chunk. Below the limit ``isalpha`` is the same as being a letter."""
     low = chunk.lower()
-    return [low] if low.isalpha() and low.isascii() else PIECES.findall(low)
-
-
-def chunks(text: str) -> list[str]:
-    """The text's chunks; texts with odd separators are one chunk, which is slower and right."""
-    if NOT_BLANK.search(text):
-        return [text]
-    return text.split()
+    if low.isalpha():
+        return [low]
+    if low[:-1].isalpha() and not low[-1].isalnum() and not low[-1].isspace():
+        return [low[:-1], low[-1]]
+    return PIECES.findall(low)
 
 
 class Memory:
@@ -70,25 +77,49 @@ class Memory:
 class ChunkIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str = DEFAULT_PATH, limit: int = 400_000):
+    def __init__(self, path: str = DEFAULT_PATH, limit: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        # The memory holds strings only, which are in no cycles; looking for some takes long.
+        gc.set_threshold(200_000, 100, 100)
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = Memory(self._library, limit)
-        self.chunks = Memory(self._join, limit)
-
-    def _library(self, strings: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        # The same model for pieces, which are normalized and split already.
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        parts |= {"normalizer": None, "pre_tokenizer": BYTES, "added_tokens": []}
+        self.model = Tokenizer.from_str(json.dumps(parts))
+        self.known = Memory(self._join, limit)
+
+    @staticmethod
+    def _ids(tokenizer: Tokenizer, strings: list[str]) -> list[bytes]:
+        found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _join(self, strings: list[str]) -> list[bytes]:
-        """Chunks by their pieces, of which there are fewer different ones."""
+        """Chunks by their pieces, of which there are fewer different ones. A piece is a chunk as
+        well, so both are kept in one memory."""
+        young, old = self.known.young, self.known.old
         split = {c: split_simple(c) for c in strings if is_simple(c)}
         rest = [c for c in strings if c not in split]
-        ids = self.pieces.learn(set().union(*split.values()))
-        whole = dict(zip(rest, self._library(rest))) if rest else {}
-        return [whole[c] if c in whole else b"".join([ids[p] for p in split[c]]) for c in strings]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks(t) for t in texts]
-        ids = self.chunks.learn(set().union(*parts))
-        return [b"".join(map(ids.__getitem__, p)) for p in parts]
+        new = [p for p in set().union(*split.values()) if p not in young and p not in old]
+        young.update(zip(new, self._ids(self.model, new)))
+        young.update(zip(rest, self._ids(self.tokenizer, rest)))
+        ids = {c: [young[p] if p in young else old[p] for p in ps] for c, ps in split.items()}
+        return [b"".join(ids[c]) if c in ids else young[c] for c in strings]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Arrow splits the texts and numbers the different chunks, so that
+        Python looks at each of them once."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        lists = pc.ascii_split_whitespace(texts)
+        numbered = lists.flatten().dictionary_encode()
+        different = numbered.dictionary.to_pylist()
+        known = self.known.learn(set(different))
+        ids = [known[c] for c in different]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        at = numbered.indices.to_numpy()
+        each = lengths[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        tokens = flat[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        upto = [0, *(4 * ends[np.cumsum(pc.list_value_length(lists).to_numpy())]).tolist()]
+        return [tokens[a:b] for a, b in pairwise(upto)]
