@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pollwright.llm import line_runs, mixing, packing, quality_lines, simhash_cover
 from pollwright.llm.common import table
-from pollwright.session import scratch_dir, tune
+from pollwright.session import discard, scratch_dir, tune
 
-# The clean share is above what any corpus left by the stages before has, so clean documents
-# have rates of one and more and all stay; low and toxic ones are thinned to their shares.
-TARGETS = {"clean": 0.98, "low": 0.01, "toxic": 0.01}
+# Low and toxic documents are thinned to these shares of all tokens; the clean ones stay.
+MOST = {"low": 0.01, "toxic": 0.01}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +32,9 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn at the rates that bring the domains to ``TARGETS``."""
+    """Documents drawn at the rates that bring the domains to the shares in ``MOST``."""
     model = mixing.fit_domains(docs, mixing.quality_domains(table(spark, sf_dir, "labels")))
-    return mixing.thin_to_targets(docs, model, TARGETS)
+    return mixing.thin_to_shares(docs, model, MOST)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,11 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
+    """All stages over ``documents``; each is written to the shared folder and read again, and
+    deleted when the next one is written."""
     folder = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            discard(spark, f"{folder}/{number - 1}")
     return docs

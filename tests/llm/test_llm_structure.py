@@ -159,24 +159,28 @@ def test_shard_files_hold_every_row(spark, tmp_path):
 # -- mixing
 
 
-def test_rates_meet_the_targets_and_equal_plain_descent(spark):
+def test_rates_meet_the_targets(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.3] * 3, 500)
     t = rng.integers(1, 200, 500)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens bigint, p array<double>").repartition(5)
     targets = {"clean": 0.7, "low": 0.02, "toxic": 0.28}
-    rate, error = mixing.fit_rates(members, targets, mixing.DOMAINS, steps=200)
-    got = members.select("tokens", "p", rate.alias("r")).collect()
+    moves, error = mixing.fit_rates(members, targets, mixing.DOMAINS)
+    got = members.select("tokens", "p", mixing.rate_of(F.col("p"), moves).alias("r")).collect()
     wanted = np.array(list(targets.values())) * t.sum()
-    gram = (p * t[:, None]).T @ p
-    plain = np.ones(500)
-    for _ in range(400):
-        plain = np.maximum(0, plain + p @ np.linalg.pinv(gram) @ (wanted - (plain * t) @ p))
     assert min(r.r for r in got) >= 0 and error < 1e-5
     totals = sum(np.array(r.p) * r.tokens * r.r for r in got)
     assert np.abs(totals - wanted).sum() / t.sum() < 1e-5
-    by = {tuple(r.p): r.r for r in got}
-    assert max(abs(by[tuple(q)] - x) for q, x in zip(p.tolist(), plain)) < 1e-3
+    # Rates are those of the last multipliers: equal for equal probabilities.
+    assert len({(tuple(r.p), r.r) for r in got}) == len({tuple(r.p) for r in got})
+
+
+def test_unreachable_targets_end_at_the_least_distance(spark):
+    """Two domains that always come in the same proportion: the nearest point of the ray."""
+    members = spark.createDataFrame([(10, [0.75, 0.25])] * 4, "tokens bigint, p array<double>")
+    moves, error = mixing.fit_rates(members, {"a": 0.5, "b": 0.5}, ("a", "b"))
+    got = members.select(mixing.rate_of(F.col("p"), moves).alias("r")).first().r
+    assert got == pytest.approx((0.75 * 0.5 + 0.25 * 0.5) / (0.75**2 + 0.25**2), abs=1e-3) and error > 0.1
 
 
 def test_classifier_and_rates_on_labelled_rows(spark):
@@ -197,12 +201,12 @@ def test_mixing_takes_odd_rows(spark):
     got = mixing.mixing_rates(d, model, queries.MIX_TARGETS).collect()
     assert Counter(r.doc_id for r in got) == Counter(i for i, _ in texts())
     assert all(r.rate >= 0 and sum(r.p) == pytest.approx(1) for r in got)
-    kept = mixing.thin_to_targets(d, model, queries.MIX_TARGETS)
+    kept = mixing.thin_to_shares(d, model, {"low": 0.1})
     assert kept.columns == d.columns and kept.count() <= d.count()
     none = docs(spark, [])
     empty = mixing.fit_domains(none, mixing.quality_domains(labels(spark, [])))
     assert mixing.mixing_rates(none, empty, queries.MIX_TARGETS).collect() == []
-    assert mixing.thin_to_targets(none, empty, queries.MIX_TARGETS).collect() == []
+    assert mixing.thin_to_shares(none, empty, {"low": 0.1}).collect() == []
 
 
 # -- packing
