@@ -136,7 +136,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_share: float = 0.5
         .where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least_share * F.col("pages")))
         .select("host", F.lit("block").alias("by_host"))
     )
-    return ruled.drop("html").join(bad, "host", "left").select(
+    # A host can have any share of the pages, so its verdict is met under one of several salts.
+    salts = 32
+    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    spread = ruled.drop("html").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))
+    return spread.join(bad, ["host", "salt"], "left").select(
         "page_id",
         "host",
         "path",
