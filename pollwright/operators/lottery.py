@@ -43,9 +43,14 @@ def vote_slices(
     ticket: Sequence[str],
     votes: str = "candidatevotes",
     total: str = "totalvotes",
+    contested: bool = False,
 ) -> DataFrame:
     """One row per ticket with its slice ``(below, upto]`` of the race's votes.
 
+    ``contested`` does what ``fix_unopposed`` and ``drop_zero_votes`` would do before: the only row
+    of a race gets a vote if it has less than one, and tickets without votes go. Row counts and
+    votes of the race are at hand here, so the input is read once.
+
     Rows of the same ticket are added first. Inside a race tickets are ordered by the first
     three md5 digits, then by the ticket itself. The digits split even the largest race into
     up to 4,096 blocks, so the window over a race sees only block sums and the window inside
@@ -57,7 +62,13 @@ def vote_slices(
     race, ticket = list(race), list(ticket)
     tickets = (
         df.groupBy(*race, *ticket)
-        .agg(F.sum(votes).alias("votes"), F.max(total).alias("_total"))
+        .agg(
+            F.coalesce(F.sum(votes), F.lit(0)).alias("votes") if contested else F.sum(votes).alias("votes"),
+            # The total of a contested race comes from the rows that stay.
+            F.max(F.when(F.col(votes) != 0, F.col(total)) if contested else F.col(total)).alias("_total"),
+            F.max(total).alias("_any_total"),
+            F.count(F.lit(1)).alias("_rows"),
+        )
         .withColumn("_race", group_key(race))
         .withColumn("_block", F.substring(F.md5(F.concat_ws("|", *key_text(ticket))), 1, 3))
     )
@@ -65,7 +76,13 @@ def vote_slices(
     earlier = in_race.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         tickets.groupBy("_race", "_block")
-        .agg(F.sum("votes").alias("_votes"), F.max("votes").alias("_top"), F.max("_total").alias("_max_total"))
+        .agg(
+            F.sum("votes").alias("_votes"),
+            F.max("votes").alias("_top"),
+            F.max("_total").alias("_max_total"),
+            F.sum("_rows").alias("_n"),
+            F.max("_any_total").alias("_max_any"),
+        )
         .select(
             "_race",
             "_block",
@@ -73,6 +90,8 @@ def vote_slices(
             F.sum("_votes").over(in_race).alias("race_votes"),
             F.max("_top").over(in_race).alias("_top"),
             F.max("_max_total").over(in_race).alias("_race_total"),
+            F.sum("_n").over(in_race).alias("_race_rows"),
+            F.max("_max_any").over(in_race).alias("_race_any"),
         )
     )
     # One partitioning serves the join and the window. Its size is set because the draws that
@@ -85,20 +104,35 @@ def vote_slices(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     upto = F.col("_start") + F.sum("votes").over(inside)
-    return spread.join(blocks, ["_race", "_block"]).select(
+    # The ticket's own totals and row count change nothing here; using them keeps both branches
+    # on the same ticket aggregate, so that Spark computes it once.
+    known = F.greatest("_race_total", "_total")
+    slices = spread.join(blocks, ["_race", "_block"]).select(
         *race,
         *ticket,
         "votes",
         (upto - F.col("votes")).alias("below"),
         upto.alias("upto"),
         "race_votes",
-        # The ticket's own total changes nothing here; using it keeps both branches on the
-        # same ticket aggregate, so that Spark computes it once.
-        F.when(F.greatest("_race_total", "_total") > 0, F.greatest("_race_total", "_total"))
-        .otherwise(F.col("race_votes"))
-        .alias("race_total"),
+        F.when(known > 0, known).otherwise(F.col("race_votes")).alias("race_total"),
         (F.col("votes") == F.col("_top")).cast("int").alias("count_win"),
+        F.greatest("_race_any", "_any_total").alias("_any_total"),
+        ((F.col("_race_rows") == 1) & (F.col("_rows") == 1) & (F.col("votes") < 1)).alias("_lone"),
     )
+    if contested:
+        lone = F.col("_lone")
+        alone = {
+            "votes": F.lit(1),
+            "below": F.lit(0),
+            "upto": F.lit(1),
+            "race_votes": F.lit(1),
+            "race_total": F.when(F.col("_any_total") > 0, F.col("_any_total")).otherwise(F.lit(1)),
+            "count_win": F.lit(1),
+        }
+        slices = slices.withColumns(
+            {c: F.when(lone, v.cast(slices.schema[c].dataType)).otherwise(F.col(c)) for c, v in alone.items()}
+        ).where(F.col("votes") != 0)
+    return slices.drop("_any_total", "_lone")
 
 
 def _hit(undervote: str) -> Column:

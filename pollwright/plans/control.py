@@ -9,30 +9,28 @@ from pollwright.operators.aggregates import seat_counts
 from pollwright.operators.joins import attach_electors, carry_terms
 from pollwright.operators.lottery import draw_electors, draw_winners, vote_slices
 from pollwright.operators.results import (
-    drop_zero_votes,
     effective_year,
     exclude_states,
     fill_blank,
-    fix_unopposed,
     party_major,
     senate_class_columns,
     state_district,
 )
+from pollwright.session import cut
 
 HOUSE_RACE = ["year", "state_district"]
 SENATE_RACE = ["year", "state_district", "class"]
 
 
-def _contested(df: DataFrame, keys: list[str]) -> DataFrame:
-    """DC out, lone candidates get a vote, zero-vote candidates out, blanks filled, race key."""
-    fixed = fix_unopposed(exclude_states(df), keys)
-    return state_district(fill_blank(drop_zero_votes(fixed)))
+def _rows(df: DataFrame) -> DataFrame:
+    """DC out, blanks filled, race key. Lone candidates and those without votes are dealt with
+    where the votes of the race are added up."""
+    return state_district(fill_blank(exclude_states(df)))
 
 
 def house_winners(df: DataFrame, n: int = 200, seed: int = 42, undervote: str = "none") -> DataFrame:
     """One row per House candidate and replicate."""
-    rows = _contested(df, ["year", "state", "district"])
-    slices = vote_slices(rows, HOUSE_RACE, ["candidate", "party"])
+    slices = vote_slices(_rows(df), HOUSE_RACE, ["candidate", "party"], contested=True)
     keep = [*HOUSE_RACE, "candidate", "party", "count_win"]
     return party_major(draw_winners(slices, HOUSE_RACE, n, seed, undervote, keep))
 
@@ -49,10 +47,10 @@ def senate_current(df: DataFrame) -> DataFrame:
     it came from (``election_year``), so the order does not change the result and the carried
     table stays 200 times smaller.
     """
-    rows = _contested(df, ["year", "state", "district", "class"])
-    rows = senate_class_columns(rows.withColumn("class", F.col("class").cast("int")))
+    rows = senate_class_columns(_rows(df).withColumn("class", F.col("class").cast("int")))
     carried = ["state", "year_class", "actually_special"]
-    slices = vote_slices(rows, SENATE_RACE, ["candidate", "party_simplified", *carried])
+    # The terms and what cuts them both start from the slices, which are small: no replicates yet.
+    slices = cut(vote_slices(rows, SENATE_RACE, ["candidate", "party_simplified", *carried], contested=True))
     return effective_year(carry_terms(slices, slices.where("actually_special")))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pollwright.operators import lottery
+from pollwright.operators import results as res
 from pollwright.operators.standardize import import_election
 from pollwright.plans import control
 
@@ -154,3 +155,16 @@ def test_imported_new_format_has_two_winners(spark):
     )
     won = control.house_winners(import_election(df, "house"), 200).where("won = 1").select("candidate").distinct()
     assert won.count() == 2
+
+
+def test_contested_races_as_if_cleaned_before(spark):
+    rows = [
+        ("lone", "a", 0.0, 9.0), ("none", "a", None, 0.0), ("pair", "a", 0.0, 7.0), ("pair", "b", 5.0, 6.0),
+        ("zero", "a", 0.0, 3.0), ("zero", "b", 0.0, 3.0), ("three", "a", 1.0, None), ("three", "b", 2.0, None),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cleaned = res.drop_zero_votes(res.fix_unopposed(df, ["race"])).drop("unopposed")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    got = lottery.vote_slices(df, ["race"], ["candidate"], contested=True)
+    want = lottery.vote_slices(cleaned, ["race"], ["candidate"])
+    assert got.columns == want.columns and key(got) == key(want)

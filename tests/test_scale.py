@@ -162,6 +162,15 @@ def test_lottery_computes_its_tickets_once(spark, tmp_path):
     assert "ReusedExchange" in text
 
 
+@pytest.mark.parametrize("office", ["house", "senate"])
+def test_control_reads_its_input_once(spark, tmp_path, office):
+    getattr(Tables(spark, SF), office).write.parquet(str(tmp_path / office))
+    rows = spark.read.parquet(str(tmp_path / office))
+    run = control.house_control if office == "house" else control.senate_control
+    # The Senate goes on from a checkpoint of its slices.
+    assert final_plan(run(rows, 8)).count("FileScan") == (1 if office == "house" else 0)
+
+
 def test_superseded_terms_are_an_equi_anti_join(tables):
     rows = res.senate_class_columns(tables.senate)
     regular, special = res.split_special(rows)
