@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pollwright.llm.common import slices
+from pollwright.llm.common import per_process, slices
 from pollwright.llm.word_bpe import DEFAULT_PATH, NOT_BLANK, PIECES, SPECIALS, Memory, is_simple, regex
 
 SCHEMA = "doc_id bigint, n_chars bigint, n_bytes bigint, n_tokens bigint, steps binary"
@@ -225,7 +225,7 @@ def prefix_token_counts(docs: DataFrame, path: str = DEFAULT_PATH) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PrefixCounts(path)
+        counts = per_process(("counts", path), lambda: PrefixCounts(path))
         for part in slices(batches):
             texts = [t or "" for t in part.column(1).to_pylist()]
             steps = counts.steps(texts)
