@@ -347,8 +347,13 @@ def test_trust_follows_links_and_distrust_goes_back(spark):
     verdicts = {r.page_id: (r.rule, r.verdict) for r in link_trust.judge_urls(df, RULES).collect()}
     assert verdicts == {
         1: ("com/", "allow"), 2: (None, "allow"), 3: (None, "allow"), 4: (None, "block"), 5: ("net/es/", "block"),
-        6: ("net/es/", "block"), 7: (None, "block"), 8: (None, "allow"),
+        6: ("net/es/", "block"), 7: (None, "allow"), 8: (None, "allow"),
     }
+    # bad.net hands on 85 % of its distrust, so less than half of its three pages is left there.
+    trust = plain_rank({h: float(h == "good.com") for h in hosts}, edges)
+    distrust = plain_rank({h: 2.0 * (h == "bad.net") for h in hosts}, {(b, a): n for (a, b), n in edges.items()})
+    blocked = {h for h in hosts if distrust[h] > trust[h] and distrust[h] >= 0.5 * sum(u.split("/")[2] == h for _, u, _ in pages)}
+    assert blocked == {"farm.org"}
 
 
 # -- SimHash

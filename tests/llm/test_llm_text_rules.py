@@ -49,7 +49,7 @@ def test_viterbi_is_the_best_labelling():
     for n in range(1, 8):
         x = rng.standard_normal((n, quality_lines.N_FEATURES))
         model = quality_lines.LineModel(
-            tuple(rng.standard_normal(quality_lines.N_FEATURES)), tuple(map(tuple, rng.standard_normal((2, 2))))
+            tuple(rng.standard_normal(quality_lines.N_FEATURES).tolist()), tuple(map(tuple, rng.standard_normal((2, 2)).tolist()))
         )
 
         def score(path):
