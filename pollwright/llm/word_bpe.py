@@ -32,6 +32,11 @@ NOT_BLANK = regex.compile("[\x1c-\x1f]")
 # Below this code point, but for one letter, lower-casing keeps the length, is the same in
 # every library, and no normal form changes anything.
 SIMPLE_BELOW, NOT_SIMPLE = "ɐ", "İ"
+# A word of simple letters and the ASCII marks that follow it: two pieces at most.
+PLAIN = (
+    "^(?P<word>[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)"
+    r"(?P<marks>[!-/:-@\[-`{-~]*)$"
+)
 
 
 def is_simple(chunk: str) -> bool:
@@ -58,7 +63,7 @@ class Memory:
         self.young: dict[str, Any] = {}
         self.old: dict[str, Any] = {}
 
-    def learn(self, wanted: set[str]) -> dict[str, Any]:
+    def learn(self, wanted: set[str], compute: Callable[[list[str]], list[Any]] | None = None) -> dict[str, Any]:
         """A mapping that has at least the wanted chunks, until the next call."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
@@ -70,14 +75,14 @@ class Memory:
             else:
                 self.young[c] = known
         if unknown:
-            self.young.update(zip(unknown, self.compute(unknown)))
+            self.young.update(zip(unknown, (compute or self.compute)(unknown)))
         return self.young
 
 
 class ChunkIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str = DEFAULT_PATH, limit: int = 1_200_000):
+    def __init__(self, path: str = DEFAULT_PATH, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         # The memory holds strings only, which are in no cycles; looking for some takes long.
         gc.set_threshold(200_000, 100, 100)
@@ -107,19 +112,36 @@ class ChunkIds:
         return [b"".join(ids[c]) if c in ids else young[c] for c in strings]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """The ids of each text. Arrow splits the texts and numbers the different chunks, so that
-        Python looks at each of them once."""
+        """The ids of each text. Arrow splits the texts, numbers the different chunks and takes
+        plain words apart, so that Python looks only at the different words of a batch."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists = pc.ascii_split_whitespace(texts)
         numbered = lists.flatten().dictionary_encode()
-        different = numbered.dictionary.to_pylist()
-        known = self.known.learn(set(different))
-        ids = [known[c] for c in different]
+        plain = pc.extract_regex(numbered.dictionary, PLAIN)
+        words = pc.utf8_lower(pc.struct_field(plain, "word")).dictionary_encode()
+        marks = pc.struct_field(plain, "marks").dictionary_encode()
+        odd = pc.is_null(words.indices)
+        pieces = [*words.dictionary.to_pylist(), *marks.dictionary.to_pylist()]
+        known = self.known.learn(set(pieces) - {""}, lambda new: self._ids(self.model, new))
+        ids = [known[p] if p else b"" for p in pieces]
+        rest = numbered.dictionary.filter(odd).to_pylist()
+        known = self.known.learn(set(rest))
+        ids += [known[c] for c in rest]
+        ids.append(b"")
+
+        # Each chunk is two items: its word (or the whole odd chunk) and its marks (or nothing).
+        none = len(ids) - 1
+        items = np.full((len(odd), 2), none)
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        items[~is_odd, 0] = words.indices.drop_null().to_numpy()
+        items[~is_odd, 1] = marks.indices.drop_null().to_numpy() + len(words.dictionary)
+        items[is_odd, 0] = np.arange(none - len(rest), none)
+
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
-        at = numbered.indices.to_numpy()
+        at = items[numbered.indices.to_numpy()].ravel()
         each = lengths[at]
         ends = np.concatenate([[0], np.cumsum(each)])
         tokens = flat[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
-        upto = [0, *(4 * ends[np.cumsum(pc.list_value_length(lists).to_numpy())]).tolist()]
+        upto = [0, *(4 * ends[2 * np.cumsum(pc.list_value_length(lists).to_numpy())]).tolist()]
         return [tokens[a:b] for a, b in pairwise(upto)]
