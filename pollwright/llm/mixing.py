@@ -104,7 +104,8 @@ def _train(got: list[tuple[int, int, list[int]]], domains: tuple[str, ...], buck
 def membership(text: Column, model: DomainModel) -> Column:
     """Struct of ``tokens``, the number of words, and ``p``, the array of domain probabilities;
     a text without words has those of the bias."""
-    tables = [F.lit(list(w)) for w in model.weights[1:]]
+    # As one text each, which Spark turns into an array once; many literals burden the driver.
+    tables = [F.split(F.lit(",".join(map(repr, w))), ",").cast("array<double>") for w in model.weights[1:]]
 
     def summed(buckets: Column, weights: Column) -> Column:
         return F.aggregate(buckets, F.lit(0.0), lambda a, b: a + F.get(weights, b))
