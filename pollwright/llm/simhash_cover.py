@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwright.llm.common import cut, slices
@@ -57,16 +57,19 @@ def simhash(text: str, shingle: int = 3) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) for every row; null and wordless texts give zero."""
+def fingerprints(docs: DataFrame, shingle: int = 3, *more: Column) -> DataFrame:
+    """``doc_id, fp`` (signed 64 bits) and ``more``, columns of type bigint, for every row; null
+    and wordless texts give zero."""
+    slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *more)
+    names = ["doc_id", "fp", *slim.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             fps = [simhash(t or "", shingle) for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            fp = pa.array(np.array(fps, np.uint64).view(np.int64))
+            yield pa.record_batch([part.column(0), fp, *part.columns[2:]], names=names)
 
-    slim = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id bigint, fp bigint")
+    return slim.mapInArrow(run, ", ".join(f"{c} bigint" for c in names))
 
 
 def links(classes: DataFrame, radius: int, pair_up_to: int = 32) -> DataFrame:
@@ -120,46 +123,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     have the fingerprint zero and are linked like others. Repeated rows give equal rows; other
     columns are not read; an empty table gives an empty result.
     """
-    marked, component = _components(docs, shingle, radius)
-    return marked.join(component.select("fp", "component_id"), "fp").select(
+    marked = cut(fingerprints(docs, shingle))
+    placed = _components(marked, F.col("doc_id"), radius)
+    first = placed.groupBy("component").agg(F.min("first").alias("component_id"))
+    component = cut(placed.join(first, "component").select("fp", "component_id"))
+    return marked.join(component, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def _components(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, fp`` of all rows, and ``fp, component, component_id`` of all fingerprints."""
-    marked = cut(fingerprints(docs, shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+def _components(marked: DataFrame, order: Column, radius: int) -> DataFrame:
+    """``fp, first, component`` of all fingerprints; ``first`` is the least ``order`` of its rows."""
+    classes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
     reached = smallest_reachable(links(classes, radius)).withColumnRenamed("node", "fp")
-    placed = classes.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    first = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return marked, cut(placed.join(first, "component").select("fp", "component", "component_id"))
+    return classes.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
     """One row of each group of near duplicates, with all columns: the one with the smallest id.
 
-    Of rows that repeat that id one stays. Rows without an id stay only where a whole group has
-    none, and then one of them.
+    Where rows of a group share that id, or have none, the smallest hash of the text decides, and
+    among rows of equal id and text the smallest of the other columns as JSON. A row without an
+    id stays only where its whole group has none. An id whose texts lead several groups stays
+    once for each of them.
     """
-    marked, component = _components(docs, shingle, radius)
-    winners = marked.join(component, "fp").where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(winners, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where(F.col("doc_id").isNull())
-    packed = nameless.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    with_fp = _add_fingerprint(packed, shingle)
-    orphans = component.where(F.col("component_id").isNull()).select("fp", "component")
-    rest = with_fp.join(orphans, "fp").dropDuplicates(["component"]).select("row.*")
-    return named.select(*docs.columns).unionByName(rest)
-
-
-def _add_fingerprint(packed: DataFrame, shingle: int) -> DataFrame:
-    """``row`` and the fingerprint of ``row.text``."""
-    kind = packed.schema["row"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            fps = [simhash(t or "", shingle) for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["row", "fp"])
-
-    return packed.select("row", "row.text").mapInArrow(run, f"row {kind}, fp bigint")
+    text = F.col("text").cast("string")
+    # 128 bits, so that different texts don't meet.
+    hashes = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    marked = cut(fingerprints(docs, shingle, *hashes))
+    key = ["kn", "kid", "h1", "h2"]
+    kid = [F.col("doc_id").isNull().alias("kn"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("kid")]
+    placed = _components(marked, F.struct(*kid, "h1", "h2"), radius)
+    winners = cut(placed.groupBy("component").agg(F.min("first").alias("first")).select("first.*"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    # Equal texts are in one group, so a key is the key of one group.
+    found = docs.select(*kid, *hashes, row, rest.alias("rest")).join(winners, key)
+    return found.groupBy(*key).agg(F.min_by("row", "rest").alias("row")).select("row.*")

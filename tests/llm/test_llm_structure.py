@@ -12,7 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from cases import by_id, docs, labels, texts
+from cases import by_id, docs, labels, long_text, texts
 from compare import connect, differences
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -441,3 +441,26 @@ def test_keep_one_of_each_group(spark):
     want = Counter(min((i for (i, _), x in zip(rows, tops) if x == c and i is not None), default=None) for c in set(tops))
     assert Counter(r.doc_id for r in got.collect()) == want
     assert simhash_cover.keep_one(docs(spark, [])).collect() == []
+
+
+def test_keep_one_takes_every_group_of_a_repeated_id(spark):
+    """Ids that lead several groups, rows of one id in several groups, a hot id, null ids."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    rows = [(1, a), (2, a), (2, b), (3, b), (7, long_text(1)), (7, long_text(2)), (None, long_text(3)), (None, long_text(4))]
+    rows += [(9, long_text(20 + i, 80)) for i in range(40)] + [(9, long_text(20, 80).upper()), (2, b), (8, None), (8, "")]
+    rows += texts()
+    tops = plain_components([plain_simhash(t or "") for _, t in rows])
+    # Spark's hash of null is its seed.
+    order = lambda i, t: (i is None, i or 0, 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42)))
+    want = Counter(min((x for x, y in zip(rows, tops) if y == c), key=lambda x: order(*x)) for c in set(tops))
+    assert want[2, b] == 1 and len([i for i, _ in want if i == 9]) > 30
+    for parts in (1, 7):
+        got = simhash_cover.keep_one(docs(spark, rows).repartition(parts)).collect()
+        assert Counter((r.doc_id, r.text) for r in got) == want
+
+
+def test_keep_one_of_equal_texts_is_fixed(spark):
+    rows = [(4, "equal id and text", x) for x in "cab"]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for parts in (1, 3):
+        assert [r.source for r in simhash_cover.keep_one(df.repartition(parts)).collect()] == ["a"]
