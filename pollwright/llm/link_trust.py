@@ -100,9 +100,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_share: float = 0.5
 
     The longest fitting rule decides. Where none fits, the host does: trust starts from the
     pages that rules allow and follows links; distrust starts from the pages that rules block
-    and follows links backwards. A host is blocked if more distrust than trust reaches it and it
-    comes to at least ``least_share`` of the host's pages; otherwise, and where there is no host
-    (null url, no ``://``), the verdict is ``allow``.
+    and follows links backwards. A host is blocked if more distrust than trust reaches it and the
+    distrust comes to at least ``least_share``: of the host's pages, if rules block some of them,
+    and else of its distrust and trust together, which doesn't sink with the number of its pages.
+    Otherwise, and where there is no host (null url, no ``://``), the verdict is ``allow``.
 
     Null html has no links. Repeated rows are judged alike and count as pages, other columns are
     not read, an empty table gives no rows.
@@ -130,10 +131,11 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_share: float = 0.5
     trust = personalised_rank(graph, "allowed", links).withColumnRenamed("rank", "trust")
     backwards = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = personalised_rank(graph, "blocked", backwards).withColumnRenamed("rank", "distrust")
+    whole = F.when(F.col("blocked") > 0, F.col("pages")).otherwise(F.col("distrust") + F.col("trust"))
     bad = (
         hosts.join(trust, "host")
         .join(distrust, "host")
-        .where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least_share * F.col("pages")))
+        .where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least_share * whole))
         .select("host", F.lit("block").alias("by_host"))
     )
     # A host can have any share of the pages, so its verdict is met under one of several salts.

@@ -356,6 +356,18 @@ def test_trust_follows_links_and_distrust_goes_back(spark):
     assert blocked == {"farm.org"}
 
 
+def test_farms_of_any_size_are_blocked(spark):
+    """Pages that link to a bad host block their host, however many it has; trust still counts."""
+    link = lambda *to: "".join(f'<a href="{u}">t</a>' for u in to)
+    bad = "http://bad.net/es/1"
+    pages = [(bad, ""), ("http://good.com/", link("http://kind.org/")), ("http://kind.org/", link(bad)), ("http://lone.org/", "")]
+    pages += [(f"http://farm{size}.org/{k}", link(*[bad] * 9)) for size in (1, 2, 40) for k in range(size)]
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {(r.host, r.verdict) for r in link_trust.judge_urls(df, RULES).collect()}
+    good = {(h, "allow") for h in ("good.com", "kind.org", "lone.org")}
+    assert got == good | {("bad.net", "block"), *[(f"farm{size}.org", "block") for size in (1, 2, 40)]}
+
+
 # -- SimHash
 
 
