@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pollwright.llm.common import cut
 
 HASH_BITS = 60
+COPIES = 65_536  # in a block
 
 
 def _prefix(bits, length):
@@ -29,7 +30,13 @@ def hashed(docs: DataFrame) -> DataFrame:
         F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint").alias("n_bytes"),
     )
     copies = sizes.groupBy("doc_id", "n_bytes").agg(F.count("*").alias("n"))
-    one = copies.select("doc_id", "n_bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    # A group can hold any share of the rows, so its copies are made by many tasks, block by block.
+    # Stating the number of partitions keeps Spark from joining blocks, which are small till then.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = copies.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(COPIES))))
+    blocks = blocks.repartition(parts, "doc_id", "n_bytes", "first")
+    last = F.least("n", F.col("first") + COPIES) - 1
+    one = blocks.select("doc_id", "n_bytes", F.explode(F.sequence("first", last)).alias("copy"))
     name = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "n_bytes", "copy")
     return one.withColumn("hash", F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("bigint"))
 

@@ -156,6 +156,15 @@ def test_shard_files_hold_every_row(spark, tmp_path):
     assert sharding.extendible_shards(docs(spark, []), 100).collect() == []
 
 
+def test_a_hot_group_is_numbered_by_many_tasks(spark):
+    n = 20 * sharding.COPIES + 7
+    hot = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    rows = sharding.hashed(hot).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.min("copy").alias("a"), F.max("copy").alias("b"), F.sum("copy").alias("s")).collect()
+    assert sum(r.n for r in rows) == n and sum(r.s for r in rows) == n * (n - 1) // 2
+    assert min(r.a for r in rows) == 0 and max(r.b for r in rows) == n - 1
+    assert max(r.n for r in rows) < n / 2
+
+
 # -- mixing
 
 
