@@ -16,6 +16,7 @@ from pollwright.llm import (
     sharding,
     simhash_cover,
     token_counts,
+    turn_trie,
 )
 from pollwright.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from pollwright.session import tune
@@ -131,3 +132,57 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_simhash_near_dedup")
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_duplicates(table(tune(spark), sf_dir, "documents"))
+
+
+TRIE_FAMILY = 100
+TRIE_SHARED = 6
+
+
+@query(
+    "op13_conversation_trie",
+    f"""
+    with turns as (
+        select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+               row_number() over (partition by conv_id order by turn nulls first) - 1 as pos
+        from conversations where conv_id is not null
+    ), convs as (
+        select conv_id, count(*) as own, conv_id - conv_id % {TRIE_FAMILY} as base,
+               xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(conv_id as varchar), ''), lambda ch: ascii(ch)::bigint)),
+                   lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                       lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)), 4294967295) % {TRIE_SHARED} as h
+        from turns group by conv_id
+    ), rebuilt as (
+        select c.conv_id, t.pos + 1 as depth, t.role, t.text from convs c join turns t on t.conv_id = c.base and t.pos < c.h
+        union all
+        select c.conv_id, t.pos - c.h + least(c.h, coalesce(b.own, 0)) + 1, t.role, t.text
+        from convs c join turns t on t.conv_id = c.conv_id and t.pos >= c.h left join convs b on b.conv_id = c.base
+    ), paths as (
+        select conv_id, depth, length(text) as chars,
+               string_agg(md5(md5(role) || md5(text)), '' order by depth) over (partition by conv_id order by depth) as path
+        from rebuilt
+        union all
+        select conv_id, 0, 0, '' from convs
+    ), nodes as (
+        select depth, path, min(conv_id) as conv_id, count(*) as n_convs, max(chars) as chars from paths group by depth, path
+    ), children as (
+        select depth - 1 as depth, left(path, (depth - 1) * 32) as path, count(*) as n_children from nodes where depth > 0 group by all
+    ), ending as (
+        select depth, path, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+        from (select conv_id, max(depth) as depth, arg_max(path, depth) as path from paths group by conv_id) group by depth, path
+    ), figures as (
+        select n.*, coalesce(n_children, 0) as n_children, (n_convs - 1) * chars as saved
+        from nodes n left join children using (depth, path)
+    ), below as (
+        select up as depth, left(path, up * 32) as path, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens
+        from (select *, unnest(range(0, depth + 1)) as up from figures) group by all
+    )
+    select f.conv_id, f.depth, p.conv_id as parent_conv_id, f.n_convs, f.n_children, b.n_leaves,
+           cast(b.saved_tokens as bigint) as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+    from figures f join below b using (depth, path) left join ending e using (depth, path)
+    left join nodes p on f.depth > 0 and p.depth = f.depth - 1 and p.path = left(f.path, (f.depth - 1) * 32)""",
+)
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_trie.ordered_turns(table(tune(spark), sf_dir, "conversations"))
+    shared = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(TRIE_SHARED))
+    base = F.col("conv_id") - F.col("conv_id") % TRIE_FAMILY
+    return turn_trie.prefix_trie(*turn_trie.rebuilt(turns, shared, base, TRIE_SHARED - 1))
