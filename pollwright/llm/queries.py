@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pollwright.llm import (
     byte_cnn,
     fingerprints,
+    jaccard_groups,
     line_runs,
     link_trust,
     mixing,
@@ -134,6 +135,35 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_duplicates(table(tune(spark), sf_dir, "documents"))
 
 
+@query(
+    "op12_jaccard_join",
+    """
+    with recursive words as (
+        select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\\x20\\x09-\\x0D]+') as w from documents
+    ), sets as (
+        select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+               else list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) end as s
+        from words
+    ), classes as (
+        select md5(array_to_string(list_sort(s), chr(10))) as c, any_value(s) as s, min(doc_id) as first from sets where len(s) > 0 group by 1
+    ), tokens as (
+        select c, len(s) as n, unnest(s) as t from classes
+    ), links as (
+        select a.c as a, b.c as b from tokens a join tokens b on a.t = b.t and a.c <> b.c and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n
+        group by a.c, b.c having 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))
+    ), reach as (
+        select c as a, c as b from classes union select r.a, l.b from reach r join links l on l.a = r.b
+    ), components as (
+        select r.a as c, min(k.first) as component_id from reach r join classes k on k.c = r.b group by r.a
+    )
+    select doc_id, len(s) as n_shingles, case when len(s) = 0 then doc_id else component_id end as component_id
+    from sets left join components on len(s) > 0 and c = md5(array_to_string(list_sort(s), chr(10)))""",
+)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups.similar_sets(table(tune(spark), sf_dir, "documents"))
+
+
 TRIE_FAMILY = 100
 TRIE_SHARED = 6
 
