@@ -13,6 +13,7 @@ from pollwright.llm import (
     link_trust,
     mixing,
     packing,
+    phrase_filters,
     quality_lines,
     sharding,
     simhash_cover,
@@ -135,6 +136,49 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_cover.near_duplicates(table(tune(spark), sf_dir, "documents"))
 
 
+@query(
+    "op11_collocations",
+    """
+    with pieces as (
+        select row_number() over () as piece, lang, p from (
+            select coalesce(lang, 'und') as lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[.,;:!?\\x0A-\\x0D]')) as p from documents)
+    ), words as (
+        select piece, lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from pieces
+    ), totals as (
+        select lang, sum(len(w)) as n from words group by lang
+    ), grams as (
+        select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase
+        from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select unnest([1, 2, 3, 4, 5]) as k))
+    ), counts as (
+        select lang, k, phrase, count(*) as a from grams group by all having count(*) >= 100
+    ), candidates as (
+        select *, string_split(phrase, ' ') as w from counts where k > 1
+    ), inside as (
+        select distinct lang, array_to_string(w[i:i + j - 1], ' ') as phrase, a
+        from (select lang, a, w, j, unnest(range(1, k - j + 2)) as i from (select *, unnest(range(2, k)) as j from candidates))
+    ), kept as (
+        select c.* from candidates c
+        where not exists (select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.a >= 100 * c.a)
+    ), scored as (
+        select c.lang, c.phrase, c.a, x.a as l, y.a as r, t.n, c.cut,
+               (1000::hugeint * c.a * t.n) // (x.a::hugeint * y.a) as score
+        from (select *, unnest(range(1, k)) as cut from kept) c
+        join counts x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:c.cut], ' ')
+        join counts y on y.lang = c.lang and y.phrase = array_to_string(c.w[c.cut + 1:], ' ')
+        join totals t on t.lang = c.lang
+    ), best as (
+        select * from scored qualify row_number() over (partition by lang, phrase order by score, cut) = 1
+    ), ranked as (
+        select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best
+    )
+    select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from ranked where rank <= 2000""",
+)
+def collocations_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_filters.collocations(table(tune(spark), sf_dir, "documents"))
+
+
 @query(
     "op12_jaccard_join",
     """
