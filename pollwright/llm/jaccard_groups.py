@@ -10,8 +10,10 @@ by hash into more parts than that, so a linked pair agrees on whole parts, and t
 (its signature) brings both together. Sizes are cut into bands, so that the number of parts fits.
 
 Equal sets are one class. Links are followed only until everything that shares a signature is
-connected: a group meets one group per signature first, and only groups that are then still
-apart meet each other. No link is lost, and a huge group of near copies is not taken to all pairs.
+connected: a group meets one group per signature first, that of the most central text. Of the groups
+that are then still apart, those meet each other that a bound on the number of differing tokens, taken
+from a few parity bits a set, does not keep apart. Both bounds are exact, so no link is lost, and a huge
+group of near copies is not taken to all pairs.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pollwright.llm.components import smallest_reachable
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 U = np.uint64
 GROUP_MEMBERS, GROUP_TOKENS = 64, 1 << 20
+BUCKET, SHARD_ENTRIES = 4096, 1 << 16  # holders of one signature, entries of many, in a task's memory
 PARTNERS = 32  # groups that meet one group in a task's memory
 SPARE = 1  # parts beyond those that can differ, so that empty ones need not count
 GROWTH = 1.35  # of the sizes in a band
@@ -261,7 +264,17 @@ def connected(n: int, pairs: list[tuple[int, int]]) -> np.ndarray:
     return np.array([top(i) for i in range(n)], np.int64)
 
 
-_GROUP = "grp bigint, node string, d1 bigint, d2 bigint, n bigint, union binary, bits binary, sizes binary, nodes binary"
+_GROUP = "grp bigint, node string, d1 bigint, d2 bigint, n bigint, parity binary, union binary, bits binary, sizes binary, nodes binary"
+PARITY_BITS = 256
+
+
+def parities(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row of bits per set; each token turns one bit over. Two sets differ in at least as many
+    tokens as these rows do in bits."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    cell = owner * PARITY_BITS + (mix(values, 23) >> U(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(cell, minlength=len(sizes) * PARITY_BITS) % 2
+    return np.packbits(odd.reshape(len(sizes), PARITY_BITS).astype(bool), axis=1)
 
 
 def group_rows(grp: int, values: np.ndarray, sizes: np.ndarray, ids: list[tuple[int, int]], percent: int) -> list[dict]:
@@ -277,7 +290,10 @@ def group_rows(grp: int, values: np.ndarray, sizes: np.ndarray, ids: list[tuple[
         pairs += [(i, i + 1 + int(j)) for j in np.flatnonzero(links_of(inter, sizes[i], sizes[i + 1 :], percent))]
     part = connected(len(sizes), pairs)
     names = [f"{d1}:{d2}:{n}" for (d1, d2), n in zip(ids, sizes.tolist())]
-    rows = [{"grp": grp, "node": names[p], "d1": i[0], "d2": i[1], "n": n} for p, i, n in zip(part, ids, sizes.tolist())]
+    rows = [
+        {"grp": grp, "node": names[p], "d1": i[0], "d2": i[1], "n": n, "parity": x.tobytes()}
+        for p, i, n, x in zip(part, ids, sizes.tolist(), parities(values, sizes))
+    ]
     rows[0] |= {
         "union": union.tobytes(),
         "bits": packed.tobytes(),
@@ -347,6 +363,54 @@ def _meet(pairs: DataFrame, blobs: DataFrame, percent: int) -> DataFrame:
     return partners.unionByName(centres).groupBy("x", "portion").applyInArrow(test, "a string, b string")
 
 
+def _apart_pairs(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``x, y`` of groups that hold sets of ``entries(sig, grp, component, n, parity)`` with the
+    same signature, of different components, that the bits of ``parities`` do not tell apart.
+
+    A task takes many signatures. The holders of a signature of more than ``BUCKET`` are dealt into
+    portions, and a task takes two of them; the comparison of all pairs stays inside numpy, and only
+    what passes it is a row."""
+    buckets = entries.groupBy("sig").agg(F.ceil(F.count("*") / BUCKET).alias("portions"))
+    tasks = max(1, -(-entries.count() // SHARD_ENTRIES))
+    dealt = entries.join(buckets, "sig").withColumn("portion", F.pmod(F.xxhash64("grp", "n", "parity"), F.col("portions")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1))).select(
+        "sig",
+        "grp",
+        "component",
+        "n",
+        "parity",
+        "portion",
+        F.least("portion", "other").alias("lo"),
+        F.greatest("portion", "other").alias("hi"),
+        F.when(F.col("portions") == 1, F.pmod(F.xxhash64("sig"), F.lit(tasks))).otherwise(F.col("sig")).alias("task"),
+    )
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sig, grp, n, portion, lo, hi = (rows.column(c).to_numpy() for c in ("sig", "grp", "n", "portion", "lo", "hi"))
+        component = rows.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
+        order = np.argsort(sig, kind="stable")
+        cuts = np.flatnonzero(np.diff(sig[order], prepend=~sig[order][:1], append=~sig[order][-1:]))
+        found = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            i = order[a:b]
+            cross = lo[i[0]] != hi[i[0]]
+            left = i[portion[i] == lo[i[0]]] if cross else i
+            right = i[portion[i] == hi[i[0]]] if cross else i
+            step = max(1, (1 << 20) // max(1, len(right)))
+            for at in range(0, len(left), step):
+                some = left[at : at + step, None]
+                differ = np.bitwise_count(bits[some[:, 0], None] ^ bits[right]).sum(axis=2, dtype=np.int64)
+                near = differ * (100 + percent) <= (n[some] + n[right]) * (100 - percent)
+                x, y = np.nonzero(near & (component[some] != component[right]) & (grp[some] != grp[right]))
+                x, y = grp[some[x, 0]], grp[right[y]]
+                found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    return dealt.groupBy("task", "lo", "hi").applyInArrow(compare, "x bigint, y bigint").distinct()
+
+
 def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -366,15 +430,17 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
     # One document of each set that shares a signature. A handle is half a digest; should two sets
     # have the same, both are taken.
     classes = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("row"), F.min("doc_id").alias("first"))
-    by_handle = shared.groupBy("handle").agg(F.min("sig").alias("g"))
-    chosen = classes.join(by_handle, F.col("d1") == F.col("handle")).select("n", "d1", "d2", "row", "g")
+    # A set is central if many others have its signatures: the text that others are edited from.
+    held_by = shared.groupBy("sig").agg(F.count("*").alias("holders"))
+    by_handle = shared.join(held_by, "sig").groupBy("handle").agg(F.min("sig").alias("g"), F.sum("holders").alias("central"))
+    chosen = classes.join(by_handle, F.col("d1") == F.col("handle")).select("n", "d1", "d2", "row", "g", "central")
     chosen = cut(chosen)
     sizes = chosen.groupBy("g").agg(
         F.greatest(F.ceil(F.count("*") / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("portions")
     )
     grouped = cut(
         chosen.join(sizes, "g").select(
-            "n", "d1", "d2", "row", F.xxhash64("g", F.pmod(F.xxhash64("d1", "d2"), F.col("portions"))).alias("grp")
+            "n", "d1", "d2", "row", "central", F.xxhash64("g", F.pmod(F.xxhash64("d1", "d2"), F.col("portions"))).alias("grp")
         )
     )
     keyed = docs.select(*_row_key(docs))
@@ -394,26 +460,22 @@ def similar_sets(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFr
     layout = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _GROUP.split(", ")])
     built = cut(held.groupBy("grp").applyInArrow(build, _GROUP))
     blobs = built.where(F.col("union").isNotNull()).select("grp", "union", "bits", "sizes", "nodes")
-    cells = built.select("grp", "node", "d1", "d2", "n")
+    cells = built.select("grp", "node", "d1", "d2", "n", "parity")
 
     holders = cut(shared.join(cells, F.col("handle") == F.col("d1")).select("sig", "grp", "node").distinct())
-    hubs = holders.groupBy("sig").agg(F.min("grp").alias("x"))
+    # The group of a signature's most central holder meets the others.
+    centres = grouped.groupBy("grp").agg(F.max("central").alias("central"))
+    hubs = holders.join(centres, "grp").groupBy("sig").agg(F.max(F.struct("central", "grp")).alias("hub"))
+    hubs = hubs.select("sig", F.col("hub.grp").alias("x"))
     star = cut(holders.join(hubs, "sig").where("grp <> x").select("x", F.col("grp").alias("y")).distinct())
     first = cut(_meet(star, blobs, percent))
     reached = smallest_reachable(first).select("node", "component")
-    placed = holders.join(reached, "node", "left").select("sig", "grp", F.coalesce("component", "node").alias("component")).distinct()
+    placed = cells.join(reached, "node", "left").select("d1", "grp", "n", "parity", F.coalesce("component", "node").alias("component"))
+    placed = shared.join(placed, F.col("handle") == F.col("d1")).select("sig", "grp", "component", "n", "parity")
     # Signatures whose holders are not all connected yet.
     apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-    placed = cut(placed.join(apart, "sig"))
-    other = placed.select("sig", F.col("grp").alias("y"), F.col("component").alias("other"))
-    left = (
-        placed.withColumnRenamed("grp", "x")
-        .join(other, "sig")
-        .where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")))
-        .select("x", "y")
-        .distinct()
-        .join(star, ["x", "y"], "left_anti")
-    )
+    left = _apart_pairs(cut(placed.join(apart, "sig")), percent)
+    left = left.join(star.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     second = cut(_meet(cut(left), blobs, percent))
     reached = smallest_reachable(first.union(second)).select("node", "component")
 

@@ -72,6 +72,7 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, percent, members)
     # Groups of few members, so that links cross groups, and few partners at a time.
     monkeypatch.setattr(jaccard_groups, "GROUP_MEMBERS", members)
     monkeypatch.setattr(jaccard_groups, "PARTNERS", 3)
+    monkeypatch.setattr(jaccard_groups, "BUCKET", 64 * members - 126)
     rows = near_copies(percent) + [(1000 + (i or 0), t) for i, t in texts()] + [(None, "a b c d e f"), (None, "a b c d e f")]
     got = jaccard_groups.similar_sets(docs(spark, rows), percent=percent).collect()
     assert by_id(got) == plain_join(rows, 3, percent)
@@ -98,6 +99,33 @@ def test_linked_sets_share_a_signature(percent):
         assert np.intersect1d(sig[owner == 0], sig[owner == 1]).size
 
 
+def test_parity_bits_never_differ_in_more_than_tokens():
+    rng = np.random.default_rng(4)
+    for n in (1, 30, 300, 3000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 7, dtype=np.uint64)]))
+        x, y = jaccard_groups.parities(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+        assert (jaccard_groups.parities(a, np.array([len(a)])) == x).all()
+
+
+def test_texts_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    """400 texts with the same 60 words in the middle have many signatures in common and no link."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(i, " ".join([*[f"a{i}x{k}" for k in range(6)], *passage, *[f"b{i}x{k}" for k in range(7)]])) for i in range(400)]
+    pairs = []
+    plain = jaccard_groups._apart_pairs
+
+    def counted(*args):
+        found = plain(*args)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_groups, "_apart_pairs", counted)
+    got = jaccard_groups.similar_sets(docs(spark, rows)).collect()
+    assert len({r.component_id for r in got}) == 400 and sum(pairs) < 400
+
+
 def test_a_hot_family_needs_few_comparisons(spark, monkeypatch):
     """1,500 near copies of one text: groups meet a hub, not each other."""
     base = [f"w{i}" for i in range(120)]
