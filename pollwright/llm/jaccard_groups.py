@@ -391,7 +391,7 @@ def _apart_pairs(entries: DataFrame, percent: int) -> DataFrame:
         bits = np.frombuffer(b"".join(rows.column("parity").to_pylist()), np.uint64).reshape(-1, PARITY_BITS // 64)
         order = np.argsort(sig, kind="stable")
         cuts = np.flatnonzero(np.diff(sig[order], prepend=~sig[order][:1], append=~sig[order][-1:]))
-        found = []
+        found = [np.zeros((0, 2), np.int64)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             i = order[a:b]
             cross = lo[i[0]] != hi[i[0]]
