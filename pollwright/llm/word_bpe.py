@@ -2,7 +2,8 @@
 
 The tokenizer never joins characters across white space, so a text's ids are those of its
 chunks between blanks one after the other, and a chunk's ids can be remembered. The memory
-is bounded: two generations of ``limit`` chunks, the older one dropped when the newer is full.
+(``Memory``) is bounded: two generations of ``limit`` chunks, the older one dropped when the newer is
+full. ``ChunkIds`` keeps words in one numpy store instead, and starts anew above its limit.
 """
 
 from __future__ import annotations
@@ -10,9 +11,8 @@ from __future__ import annotations
 import gc
 import json
 import os
-from array import array
-from collections.abc import Callable
-from itertools import pairwise
+from collections.abc import Callable, Iterable
+from itertools import chain, pairwise, repeat
 from typing import Any
 
 import numpy as np
@@ -79,41 +79,104 @@ class Memory:
         return self.young
 
 
+class Store:
+    """Id sequences by name, in one growing array. ``rows`` are their numbers."""
+
+    def __init__(self) -> None:
+        self.row = {"": 0}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def rows(self, names: list[str]) -> np.ndarray:
+        """Row numbers, -1 for unknown names."""
+        return np.fromiter(map(self.row.get, names, repeat(-1)), np.int64, len(names))
+
+    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """The sequences of new names, which lie in ``ids`` one after the other."""
+        first, n = len(self.row), len(names)
+        self.row.update(zip(names, range(first, first + n)))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while first + n > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + n] = lengths
+        self.used += len(ids)
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sequences of ``rows`` one after the other, and where each one ends."""
+        each = self.lengths[rows]
+        ends = np.cumsum(each)
+        at = np.arange(ends[-1] if len(ends) else 0)
+        at += np.repeat(self.starts[rows] - ends + each, each)
+        return self.flat[at], ends
+
+
 class ChunkIds:
-    """Ids of whole texts as little-endian unsigned 32-bit integers."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers. Chunks are remembered, up to
+    about ``limit``; then the memory starts anew."""
 
-    def __init__(self, path: str = DEFAULT_PATH, limit: int = 400_000):
+    def __init__(self, path: str = DEFAULT_PATH, limit: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         # The memory holds strings only, which are in no cycles; looking for some takes long.
         gc.set_threshold(200_000, 100, 100)
         self.tokenizer = Tokenizer.from_file(path)
-        # The same model for pieces, which are normalized and split already.
+        # The same model for pieces, which are normalized and split already. Many go into one text,
+        # between spaces, for a call costs more than a piece.
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        parts |= {"normalizer": None, "pre_tokenizer": BYTES, "added_tokens": []}
+        split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, BYTES]}
+        parts |= {"normalizer": None, "pre_tokenizer": split, "added_tokens": []}
         self.model = Tokenizer.from_str(json.dumps(parts))
-        self.known = Memory(self._join, limit)
-
-    @staticmethod
-    def _ids(tokenizer: Tokenizer, strings: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(strings, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _join(self, strings: list[str]) -> list[bytes]:
-        """Chunks by their pieces, of which there are fewer different ones. A piece is a chunk as
-        well, so both are kept in one memory."""
-        young, old = self.known.young, self.known.old
-        split = {c: split_simple(c) for c in strings if is_simple(c)}
-        rest = [c for c in strings if c not in split]
-        new = [p for p in set().union(*split.values()) if p not in young and p not in old]
-        young.update(zip(new, self._ids(self.model, new)))
-        young.update(zip(rest, self._ids(self.tokenizer, rest)))
-        ids = {c: [young[p] if p in young else old[p] for p in ps] for c, ps in split.items()}
-        return [b"".join(ids[c]) if c in ids else young[c] for c in strings]
+        vocabulary = self.model.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.limit = limit
+        self.known = Store()
+
+    def _whole(self, strings: list[str]) -> None:
+        """Ids of chunks, each by a call of the tokenizer."""
+        found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
+        ids = [e.ids for e in found]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.known.add(strings, np.fromiter(chain.from_iterable(ids), np.uint32, lengths.sum()), lengths)
+
+    def _pieces(self, strings: list[str]) -> None:
+        """Ids of pieces without blanks; the last id of a piece ends a word, and no other does."""
+        joined = [" ".join(strings[a : a + 256]) for a in range(0, len(strings), 256)]
+        found = self.model.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(strings):
+            raise ValueError("the vocabulary doesn't mark word ends")
+        self.known.add(strings, ids, np.diff(ends, prepend=0))
+
+    def _learn_pieces(self, strings: Iterable[str]) -> None:
+        row = self.known.row
+        new = [p for p in set(strings) if p not in row]
+        if new:
+            self._pieces(new)
+
+    def _learn_odd(self, chunks: list[str]) -> None:
+        """Chunks that are no plain words: split by the tokenizer's pattern, or given to it whole."""
+        row = self.known.row
+        new = [c for c in chunks if c not in row]
+        split = {c: split_simple(c) for c in new if is_simple(c)}
+        self._learn_pieces(chain.from_iterable(split.values()))
+        self._whole([c for c in new if c not in split])
+        # A chunk that is a piece of its own is known by now.
+        some = {c: ps for c, ps in split.items() if c not in row}
+        ids, ends = self.known.gather(self.known.rows(list(chain.from_iterable(some.values()))))
+        counts = np.cumsum(np.fromiter(map(len, some.values()), np.int64, len(some)))
+        self.known.add(list(some), ids, np.diff(np.concatenate([[0], ends])[counts], prepend=0))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text. Arrow splits the texts, numbers the different chunks and takes
-        plain words apart, so that Python looks only at the different words of a batch."""
+        plain words apart, so that Python looks only at the different words of a slice."""
+        if len(self.known.row) > self.limit:
+            self.known = Store()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists = pc.ascii_split_whitespace(texts)
         numbered = lists.flatten().dictionary_encode()
@@ -122,26 +185,20 @@ class ChunkIds:
         marks = pc.struct_field(plain, "marks").dictionary_encode()
         odd = pc.is_null(words.indices)
         pieces = [*words.dictionary.to_pylist(), *marks.dictionary.to_pylist()]
-        known = self.known.learn(set(pieces) - {""}, lambda new: self._ids(self.model, new))
-        ids = [known[p] if p else b"" for p in pieces]
         rest = numbered.dictionary.filter(odd).to_pylist()
-        known = self.known.learn(set(rest))
-        ids += [known[c] for c in rest]
-        ids.append(b"")
+        found = self.known.rows(pieces)
+        if (found < 0).any():
+            self._learn_pieces(pieces[i] for i in np.flatnonzero(found < 0))
+            found = self.known.rows(pieces)
+        self._learn_odd(rest)
 
         # Each chunk is two items: its word (or the whole odd chunk) and its marks (or nothing).
-        none = len(ids) - 1
-        items = np.full((len(odd), 2), none)
+        items = np.zeros((len(odd), 2), np.int64)
         is_odd = odd.to_numpy(zero_copy_only=False)
-        items[~is_odd, 0] = words.indices.drop_null().to_numpy()
-        items[~is_odd, 1] = marks.indices.drop_null().to_numpy() + len(words.dictionary)
-        items[is_odd, 0] = np.arange(none - len(rest), none)
-
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
-        at = items[numbered.indices.to_numpy()].ravel()
-        each = lengths[at]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        tokens = flat[np.repeat(starts[at] - ends[:-1], each) + np.arange(ends[-1])].tobytes()
+        items[~is_odd, 0] = found[words.indices.drop_null().to_numpy()]
+        items[~is_odd, 1] = found[marks.indices.drop_null().to_numpy() + len(words.dictionary)]
+        items[is_odd, 0] = self.known.rows(rest)
+        tokens, ends = self.known.gather(items[numbered.indices.to_numpy()].ravel())
+        tokens, ends = tokens.tobytes(), np.concatenate([[0], ends])
         upto = [0, *(4 * ends[2 * np.cumsum(pc.list_value_length(lists).to_numpy())]).tolist()]
         return [tokens[a:b] for a, b in pairwise(upto)]
