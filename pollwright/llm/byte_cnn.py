@@ -141,7 +141,8 @@ def held_out(doc_id):
 
 def fit_byte_cnn(docs: DataFrame, labels: DataFrame, rows: int = 3000, max_bytes: int = 16_384) -> Weights:
     """The network, trained on at most ``rows`` labelled documents of at most ``max_bytes`` each
-    (whole texts) that are not held out. Without any labelled row it stays as initialised."""
+    (whole texts) that are not held out; of rows with the same id one counts, the one with the least
+    hash of its text. Without any labelled row it stays as initialised."""
     usable = docs.where(F.octet_length("text") <= max_bytes)
     sample = labelled_sample(usable, labels.where(~held_out("doc_id")), "quality", rows)
     got = sorted((r.doc_id, r.text, r.label) for r in sample.collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -60,21 +61,29 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def personalised_rank(
-    hosts: DataFrame, seed: str, links: DataFrame, damping: float = 0.85, steps: int = 30, tolerance: float = 1e-4
+    hosts: DataFrame,
+    seed: str,
+    links: DataFrame,
+    damping: float = 0.85,
+    steps: int | None = None,
+    tolerance: float = 1e-4,
 ) -> DataFrame:
-    """``host, rank``: PageRank that restarts at the seeds, in proportion to the column ``seed``
-    of ``hosts``; the ranks add up to the seeds' sum. Rank on hosts without links goes back to
-    the seeds. ``links(src, dst, n)`` are followed in proportion to ``n``. Ends when the ranks
-    move by less than ``tolerance`` of their sum; every step is a checkpoint."""
+    """``host, rank, received``: PageRank that restarts at the seeds, in proportion to the column
+    ``seed`` of ``hosts``; the ranks add up to the seeds' sum. Rank on hosts without links goes back
+    to the seeds. ``links(src, dst, n)`` are followed in proportion to ``n``. ``received`` is the
+    part of the rank that came over links. Ends when the ranks move by less than ``tolerance`` of
+    their sum; every step is a checkpoint. A step moves at most ``damping`` of what the one
+    before moved, so there are at most log(tolerance / 2) / log(damping) steps."""
     total = hosts.agg(F.sum(seed)).first()[0] or 0
     if not total:
-        return hosts.select("host", F.lit(0.0).alias("rank"))
+        return hosts.select("host", F.lit(0.0).alias("rank"), F.lit(0.0).alias("received"))
+    steps = steps or math.ceil(math.log(tolerance / 2) / math.log(damping)) + 1
     out = links.groupBy("src").agg(F.sum("n").alias("all"))
     parts = cut(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")))
     known = hosts.select("host", F.col(seed).cast("double").alias("seed"))
     linked = parts.select(F.col("src").alias("host")).distinct().withColumn("linked", F.lit(True))
     base = cut(known.join(linked, "host", "left"))
-    ranks = base.withColumn("rank", F.col("seed"))
+    ranks = base.withColumns({"rank": F.col("seed"), "received": F.lit(0.0)})
     for _ in range(steps):
         given = (
             ranks.join(parts, ranks.host == parts.src)
@@ -86,24 +95,25 @@ def personalised_rank(
         new = cut(
             ranks.withColumnRenamed("rank", "old")
             .join(given, "host", "left")
-            .withColumn("rank", back + damping * F.coalesce("given", F.lit(0.0)))
+            .withColumn("received", damping * F.coalesce("given", F.lit(0.0)))
+            .withColumn("rank", back + F.col("received"))
         )
         moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new.drop("old", "given")
         if moved <= tolerance * total:
             break
-    return ranks.select("host", "rank")
+    return ranks.select("host", "rank", "received")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_share: float = 0.5) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every row of ``pages``.
 
-    The longest fitting rule decides. Where none fits, the host does: trust starts from the
-    pages that rules allow and follows links; distrust starts from the pages that rules block
-    and follows links backwards. A host is blocked if more distrust than trust reaches it and the
-    distrust comes to at least ``least_share``: of the host's pages, if rules block some of them,
-    and else of its distrust and trust together, which doesn't sink with the number of its pages.
-    Otherwise, and where there is no host (null url, no ``://``), the verdict is ``allow``.
+    The longest fitting rule decides. Where none fits, the host does: it is blocked if rules block
+    at least ``least_share`` of its pages, whoever links to it. Else links decide: trust
+    starts from the pages that rules allow and follows links; distrust starts from the pages that rules
+    block and follows links backwards. A host is blocked if more distrust than trust reaches it and the
+    distrust comes to at least ``least_share`` of both; its own blocked pages count under the first
+    rule alone. Otherwise, and where there is no host (null url, no ``://``), the verdict is ``allow``.
 
     Null html has no links. Repeated rows are judged alike and count as pages, other columns are
     not read, an empty table gives no rows.
@@ -128,17 +138,20 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], least_share: float = 0.5
     # Hosts that are only linked to take part in the ranks.
     ends = links.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
     graph = cut(hosts.join(ends, "host", "full").na.fill(0, ["pages", "allowed", "blocked"]))
-    trust = personalised_rank(graph, "allowed", links).withColumnRenamed("rank", "trust")
+    trust = personalised_rank(graph, "allowed", links).select("host", F.col("rank").alias("trust"))
     backwards = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_rank(graph, "blocked", backwards).withColumnRenamed("rank", "distrust")
-    whole = F.when(F.col("blocked") > 0, F.col("pages")).otherwise(F.col("distrust") + F.col("trust"))
+    distrust = personalised_rank(graph, "blocked", backwards).select("host", F.col("received").alias("distrust"))
+    by_pages = (F.col("blocked") > 0) & (F.col("blocked") >= least_share * F.col("pages"))
+    both = F.col("distrust") + F.col("trust")
+    by_links = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least_share * both)
     bad = (
         hosts.join(trust, "host")
         .join(distrust, "host")
-        .where((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least_share * whole))
+        .where(by_pages | by_links)
         .select("host", F.lit("block").alias("by_host"))
     )
-    # A host can have any share of the pages, so its verdict is met under one of several salts.
+    # A host can have any share of the pages, so its verdict is met under one of 32 salts: the task
+    # of a host that has all pages gets 1/32 of them.
     salts = 32
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = ruled.drop("html").withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(salts)).cast("int"))

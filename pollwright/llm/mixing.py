@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwright.llm.common import cut, let
+from pollwright.llm.quality_lines import one_text_each
 
 DOMAINS = ("clean", "low", "toxic")
 MARKS = "[\\x20\\x09-\\x0D.,;:'\"()]+"
@@ -68,12 +69,13 @@ def fit_domains(
     max_bytes: int = 16_384,
 ) -> DomainModel:
     """The classifier, from at most ``rows`` labelled documents of at most ``max_bytes`` each
-    (whole texts), chosen by a hash of the id; the driver gets their buckets. Without labelled
-    documents all domains are equally likely."""
+    (whole texts), chosen by a hash of the id; the driver gets their buckets. Of rows with the same
+    id one counts, the one with the least hash of its text. Without labelled documents all domains
+    are equally likely."""
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     usable = docs.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
     # The limit bounds the broadcast side.
-    sample = usable.join(F.broadcast(chosen), "doc_id").where(F.col("domain").isin(*domains))
+    sample = one_text_each(usable.join(F.broadcast(chosen), "doc_id").where(F.col("domain").isin(*domains)), "domain")
     got = sorted((r.doc_id, domains.index(r.domain), r.x) for r in sample.select("doc_id", "domain", features(words_of(F.col("text")), buckets).alias("x")).collect())
     k = len(domains)
     if not got:

@@ -168,7 +168,8 @@ def keep_quality(docs: DataFrame, model: LineModel, min_content: float = 0.5) ->
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> DataFrame:
     """``doc_id, text, label`` of at most ``rows`` labelled documents, chosen by a hash of the
-    id. A document with several labels counts by the lowest."""
+    id. A document with several labels counts by the lowest, and of rows with the same id
+    the text with the least hash is taken, so there are never more rows than chosen ids."""
     chosen = (
         labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -177,7 +178,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
         .limit(rows)
     )
     # The limit bounds the broadcast side.
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return one_text_each(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "label")
+
+
+def one_text_each(found: DataFrame, label: str) -> DataFrame:
+    """One row per id: rows of one id are reduced before they move, however many there are."""
+    return found.groupBy("doc_id", label).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", label)
 
 
 def fit_line_model(
