@@ -92,7 +92,7 @@ def _(t):
 
 @query(
     "export_bundle",
-    ["elections", "survey"],
+    ["elections", "senate", "survey"],
     """select 'surveys/party_identification' as dataset, cast(date as varchar) as key, 'republicans' as name,
               round(republicans, 6) as value from survey
        union all select 'surveys/party_identification', cast(date as varchar), 'independents', round(independents, 6) from survey
@@ -105,15 +105,14 @@ def _(t):
                  from elections where party is not null group by all
        union all select 'elections/presidential/vote_shares', year || '/' || state, party,
                         round(votes / cast(total_votes as double) * 100, 6) from elections
-       union all select 'elections/senate/by_year', cast(year as varchar), party, cast(sum(votes) as double)
-                 from elections where party is not null and state like '%1%' group by all""",
+       union all select 'elections/senate/by_year', cast(year as varchar), party_simplified, cast(sum(candidatevotes) as double)
+                 from senate where party_simplified is not null group by all""",
 )
 def _(t):
     """All six datasets written by the exporter and read back."""
     polls = surveys.read_party_survey(t.spark, _poll_file(t, surveys.PARTY_TITLES))
     leaners = surveys.read_leaner_survey(t.spark, _poll_file(t, _LEANERS))
-    # The files of the two offices: all races, and those of some states.
-    senate = t.elections.where(F.col("state").like("%1%"))
+    senate = t.senate.withColumnsRenamed({"party_simplified": "party", "candidatevotes": "votes", "totalvotes": "total_votes"})
     path = scratch_path(t.spark, "bundle")
     bundle = sinks.visualization_bundle(polls, leaners, t.elections, senate)
     sinks.export_bundle(bundle, path)
