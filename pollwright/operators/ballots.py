@@ -9,6 +9,7 @@ ballots are added up map-side, so one huge race costs no more than many small on
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,7 @@ from pollwright.functions.columns import (
     top_position,
 )
 from pollwright.functions.scale import null_safe_join, pair_with_blocks
-from pollwright.session import cut
-
-# Runoff rounds that are planned together before their small result is a checkpoint.
-ROUNDS_AT_ONCE = 8
+from pollwright.session import Scratch, cut
 
 
 def plurality_ballot(df: DataFrame) -> DataFrame:
@@ -171,10 +169,13 @@ def pairwise_percent(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
 def instant_runoff(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, winner, elimination_order, rounds), all races at once.
 
-    Ballots are reduced to distinct rankings with their counts once. Each round joins them with
-    the small table of races, counts first remaining choices and either closes a race (more than
-    half of all its ballots) or drops its weakest option. There are fewer rounds than options;
-    some are planned together, then the races are a checkpoint and the closed ones are set aside.
+    Ballots are reduced to distinct rankings with their counts once. A pass takes the first two
+    remaining options of the rankings, of which there are no more than pairs of options, and settles
+    rounds from that alone: when an option goes out, its votes move to the second options. It
+    stops when ballots whose both options are out could change the next round, which is after two
+    eliminations at the earliest. Then the options that are out leave the rankings and equal
+    remainders are added up. A race with no more different rankings than pairs takes them whole,
+    and that pass is its last.
     """
     return _settle(df, list(race)).select(
         *race, "winner", F.col("out").alias("elimination_order"), F.size("out").alias("rounds")
@@ -183,28 +184,34 @@ def instant_runoff(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
 
 def _settle(df: DataFrame, race: list[str]) -> DataFrame:
     """(race, ballots, options, out, winner) of every race."""
-    keys = race or ["_all"]
     ballots = df if race else df.withColumn("_all", F.lit(0))
-    rankings = cut(
-        ballots.where(F.size("scores") > 0)
-        .select(*keys, preference_order("scores").alias("ranking"))
-        .groupBy(*keys, "ranking")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    rankings = ballots.where(F.size("scores") > 0).select(*(race or ["_all"]), preference_order("scores").alias("ranking"))
+    return _settle_rankings(rankings, race or ["_all"])
+
+
+def _settle_rankings(rankings: DataFrame, keys: list[str]) -> DataFrame:
+    """``_settle`` of plain rankings, one row a ballot. Every distinct ranking carries the state of
+    its race, so a pass writes one table, which shrinks from pass to pass."""
+    scratch = Scratch(rankings.sparkSession, "runoff")
+    rankings = scratch.table(rankings.groupBy(*keys, "ranking").agg(F.count(F.lit(1)).alias("n")))
     state = rankings.groupBy(*keys).agg(F.sum("n").alias("ballots"), F.max(F.size("ranking")).alias("options"))
     state = state.withColumn("out", F.array().cast("array<int>")).withColumn("winner", _last_left(F.col("out")))
-    state = cut(state)
-    done = state.where(F.col("winner").isNotNull())
-    state = state.where(F.col("winner").isNull())
-    rounds = (state.agg(F.max("options")).first()[0] or 1) - 1
-    while rounds > 0 and not state.isEmpty():
-        for _ in range(min(rounds, ROUNDS_AT_ONCE)):
-            state = _runoff_round(rankings, state, keys)
-        rounds -= ROUNDS_AT_ONCE
-        state = cut(state)
-        done = done.unionByName(state.where(F.col("winner").isNotNull()))
-        state = state.where(F.col("winner").isNull())
-    return done
+    rows = scratch.table(null_safe_join(rankings, state, keys))
+    columns = ["ballots", "options", "out", "winner"]
+    finished = []
+    while True:
+        scratch.drop(last=1)
+        # A race has its state on all its rows.
+        of_race = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in columns])
+        finished.append(cut(of_race.where(F.col("winner").isNotNull())))
+        rows = rows.where(F.col("winner").isNull())
+        if rows.isEmpty():
+            scratch.drop()
+            return reduce(DataFrame.unionByName, finished)
+        state = _settle_rounds(rows, keys)
+        left = F.array_except("ranking", "out").alias("ranking")
+        rows = null_safe_join(rows.select(*keys, "ranking", "n"), state, keys).select(*keys, left, "n", *columns)
+        rows = scratch.table(rows.groupBy(*keys, "ranking", *columns).agg(F.sum("n").alias("n")))
 
 
 def _last_left(out: Column) -> Column:
@@ -213,36 +220,92 @@ def _last_left(out: Column) -> Column:
     return F.when(F.size(remaining) == 1, F.get(remaining, F.lit(0)))
 
 
-def _runoff_round(rankings: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """The next state of every race; a closed one stays as it is."""
-    of_race = [*keys, "ballots", "options", "out", "winner"]
-    left_in = F.filter("ranking", lambda o: ~F.array_contains("out", o))
-    votes = (
-        null_safe_join(rankings, state, keys)
-        # A shorter ballot can run out of options; it then counts for null.
-        .select(*of_race, F.get(left_in, F.lit(0)).alias("option"), "n")
-        .groupBy(*of_race, "option")
-        .agg(F.sum("n").alias("votes"))
-        .groupBy(*of_race)
-        .agg(F.collect_list(F.struct("option", "votes")).alias("counted"))
+def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per race: its state, and in ``heads`` the starts of its rankings with their ballots.
+
+    A start is a pair of options, so a race has at most as many as there are pairs. Where that
+    bound admits all its rankings, they are taken whole (``whole``: nothing follows the start)."""
+    columns = ["ballots", "options", "out", "winner"]
+    states = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("held"))
+    short = states.select(*keys, (F.col("held") > F.col("options") * F.col("options")).alias("short"))
+    start = F.when(F.col("short"), F.slice("ranking", 1, 2)).otherwise(F.col("ranking"))
+    heads = null_safe_join(rows.select(*keys, "ranking", "n"), short, keys).select(
+        *keys, start.alias("p"), (F.size("ranking") == F.size(start)).alias("whole"), "n"
     )
+    heads = heads.groupBy(*keys, "p", "whole").agg(F.sum("n").alias("n"))
+    heads = heads.groupBy(*keys).agg(F.collect_list(F.struct("p", "n", "whole")).alias("heads"))
+    return null_safe_join(states.drop("held"), heads, keys)
 
-    def of_option(o: Column) -> Column:
-        """Options that nobody puts first still stand, with 0 votes."""
-        found = F.get(F.filter("counted", lambda c: c["option"] == o), F.lit(0))["votes"]
-        return F.struct(F.coalesce(found, F.lit(0)).alias("votes"), o.alias("option"))
 
-    standing = F.transform(F.array_except(F.sequence(F.lit(0), F.col("options") - 1), F.col("out")), of_option)
-    top = F.array_min(F.transform("standing", lambda s: F.struct((-s["votes"]).alias("v"), s["option"].alias("option"))))
-    ends = votes.withColumn("standing", standing).withColumns({"top": top, "low": F.array_min("standing")})
-    decided = F.col("winner").isNotNull() | (F.col("top.v") * -2 > F.col("ballots"))
-    return (
-        ends.withColumn("next", F.when(decided, F.col("out")).otherwise(F.array_append("out", F.col("low.option"))))
-        .withColumn(
-            "won", F.coalesce("winner", F.when(decided, F.col("top.option")).otherwise(_last_left(F.col("next"))))
+def _settle_rounds(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The state of every race after all rounds that the starts of its rankings settle.
+
+    ``c`` are the ballots known to be with each option, -1 for those that are out, and ``u`` the
+    ballots whose start is used up: they can be with any option left, or with none.
+    """
+    zero = F.lit(0).cast("bigint")
+    options = F.sequence(F.lit(0), F.col("options") - 1)
+    first = lambda x: F.get(x["p"], F.lit(0))
+
+    def add(c: Column, x: Column) -> Column:
+        return let(first(x), lambda o: F.transform(c, lambda v, i: F.when(i == o, v + x["n"]).otherwise(v)))
+
+    def of_standing(a: Column) -> Column:
+        """The standing options with their known ballots, the lowest and the top of them."""
+        each = F.filter(F.transform(a["c"], lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: s["v"] >= 0)
+        top = lambda s: F.array_min(F.transform(s, lambda x: F.struct((-x["v"]).alias("v"), x["i"].alias("i"))))
+        return let(each, lambda s: F.struct(s.alias("s"), F.array_min(s).alias("low"), top(s).alias("top")))
+
+    def without(heads: Column, low: Column) -> Column:
+        return F.transform(
+            heads, lambda x: F.struct(F.array_remove(x["p"], low).alias("p"), x["n"].alias("n"), x["whole"].alias("whole"))
         )
-        .select(*keys, "ballots", "options", F.col("next").alias("out"), F.col("won").alias("winner"))
-    )
+
+    def eliminate(a: Column, low: Column, moved: Column) -> Column:
+        bare = F.transform(a["c"], lambda v, i: F.when(i == low, F.lit(-1).cast("bigint")).otherwise(v))
+        lost = F.aggregate(moved, zero, lambda s, x: s + F.when(~x["whole"] & (F.size(x["p"]) == 0), x["n"]).otherwise(zero))
+        gone = F.array_append(a["out"], low)
+        return F.struct(
+            gone.alias("out"),
+            F.aggregate(moved, bare, add).alias("c"),
+            (a["u"] + lost).alias("u"),
+            without(a["heads"], low).alias("heads"),
+            _last_left(gone).alias("winner"),
+            (F.size(gone) < F.col("options") - 1).alias("on"),
+        )
+
+    def stop(a: Column, winner: Column) -> Column:
+        kept = [a[c].alias(c) for c in ("out", "c", "u", "heads")]
+        return F.struct(*kept, winner.alias("winner"), F.lit(False).alias("on"))
+
+    def round_of(a: Column, x: Column) -> Column:
+        low, most = x["low"], -x["top"]["v"]
+        # Whether an option could turn out to be below the lowest, with all of ``u`` for that one.
+        limit = F.struct((low["v"] + a["u"]).alias("v"), low["i"].alias("i"))
+        rivals = let(limit, lambda m: F.filter(x["s"], lambda s: (s < m) & (s["i"] != low["i"])))
+        moved = without(F.filter(a["heads"], lambda h: first(h) == low["i"]), low["i"])
+        return (
+            F.when(most * 2 > F.col("ballots"), stop(a, x["top"]["i"]))
+            .when(((most + a["u"]) * 2 > F.col("ballots")) | (F.size(rivals) > 0), stop(a, a["winner"]))
+            .otherwise(let(moved, lambda m: eliminate(a, low["i"], m)))
+        )
+
+    def start(known: Column) -> Column:
+        return F.struct(
+            F.col("out").alias("out"),
+            known.alias("c"),
+            zero.alias("u"),
+            F.col("heads").alias("heads"),
+            F.col("winner").alias("winner"),
+            F.col("winner").isNull().alias("on"),
+        )
+
+    bare = F.transform(options, lambda i: F.when(F.array_contains("out", i), F.lit(-1).cast("bigint")).otherwise(zero))
+    step = lambda a, _: F.when(a["on"], let(of_standing(a), lambda x: round_of(a, x))).otherwise(a)
+    settled = let(F.aggregate("heads", bare, add), lambda known: F.aggregate(options, start(known), step))
+    result = let(settled, lambda a: F.struct(a["out"].alias("out"), a["winner"].alias("winner")))
+    counted = _prefixes(rows, keys).select(*keys, "ballots", "options", result.alias("settled"))
+    return counted.select(*keys, "ballots", "options", "settled.out", "settled.winner")
 
 
 def method_results(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:

@@ -50,3 +50,25 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no one reads any more, wherever the folder lies."""
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
+class Scratch:
+    """Tables in the shared folder. Unlike a checkpoint, a table tells Spark its real size, so the
+    estimates of a loop that joins a table with itself don't multiply from one round to the next."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, []
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df``, written and read again."""
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, last: int = 0) -> None:
+        """Delete all tables but the ``last`` ones."""
+        kept = len(self.paths) - last
+        for path in self.paths[:kept]:
+            discard(self.spark, path)
+        self.paths = self.paths[kept:]

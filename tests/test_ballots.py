@@ -145,6 +145,27 @@ def test_many_options(spark):
         assert beaten[c] == sum(2 * sum(s[c] > s[d] for s in scores) > len(scores) for d in range(m) if d != c)
 
 
+def test_passes_of_pairs(spark, monkeypatch):
+    """More different rankings than pairs of options: passes see the first two options, and settle
+    at least two eliminations each, as a plain recount does."""
+    rng = random.Random(3)
+    passes = []
+    plain = bal._settle_rounds
+    monkeypatch.setattr(bal, "_settle_rounds", lambda *args: passes.append(1) or plain(*args))
+    races = {}
+    for r, (m, n, close) in enumerate([(6, 300, 1.0), (8, 400, 0.3), (7, 250, 3.0), (5, 60, 0.0)]):
+        # Some options are liked better than others; the last race is full of ties.
+        races[r] = [[rng.random() + close * o / m if close else float(rng.randint(0, 2)) for o in range(m)] for _ in range(n)]
+    rows = [(i, r, s) for r, scores in races.items() for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "voter_id bigint, race bigint, scores array<double>")
+    got = {r["race"]: (r["winner"], r["elimination_order"]) for r in bal.instant_runoff(df, ["race"]).collect()}
+    for r, scores in races.items():
+        orders = [sorted(range(len(s)), key=lambda o: (-s[o], o)) for s in scores]
+        winner, out = runoff(orders, len(scores[0]))
+        assert got[r] == (winner, out)
+    assert 1 < len(passes) <= 4
+
+
 def test_runoff_leaves_no_files(spark):
     """Checkpoints go when nobody refers to them."""
     import gc
