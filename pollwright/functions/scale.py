@@ -85,3 +85,19 @@ def pair_with_blocks(points: DataFrame, options: DataFrame, key: str, spread: st
         .join(packed, ["_block", "_salt"], "left")
         .drop("_block", "_salt")
     )
+
+
+COPIES = 65_536  # in a block
+
+
+def repeat_rows(df: DataFrame, times: str, spread: str) -> DataFrame:
+    """Every row as often as its column ``times`` says, without that column.
+
+    A row can stand for any share of a table, so its copies are made in blocks by many tasks.
+    Stating the number of partitions keeps Spark from joining blocks, which are small till then.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times) - 1, F.lit(COPIES).cast("bigint"))))
+    blocks = blocks.repartition(parts, spread, "_first")
+    last = F.least(F.col(times), F.col("_first") + COPIES) - 1
+    return blocks.withColumn("_copy", F.explode(F.sequence("_first", last))).drop(times, "_first", "_copy")

@@ -25,7 +25,7 @@ from pollwright.functions.columns import (
     squared_distance,
     top_position,
 )
-from pollwright.functions.scale import null_safe_join, pair_with_blocks
+from pollwright.functions.scale import null_safe_join, pair_with_blocks, repeat_rows
 from pollwright.session import Scratch, cut
 
 
@@ -114,14 +114,16 @@ def pairwise(df: DataFrame, race: Sequence[str] = ()) -> DataFrame:
     """(race, a, b, a_over_b, b_over_a, ballots) for options a < b.
 
     Comparisons are made inside one ballot and added up in the same stage: what is shuffled is
-    one row per race, option pair and task.
+    one row per race, option pair and task. A comparison's row carries its two scores only.
     """
     upto = F.size("scores") - 1
     left = df.where(F.size("scores") > 1).select(
         *race, "scores", F.explode(F.sequence(F.lit(0), upto - 1)).alias("a")
     )
-    both = left.select(*race, "scores", "a", F.explode(F.sequence(F.col("a") + 1, upto)).alias("b"))
-    a, b = F.get("scores", F.col("a")), F.get("scores", F.col("b"))
+    rest = F.slice("scores", F.col("a") + 2, F.size("scores"))
+    both = left.select(*race, "a", F.get("scores", F.col("a")).alias("x"), F.posexplode(rest).alias("at", "y"))
+    both = both.withColumn("b", F.col("a") + 1 + F.col("at"))
+    a, b = F.col("x"), F.col("y")
     return both.groupBy(*race, "a", "b").agg(
         F.count_if(preferred(a, b)).alias("a_over_b"),
         F.count_if(preferred(b, a)).alias("b_over_a"),
@@ -423,5 +425,4 @@ def nearest_option_in_table(
     blocks = pair_with_blocks(counted, slim, key="option", spread=x)
     best = blocks.select(key, x, "_n", _closest(F.col("_options"), x).alias("_best"))
     best = best.groupBy(key, x, "_n").agg(F.min("_best").alias("_best"))
-    repeated = best.select(key, "_best", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i"))
-    return repeated.select(key, "_best.option", F.sqrt("_best.d2").alias("distance"))
+    return repeat_rows(best, "_n", key).select(key, "_best.option", F.sqrt("_best.d2").alias("distance"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
+import sys
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pollwright.functions.columns import bin_index, let, squared_distance
-from pollwright.functions.scale import pair_with_blocks
+from pollwright.functions.scale import pair_with_blocks, repeat_rows
 
 LOG_2PI = math.log(2.0 * math.pi)
 
@@ -40,30 +42,90 @@ def _max_and_sum(terms: Column) -> Column:
     )
 
 
-def _listed(modes: Sequence[Mode]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.array(*[F.lit(float(v)) for v in center]).alias("center"),
-                F.lit(float(weight)).alias("weight"),
-                F.lit(float(scale)).alias("scale"),
-            )
-            for center, weight, scale in modes
+# A term this many nats below the largest one is lost in its rounding, also if there are millions.
+NEGLIGIBLE = 56.0
+
+
+def _blocks(modes: Sequence[Mode], width: int) -> list[dict]:
+    """The modes of one width in about sqrt(n) balls: pivots far from each other, each mode with its
+    nearest pivot. A ball has the largest term that a mode of it can have at its own center, and its
+    largest scale, so that a point's distance to the pivot bounds all its terms."""
+    fitting = [(list(map(float, c)), float(w), float(s)) for c, w, s in modes if w > 0 and len(c) == width]
+    pivots = [fitting[0][0]]
+    near = [(math.dist(c, pivots[0]), 0) for c, _, _ in fitting]
+    while len(pivots) < math.isqrt(len(fitting) - 1) + 1:
+        far = max(range(len(fitting)), key=lambda i: near[i][0])
+        if near[far][0] == 0:
+            break
+        pivots.append(fitting[far][0])
+        near = [min(old, (math.dist(c, pivots[-1]), len(pivots) - 1)) for old, (c, _, _) in zip(near, fitting)]
+    out = []
+    for number, pivot in enumerate(pivots):
+        held = [m for m, (_, p) in zip(fitting, near) if p == number]
+        terms = [
+            {"center": c, "peak": math.log(w) - width * (math.log(s) + LOG_2PI / 2), "spread": 2.0 * s * s} for c, w, s in held
         ]
-    )
+        out.append(
+            {
+                "pivot": pivot,
+                "radius": max(d for d, p in near if p == number),
+                "peak": max(t["peak"] for t in terms),
+                "spread": max(t["spread"] for t in terms),
+                "modes": terms,
+            }
+        )
+    return out
+
+
+_BALLS = (
+    "array<struct<pivot:array<double>,radius:double,peak:double,spread:double,"
+    "modes:array<struct<center:array<double>,peak:double,spread:double>>>>"
+)
 
 
 def _log_density(modes: Sequence[Mode], x: str) -> Column:
-    if not modes:
-        return F.lit(None).cast("double")
-    return let(_max_and_sum(_mode_terms(_listed(modes), x)), lambda p: p["top"] + F.ln(p["sum"]))
+    """The log of the sum over all modes, balls by falling bound; a ball whose best possible term
+    is negligible beside what was found is not opened."""
+    result = F.lit(None).cast("double")
+    for width in sorted({len(c) for c, w, _ in modes if w > 0}):
+        # One literal, parsed once: thousands of them take seconds to build.
+        balls = F.from_json(F.lit(json.dumps(_blocks(modes, width))), _BALLS)
+        result = F.when(F.size(x) == width, _pruned_log_sum(balls, F.col(x))).otherwise(result)
+    return result
+
+
+def _pruned_log_sum(balls: Column, x: Column) -> Column:
+    def bounded(b: Column) -> Column:
+        gap = F.greatest(F.lit(0.0), F.sqrt(squared_distance(x, b["pivot"])) - b["radius"])
+        # Sorted rising, so the bound's sign is turned; a null or NaN in the point has no bound.
+        return F.struct((gap * gap / b["spread"] - b["peak"]).alias("under"), b["modes"].alias("modes"))
+
+    def merged(a: Column, p: Column) -> Column:
+        top = F.greatest(a["top"], p["top"])
+        return let(
+            top,
+            lambda t: F.struct(
+                t.alias("top"), (a["sum"] * F.exp(a["top"] - t) + p["sum"] * F.exp(p["top"] - t)).alias("sum")
+            ),
+        )
+
+    def opened(modes: Column) -> Column:
+        return _max_and_sum(F.transform(modes, lambda m: m["peak"] - squared_distance(x, m["center"]) / m["spread"]))
+
+    def step(a: Column, b: Column) -> Column:
+        return F.when(-b["under"] < a["top"] - NEGLIGIBLE, a).otherwise(let(opened(b["modes"]), lambda p: merged(a, p)))
+
+    lowest = F.struct(F.lit(-sys.float_info.max).alias("top"), F.lit(0.0).alias("sum"))
+    ordered = F.array_sort(F.transform(balls, bounded), lambda a, b: F.when(a["under"] < b["under"], -1).when(a["under"] > b["under"], 1).otherwise(0))
+    return let(F.aggregate(ordered, lowest, step), lambda p: p["top"] + F.ln(p["sum"]))
 
 
 def mixture_log_density(points: DataFrame, modes: Sequence[Mode], key: str = "id", x: str = "x") -> DataFrame:
     """(key, log_density) under a Gaussian mixture of listed spherical modes.
 
     One row out for each row in; a null point, or one of another width than all modes, has null.
-    A row needs only itself and the modes, so nothing moves.
+    A row needs only itself and the modes, so nothing moves. Modes lie in balls, and a ball that
+    can't add anything above double rounding to a point's sum is skipped.
     """
     return points.select(key, _log_density(modes, x).alias("log_density"))
 
@@ -85,7 +147,7 @@ def mixture_log_density_by_table(points: DataFrame, modes: DataFrame, key: str =
     total = let(
         top, lambda t: t + F.ln(F.aggregate("_ps", F.lit(0.0), lambda acc, p: acc + p["sum"] * F.exp(p["top"] - t)))
     )
-    return tops.select(key, total.alias("log_density"), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).drop("_i")
+    return repeat_rows(tops.select(key, total.alias("log_density"), "_n"), "_n", key)
 
 
 def standard_normal_log_density(points: DataFrame, key: str = "id", x: str = "x") -> DataFrame:

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import datetime
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pollwright.functions import scale
 from pollwright.operators import density, features
 
 
@@ -108,3 +110,34 @@ def test_marginals(spark):
     assert stats[1] == pytest.approx((xs[:, 1].mean(), xs[:, 1].std()))
     normal = density.standard_normal_log_density(points).where("id = 0").first()["log_density"]
     assert normal == pytest.approx(float(-0.5 * np.sum(xs[0] ** 2 + math.log(2 * math.pi))))
+
+
+def test_pruned_density_is_the_full_sum(spark):
+    """Clusters of modes, near and far, of several scales and widths, against the plain sum."""
+    rng = random.Random(5)
+    modes = [([c + rng.gauss(0, 0.2) for _ in range(6)], rng.random(), rng.choice([0.05, 0.5, 2.0])) for c in range(-40, 40) for _ in range(3)]
+    modes += [([1.0, 2.0], 0.7, 0.3), ([0.0] * 6, 0.0, 1.0)]
+    points = [[rng.uniform(-45, 45)] * 6 for _ in range(150)] + [[rng.uniform(-3, 3) for _ in range(6)] for _ in range(50)]
+    points += [[1.5, 2.5], [1e6] * 6, modes[7][0], [1.0], None]
+
+    def full(x):
+        terms = [
+            math.log(w) - len(c) * (math.log(s) + math.log(2 * math.pi) / 2) - sum((a - b) ** 2 for a, b in zip(x, c)) / (2 * s * s)
+            for c, w, s in modes
+            if w > 0 and x is not None and len(c) == len(x)
+        ]
+        return max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)) if terms else None
+
+    df = spark.createDataFrame(list(enumerate(points)), "id bigint, x array<double>")
+    got = {r["id"]: r["log_density"] for r in density.mixture_log_density(df, modes).collect()}
+    assert len(got) == len(points)
+    for i, x in enumerate(points):
+        assert got[i] is None if full(x) is None else got[i] == pytest.approx(full(x), rel=1e-9, abs=1e-9)
+
+
+def test_copies_of_a_row_come_from_many_tasks(spark):
+    one = spark.createDataFrame([(1, 500_000), (2, 3), (None, 2)], "id bigint, n bigint")
+    many = scale.repeat_rows(one, "n", "id")
+    rows = many.groupBy(F.spark_partition_id().alias("p"), "id").count().collect()
+    assert sum(r["count"] for r in rows if r["id"] == 1) == 500_000 and len({r["p"] for r in rows if r["id"] == 1}) > 2
+    assert sum(r["count"] for r in rows if r["id"] is None) == 2
