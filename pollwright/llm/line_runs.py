@@ -1,20 +1,22 @@
 """Line dedup with levelled runs of line hashes, from DataFrame functions only.
 
-A run is a table of line hashes, sorted within its partitions, with the number of documents that
-hold each. A new batch is anti-joined with the hashes already known to be frequent and becomes a
-run of the lowest level. When a level has ``fan_out`` runs, they are merged into one run of the
-next level, so every hash is rewritten once per level.
+A run is a table of line hashes, dealt by hash and sorted within its partitions, with the number
+of documents of its batch that hold each. A new batch is dealt and sorted alike and merge-joined with
+the runs, which don't move: hashes that no run has become a run of the lowest level, and the counts of
+those that one has are kept as hits. So a hash lies in one run only. When a level has ``fan_out`` runs,
+they are merged into one run of the next level, so every hash is rewritten once per level.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pollwright.llm.common import BLANKS, cut
 from pollwright.llm.fingerprints import keyed_texts
+from pollwright.session import discard, scratch_path
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -46,48 +48,79 @@ def line_counts(docs: DataFrame, *by: Column, min_chars: int = 1) -> DataFrame:
 
 
 class LineRuns:
-    """The runs, by level. They are checkpoints in the shared folder: a lost executor costs no
-    run, and Spark's cleaner deletes the files of runs that were merged."""
+    """The runs, by level, and the hits of later batches: tables in the shared folder, bucketed and
+    sorted by hash, so a lost executor costs no run and a join reads them as they lie."""
 
     def __init__(self, min_docs: int, fan_out: int = 4):
         self.min_docs, self.fan_out = min_docs, fan_out
         self.levels: list[list[DataFrame]] = []
-        self.frequent: DataFrame | None = None
-
-    @staticmethod
-    def _run(rows: DataFrame) -> DataFrame:
-        merged = rows.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        return cut(merged.sortWithinPartitions("h1", "h2"))
+        self.hits: list[DataFrame] = []
+        self.tables: list[tuple[SparkSession, str, str]] = []
+
+    def _table(self, rows: DataFrame) -> DataFrame:
+        """``rows``, one bucket a partition."""
+        spark = rows.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        path = scratch_path(spark, "line_run")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        dealt = rows.repartition(parts, "h1", "h2").write.format("parquet").option("path", path)
+        dealt.bucketBy(parts, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.tables.append((spark, name, path))
+        return spark.table(name)
+
+    def drop(self) -> None:
+        """Delete all tables."""
+        for spark, name, path in self.tables:
+            spark.sql(f"drop table {name}")
+            discard(spark, path)
+        self.tables = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
 
+    def meet(self, counts: DataFrame) -> DataFrame:
+        """``h1, h2, n, known`` of a batch: whether a run has the hash."""
+        parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        met, known = counts.repartition(parts, "h1", "h2").withColumn("known", F.lit(False)), F.col("known")
+        for i, run in enumerate(self.runs()):
+            here = run.select("h1", "h2", F.lit(True).alias(f"in{i}")).hint("merge")
+            met = met.join(here, ["h1", "h2"], "left")
+            known = known | F.col(f"in{i}").isNotNull()
+        return met.select("h1", "h2", "n", known.alias("known"))
+
     def add(self, counts: DataFrame) -> None:
-        """One batch of ``h1, h2, n``. Hashes that are frequent already need no more counting."""
-        if self.frequent is not None:
-            counts = counts.join(self.frequent, ["h1", "h2"], "left_anti")
-        self._put(0, self._run(counts))
-        total = reduce(DataFrame.unionByName, self.runs()).groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-        self.frequent = cut(total.where(F.col("n") >= self.min_docs).select("h1", "h2"))
+        """One batch of ``h1, h2, n``, each hash once."""
+        met = self._table(self.meet(counts))
+        if self.levels:
+            self.hits.append(met.where("known").select("h1", "h2", "n"))
+        self._put(0, met.where("not known").select("h1", "h2", "n"))
 
     def _put(self, level: int, run: DataFrame) -> None:
         if level == len(self.levels):
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fan_out:
-            merged = self._run(reduce(DataFrame.unionByName, self.levels[level]))
+            merged = self._table(reduce(DataFrame.unionByName, self.levels[level]))
             self.levels[level] = []
             self._put(level + 1, merged)
 
+    @property
+    def frequent(self) -> DataFrame:
+        """``h1, h2`` of the hashes with ``min_docs`` documents in all batches."""
+        every = reduce(DataFrame.unionByName, self.runs() + self.hits)
+        return every.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where(F.col("n") >= self.min_docs).select("h1", "h2")
+
 
-def find_frequent(docs: DataFrame, min_docs: int, batches: int = 4, min_chars: int = 1) -> DataFrame:
+def find_frequent(docs: DataFrame, min_docs: int, batches: int = 6, min_chars: int = 1) -> DataFrame:
     """``h1, h2`` of the lines in at least ``min_docs`` rows, taken in as batches of documents."""
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
     counts = cut(line_counts(docs, batch, min_chars=min_chars))
     runs = LineRuns(min_docs)
     for i in range(batches):
         runs.add(counts.where(F.col("batch") == i).select("h1", "h2", "n"))
-    return runs.frequent
+    found = cut(runs.frequent)
+    runs.drop()
+    return found
 
 
 def without_frequent(docs: DataFrame, frequent: DataFrame, *more: Column, min_chars: int = 1) -> DataFrame:
@@ -129,7 +162,7 @@ def without_frequent(docs: DataFrame, frequent: DataFrame, *more: Column, min_ch
     )
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 6) -> DataFrame:
     """``doc_id, n_lines, n_dropped, dropped, kept_text`` for every row of ``docs``.
 
     A line's key found in at least ``min_docs`` rows loses all its lines. Null and empty texts
@@ -148,7 +181,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFr
     )
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 4) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, batches: int = 6) -> DataFrame:
     """``docs`` with all its columns, the texts without their frequent lines and ``n_chars``, if
     there is one, counted anew. No row goes; null text stays null if nothing is dropped."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")

@@ -96,19 +96,20 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op6_line_dedup",
     """
     with lines as (
-        select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos from documents
+        select row, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as pos
+        from (select *, row_number() over () as row from documents)
     ), keyed as (
         select *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines
     ), frequent as (
-        select key from keyed where length(key) >= 1 group by key having count(distinct doc_id) >= 10
+        select key from keyed where length(key) >= 1 group by key having count(distinct row) >= 10
     ), marked as (
-        select doc_id, pos, line, key in (select key from frequent) as dropped from keyed
+        select row, doc_id, pos, line, key in (select key from frequent) as dropped from keyed
     )
     select doc_id, count(*) as n_lines, cast(count(*) filter (dropped) as bigint) as n_dropped,
            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not dropped), '')) as kept_sha256
-    from marked group by doc_id""",
+    from marked group by row, doc_id""",
 )
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_runs.dedup_lines(table(tune(spark), sf_dir, "documents"))

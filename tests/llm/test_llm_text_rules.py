@@ -164,6 +164,24 @@ def test_runs_are_merged_by_level(spark):
     assert sorted(tuple(r) for r in runs.frequent.collect()) == [(1, 1), (2, 2), (3, 3)]
 
 
+def test_a_known_hash_never_enters_a_second_run(spark):
+    rng = np.random.default_rng(6)
+    runs, total = line_runs.LineRuns(min_docs=4, fan_out=3), Counter()
+    schema = "h1 bigint, h2 bigint, n bigint"
+    for _ in range(5):
+        batch = {int(h): int(rng.integers(1, 3)) for h in rng.integers(0, 60, 40)}
+        total.update(batch)
+        counts = spark.createDataFrame([(h, -h, n) for h, n in batch.items()], schema)
+        plan = runs.meet(counts)._jdf.queryExecution().executedPlan().toString()
+        # The batch moves once, and every run is merge-joined where it lies.
+        assert plan.count("SortMergeJoin") == len(runs.runs()) and plan.count("Exchange") == 1
+        runs.add(counts)
+        held = [r.h1 for run in runs.runs() for r in run.collect()]
+        assert len(held) == len(set(held)) and set(held) == set(total)
+    assert [len(level) for level in runs.levels] == [2, 1]
+    assert {r.h1 for r in runs.frequent.collect()} == {h for h, n in total.items() if n >= 4}
+
+
 def test_network_score_is_the_plain_convolution():
     w = byte_cnn.new_weights(1)
     text = ("Ab é! " * 230).encode()
