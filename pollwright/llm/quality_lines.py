@@ -191,8 +191,10 @@ def fit_line_model(
 ) -> LineModel:
     """The field's weights by maximum conditional likelihood.
 
-    Lines of documents labelled ``quality`` 1 are taken as content, those of documents labelled
-    0 as boilerplate. At most ``rows`` labelled documents are read, and of each at most
+    A line's label says what kind of document it is like: lines of documents labelled ``quality`` 1
+    are taken as content, those of documents labelled 0 as boilerplate. Beside the documents the
+    field learns from joined pieces of a good and a bad one, so that it sees labels change inside a
+    document. At most ``rows`` labelled documents are read, one text per id, and of each at most
     ``lines`` consecutive lines from its middle; the untrained weights are returned if either
     class is missing.
     """
@@ -214,23 +216,45 @@ def fit_line_model(
     )
     if len({label for _, label, _ in got}) < 2:
         return UNTRAINED
-    return train([(np.frombuffer(x).reshape(-1, N_FEATURES), label) for _, label, x in got], lines, steps)
+    single = [(np.frombuffer(x).reshape(-1, N_FEATURES), label) for _, label, x in got]
+    return train(single + joined_pieces(single, lines), lines, steps)
 
 
-def train(documents: list[tuple[np.ndarray, int]], lines: int, steps: int) -> LineModel:
+Labelled = tuple[np.ndarray, int | np.ndarray]
+
+
+def joined_pieces(documents: list[tuple[np.ndarray, int]], lines: int) -> list[Labelled]:
+    """Pieces of good and bad documents one after the other, in both orders by turns, with a label
+    for each line. Every document of the larger class is used once."""
+    good, bad = ([x for x, label in documents if label == y] for y in (1, 0))
+    out = []
+    for i in range(max(len(good), len(bad))):
+        pair = [(good[i % len(good)], 1), (bad[i % len(bad)], 0)][:: 1 if i % 2 else -1]
+        # Pieces of many lengths, whatever the lengths of the documents.
+        cuts = [1 + (i * 7 + k * 5) % (lines // 2) for k in range(2)]
+        pieces = [(x[:cut], label) for (x, label), cut in zip(pair, cuts)]
+        out.append((np.concatenate([x for x, _ in pieces]), np.concatenate([np.full(len(x), label) for x, label in pieces])))
+    return out
+
+
+def train(documents: list[Labelled], lines: int, steps: int) -> LineModel:
     """Gradient ascent (Adam) on the likelihood of whole labellings, by forward and backward
-    sums over all documents at once; every document counts alike."""
+    sums over all documents at once. A label holds for a whole document or for each line; good, bad
+    and mixed documents have the same weight together, and inside a kind all count alike."""
     n = len(documents)
     x = np.zeros((n, lines, N_FEATURES))
     real = np.zeros((n, lines))
-    y = np.array([label for _, label in documents])
-    for i, (features, _) in enumerate(documents):
+    y = np.zeros((n, lines), int)
+    kind = np.zeros(n, int)
+    for i, (features, label) in enumerate(documents):
         x[i, : len(features)] = features
         real[i, : len(features)] = 1
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    truth = np.eye(2)[y][:, None, :] * real[..., None]
+        y[i, : len(features)] = label
+        kind[i] = label if np.isscalar(label) else 2
+    share = 1 / np.bincount(kind)[kind] / len(np.unique(kind))
+    truth = np.eye(2)[y] * real[..., None]
     edges = real[:, 1:]
-    true_edges = np.einsum("nt,na,nb->ab", edges * share[:, None], np.eye(2)[y], np.eye(2)[y])
+    true_edges = np.einsum("nt,nta,ntb->ab", edges * share[:, None], truth[:, :-1], truth[:, 1:])
     emission, transition = np.zeros(N_FEATURES), np.zeros((2, 2))
     params, moments = np.zeros(N_FEATURES + 4), np.zeros((2, N_FEATURES + 4))
     for step in range(1, steps + 1):
