@@ -218,6 +218,52 @@ def test_mixing_takes_odd_rows(spark):
     assert mixing.thin_to_shares(none, empty, {"low": 0.1}).collect() == []
 
 
+def plain_membership(text, model):
+    """Words, buckets and softmax in plain Python and numpy."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D.,;:'\"()]+", (text or "").lower()) if w]
+    n = len(model.weights[0])
+    hashed = [np.uint64(xxhash.xxh64_intdigest(w.encode(), 42)).view(np.int64) for w in words]
+    buckets = list(dict.fromkeys(int(h) % (n - 1) + 1 for h in hashed))
+    if 2 * len(buckets) < len(words):
+        buckets.append(0)
+    z = np.array([b + sum(w[k] for k in buckets) for b, w in zip(model.bias, model.weights)])
+    e = np.exp(z - z.max())
+    return len(words), e / e.sum()
+
+
+def test_membership_is_the_plain_softmax(spark):
+    rng = np.random.default_rng(4)
+    weights = [np.zeros(50), *rng.standard_normal((2, 50))]
+    model = mixing.DomainModel(mixing.DOMAINS, (0.0, 0.3, -0.2), tuple(tuple(map(float, w)) for w in weights))
+    rows = [(i, t) for i, (_, t) in enumerate(texts()) if t is None or "İ" not in t]
+    got = docs(spark, rows).select("doc_id", mixing.membership(F.col("text"), model).alias("m")).collect()
+    found = {r.doc_id: r.m for r in got}
+    for i, t in rows:
+        n, p = plain_membership(t, model)
+        assert found[i].tokens == n and found[i].p == pytest.approx(p.tolist(), abs=1e-9)
+
+
+def test_drawn_tokens_meet_the_targets(spark):
+    sf = "/root/testdata/sf0.1"  # enough toxic documents for the draw's chance to even out
+    d = table(spark, sf, "documents")
+    domains = mixing.quality_domains(table(spark, sf, "labels")).cache()
+    model = mixing.fit_domains(d, domains)
+    share = lambda df: df.select(mixing.membership(F.col("text"), model).alias("m")).agg(
+        *[F.sum(F.col("m.tokens") * F.get("m.p", F.lit(k))) / F.sum("m.tokens") for k in range(3)]
+    ).first()
+    for most in ({"low": 0.02, "toxic": 0.01}, {"low": 0.001, "toxic": 0.001}):
+        before, kept = share(d), mixing.thin_to_shares(d, model, most)
+        after = share(kept)
+        for k, name in ((1, "low"), (2, "toxic")):
+            want = min(most[name], before[k])
+            assert after[k] == pytest.approx(want, rel=0.35, abs=0.002)
+        found = {r.domain: (r["all"], r.stay) for r in domains.join(d, "doc_id").join(
+            kept.select("doc_id", F.lit(1).alias("k")).distinct(), "doc_id", "left"
+        ).groupBy("domain").agg(F.count("*").alias("all"), F.count("k").alias("stay")).collect()}
+        assert found["clean"][1] >= 0.97 * found["clean"][0]
+        assert found["toxic"][1] < 0.5 * found["toxic"][0]
+
+
 # -- packing
 
 
