@@ -10,8 +10,8 @@ from pollwright.llm import line_runs, mixing, packing, quality_lines, simhash_co
 from pollwright.llm.common import table
 from pollwright.session import discard, scratch_dir, tune
 
-# Low and toxic documents are thinned to these shares of all tokens; the clean ones stay.
-MOST = {"low": 0.01, "toxic": 0.01}
+# The shares of all expected tokens that low and toxic documents get; the clean ones have the rest.
+MOST = {"low": 0.001, "toxic": 0.001}
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
