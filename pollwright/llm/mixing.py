@@ -210,10 +210,10 @@ def thin_to_shares(docs: DataFrame, model: DomainModel, most: Mapping[str, float
     """The rows of ``docs``, with all columns, that a draw at the fitted rate keeps.
 
     The targets are the shares in ``most`` of all expected tokens for these domains, or what they have
-    where that is less, and the rest for the first domain. A draw can't repeat a row, so the
-    rates are divided by the largest one: they stay in proportion, the shares of the drawn tokens are
-    the targets, and the documents that are surest to be of the first domain have rate one. A row stays if a
-    number in [0, 1) made from its id and text is below its rate; equal rows meet the same fate.
+    where that is less, and the rest for the first domain, whose documents have rates of one and
+    more. A row stays if a number in [0, 1) made from its id and text is below its rate; equal
+    rows meet the same fate. Rates above one keep a row once, so clean documents stay and the drawn
+    total is smaller than the fitted one.
     """
     m = membership(F.col("text").cast("string"), model).alias("m")
     members = cut(docs.select(m).select("m.*"))
@@ -225,7 +225,6 @@ def thin_to_shares(docs: DataFrame, model: DomainModel, most: Mapping[str, float
     targets = {d: min(most.get(d, 1.0), x / total) for d, x in zip(model.domains, now)}
     targets[model.domains[0]] = 1 - sum(targets[d] for d in model.domains[1:])
     moves, _ = fit_rates(members, targets, model.domains)
-    top = members.where("tokens > 0").agg(F.max(rate_of(F.col("p"), moves))).first()[0] or 1.0
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     # One expression: as a column, the probabilities would be computed for each of their uses.
-    return docs.where(draw < rate_of(membership(F.col("text").cast("string"), model)["p"], moves) / F.lit(top))
+    return docs.where(draw < rate_of(membership(F.col("text").cast("string"), model)["p"], moves))

@@ -131,7 +131,7 @@ def pack_documents(
             names = SCHEMA.replace(" bigint", "").split(", ")
             return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))})
 
-        for part in slices(batches, 4096):
+        for part in slices(batches, 1024):
             for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.encode(part.column(1))):
                 waiting.append((doc_id, ids + end))
                 tokens += len(ids) // 4 + 1
