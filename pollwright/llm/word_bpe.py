@@ -118,7 +118,7 @@ class ChunkIds:
     """Ids of whole texts as little-endian unsigned 32-bit integers. Chunks are remembered, up to
     about ``limit``; then the memory starts anew."""
 
-    def __init__(self, path: str = DEFAULT_PATH, limit: int = 400_000):
+    def __init__(self, path: str = DEFAULT_PATH, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         # The memory holds strings only, which are in no cycles; looking for some takes long.
         gc.set_threshold(200_000, 100, 100)
