@@ -131,13 +131,15 @@ def pack_documents(
             names = SCHEMA.replace(" bigint", "").split(", ")
             return pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*rows))})
 
-        for part in slices(batches, 2048):
+        for part in slices(batches, 1536):
             for doc_id, ids in zip(part.column(0).to_pylist(), ids_of.encode(part.column(1))):
                 waiting.append((doc_id, ids + end))
                 tokens += len(ids) // 4 + 1
                 if tokens >= group_windows * capacity:
                     yield packed()
                     waiting, tokens = [], 0
+            # Arrow holds on to what a slice took, beside what Python and the executor's JVM hold.
+            pa.default_memory_pool().release_unused()
         if waiting:
             yield packed()
 

@@ -11,8 +11,8 @@ from __future__ import annotations
 import gc
 import json
 import os
-from collections.abc import Callable, Iterable
-from itertools import chain, pairwise, repeat
+from collections.abc import Callable
+from itertools import chain, pairwise
 from typing import Any
 
 import numpy as np
@@ -80,21 +80,23 @@ class Memory:
 
 
 class Store:
-    """Id sequences by name, in one growing array. ``rows`` are their numbers."""
+    """Id sequences by name. Names are one Arrow array and ids one growing numpy array, so a name
+    takes little beside its own bytes; a dictionary of strings takes about five times as much."""
 
     def __init__(self) -> None:
-        self.row = {"": 0}
+        self.names = pa.array([""], pa.large_string())
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def rows(self, names: list[str]) -> np.ndarray:
-        """Row numbers, -1 for unknown names."""
-        return np.fromiter(map(self.row.get, names, repeat(-1)), np.int64, len(names))
+    def rows(self, names: pa.Array) -> np.ndarray:
+        """Numbers of names, -1 for unknown ones. Arrow hashes all known names in every call."""
+        found = pc.fill_null(pc.index_in(names, value_set=self.names), -1)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        """The sequences of new names, which lie in ``ids`` one after the other."""
-        first, n = len(self.row), len(names)
-        self.row.update(zip(names, range(first, first + n)))
+    def add(self, names: list[str], ids: np.ndarray, lengths: np.ndarray) -> dict[str, int]:
+        """The sequences of new names, which lie in ``ids`` one after the other, and their numbers."""
+        first, n = len(self.names), len(names)
+        self.names = pa.concat_arrays([self.names, pa.array(names, pa.large_string())])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + n > len(self.starts):
@@ -104,6 +106,7 @@ class Store:
         self.starts[first : first + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + n] = lengths
         self.used += len(ids)
+        return dict(zip(names, range(first, first + n)))
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The sequences of ``rows`` one after the other, and where each one ends."""
@@ -136,46 +139,44 @@ class ChunkIds:
         self.limit = limit
         self.known = Store()
 
-    def _whole(self, strings: list[str]) -> None:
+    def _whole(self, strings: list[str]) -> dict[str, int]:
         """Ids of chunks, each by a call of the tokenizer."""
         found = self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)
         ids = [e.ids for e in found]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.add(strings, np.fromiter(chain.from_iterable(ids), np.uint32, lengths.sum()), lengths)
+        return self.known.add(strings, np.fromiter(chain.from_iterable(ids), np.uint32, lengths.sum()), lengths)
 
-    def _pieces(self, strings: list[str]) -> None:
+    def _pieces(self, strings: list[str]) -> dict[str, int]:
         """Ids of pieces without blanks; the last id of a piece ends a word, and no other does."""
         joined = [" ".join(strings[a : a + 256]) for a in range(0, len(strings), 256)]
         found = self.model.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in found]])
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) != len(strings):
             raise ValueError("the vocabulary doesn't mark word ends")
-        self.known.add(strings, ids, np.diff(ends, prepend=0))
-
-    def _learn_pieces(self, strings: Iterable[str]) -> None:
-        row = self.known.row
-        new = [p for p in set(strings) if p not in row]
-        if new:
-            self._pieces(new)
-
-    def _learn_odd(self, chunks: list[str]) -> None:
-        """Chunks that are no plain words: split by the tokenizer's pattern, or given to it whole."""
-        row = self.known.row
-        new = [c for c in chunks if c not in row]
-        split = {c: split_simple(c) for c in new if is_simple(c)}
-        self._learn_pieces(chain.from_iterable(split.values()))
-        self._whole([c for c in new if c not in split])
+        return self.known.add(strings, ids, np.diff(ends, prepend=0))
+
+    def _learn(self, pieces: list[str], odd: list[str]) -> list[int]:
+        """Numbers of unknown pieces and, after them, of unknown chunks that are no plain words: these
+        are split by the tokenizer's pattern, or given to it whole."""
+        split = {c: split_simple(c) for c in odd if is_simple(c)}
+        new = set(pieces)
+        parts = [p for p in set(chain.from_iterable(split.values())) if p not in new]
+        at = dict(zip(parts, self.known.rows(pa.array(parts, pa.large_string())).tolist()))
+        at |= self._pieces([*new, *[p for p in parts if at[p] < 0]])
+        at |= self._whole([c for c in odd if c not in split and c not in at])
         # A chunk that is a piece of its own is known by now.
-        some = {c: ps for c, ps in split.items() if c not in row}
-        ids, ends = self.known.gather(self.known.rows(list(chain.from_iterable(some.values()))))
+        some = {c: ps for c, ps in split.items() if c not in at}
+        rows = np.array([at[p] for p in chain.from_iterable(some.values())], np.int64)
+        ids, ends = self.known.gather(rows)
         counts = np.cumsum(np.fromiter(map(len, some.values()), np.int64, len(some)))
-        self.known.add(list(some), ids, np.diff(np.concatenate([[0], ends])[counts], prepend=0))
+        at |= self.known.add(list(some), ids, np.diff(np.concatenate([[0], ends])[counts], prepend=0))
+        return [at[c] for c in chain(pieces, odd)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text. Arrow splits the texts, numbers the different chunks and takes
         plain words apart, so that Python looks only at the different words of a slice."""
-        if len(self.known.row) > self.limit:
+        if len(self.known.names) > self.limit:
             self.known = Store()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists = pc.ascii_split_whitespace(texts)
@@ -184,20 +185,22 @@ class ChunkIds:
         words = pc.utf8_lower(pc.struct_field(plain, "word")).dictionary_encode()
         marks = pc.struct_field(plain, "marks").dictionary_encode()
         odd = pc.is_null(words.indices)
-        pieces = [*words.dictionary.to_pylist(), *marks.dictionary.to_pylist()]
-        rest = numbered.dictionary.filter(odd).to_pylist()
-        found = self.known.rows(pieces)
-        if (found < 0).any():
-            self._learn_pieces(pieces[i] for i in np.flatnonzero(found < 0))
-            found = self.known.rows(pieces)
-        self._learn_odd(rest)
+        names = [words.dictionary, marks.dictionary, numbered.dictionary.filter(odd)]
+        n_pieces = len(names[0]) + len(names[1])
+        names = pa.concat_arrays(names)
+        found = self.known.rows(names)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            unknown = names.take(pa.array(new)).to_pylist()
+            n_new = int(np.searchsorted(new, n_pieces))
+            found[new] = self._learn(unknown[:n_new], unknown[n_new:])
 
         # Each chunk is two items: its word (or the whole odd chunk) and its marks (or nothing).
         items = np.zeros((len(odd), 2), np.int64)
         is_odd = odd.to_numpy(zero_copy_only=False)
         items[~is_odd, 0] = found[words.indices.drop_null().to_numpy()]
         items[~is_odd, 1] = found[marks.indices.drop_null().to_numpy() + len(words.dictionary)]
-        items[is_odd, 0] = self.known.rows(rest)
+        items[is_odd, 0] = found[n_pieces:]
         tokens, ends = self.known.gather(items[numbered.indices.to_numpy()].ravel())
         tokens, ends = tokens.tobytes(), np.concatenate([[0], ends])
         upto = [0, *(4 * ends[2 * np.cumsum(pc.list_value_length(lists).to_numpy())]).tolist()]
