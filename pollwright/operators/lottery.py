@@ -1,9 +1,9 @@
 """Weighted draws: every race decided by lot, each candidate with the chance of its votes.
 
 A draw is a point between 0 and the race total. Each candidate owns a slice of that line,
-and wins the replicate if the point lies in the slice. Slices need one running sum per race;
-after that, whether a row wins is decided on the row alone, so no shuffle ever carries the
-replicates before they are added up.
+and wins the replicate if the point lies in the slice. Slices need one running sum per race.
+``draw_winners`` then lists every candidate in every replicate; where only winners count,
+``locate_winners`` draws once per race and replicate and finds the slice through a grid.
 
 Random numbers are md5 digests of (seed, draw, race). They are the same on every row of a
 race and on every retry of a lost task, and any SQL engine can repeat them.
@@ -44,6 +44,7 @@ def vote_slices(
     votes: str = "candidatevotes",
     total: str = "totalvotes",
     contested: bool = False,
+    sized: bool = False,
 ) -> DataFrame:
     """One row per ticket with its slice ``(below, upto]`` of the race's votes.
 
@@ -57,7 +58,8 @@ def vote_slices(
     a block sees only a small part of the race. The chances do not depend on the order.
 
     Also gives ``race_total`` (largest total of the race, or ``race_votes`` where no total above
-    0 is known), ``race_votes`` (sum of its candidates) and ``count_win`` (1 for the most votes, on all that tie).
+    0 is known), ``race_votes`` (sum of its candidates) and ``count_win`` (1 for the most votes, on all that tie);
+    with ``sized`` also ``race_tickets`` (number of its tickets), which ``locate_winners`` needs.
     """
     race, ticket = list(race), list(ticket)
     tickets = (
@@ -82,6 +84,7 @@ def vote_slices(
             F.max("_total").alias("_max_total"),
             F.sum("_rows").alias("_n"),
             F.max("_any_total").alias("_max_any"),
+            F.count(F.lit(1)).alias("_tickets"),
         )
         .select(
             "_race",
@@ -92,6 +95,7 @@ def vote_slices(
             F.max("_max_total").over(in_race).alias("_race_total"),
             F.sum("_n").over(in_race).alias("_race_rows"),
             F.max("_max_any").over(in_race).alias("_race_any"),
+            F.sum("_tickets").over(in_race).alias("race_tickets"),
         )
     )
     # One partitioning serves the join and the window. Its size is set because the draws that
@@ -116,6 +120,7 @@ def vote_slices(
         "race_votes",
         F.when(known > 0, known).otherwise(F.col("race_votes")).alias("race_total"),
         (F.col("votes") == F.col("_top")).cast("int").alias("count_win"),
+        "race_tickets",
         F.greatest("_race_any", "_any_total").alias("_any_total"),
         ((F.col("_race_rows") == 1) & (F.col("_rows") == 1) & (F.col("votes") < 1)).alias("_lone"),
     )
@@ -132,13 +137,17 @@ def vote_slices(
         slices = slices.withColumns(
             {c: F.when(lone, v.cast(slices.schema[c].dataType)).otherwise(F.col(c)) for c, v in alone.items()}
         ).where(F.col("votes") != 0)
-    return slices.drop("_any_total", "_lone")
+    return slices.drop("_any_total", "_lone", *([] if sized else ["race_tickets"]))
+
+
+def _inside() -> Column:
+    die = F.col("die")
+    return (die <= F.col("upto")) & ((die > F.col("below")) | ((die == 0) & (F.col("below") == 0)))
 
 
 def _hit(undervote: str) -> Column:
     die = F.col("die")
-    inside = (die <= F.col("upto")) & ((die > F.col("below")) | ((die == 0) & (F.col("below") == 0)))
-    hit = inside & (F.col("votes") > 0)
+    hit = _inside() & (F.col("votes") > 0)
     if undervote == "all":
         return hit | (die > F.col("race_votes"))
     if undervote != "none":
@@ -179,6 +188,55 @@ def lottery_winners(
     return draw_winners(slices, race, n, seed, undervote, [*race, *ticket, "count_win"])
 
 
+# Cells of a race's grid; a race has no more than it has tickets.
+CELLS = 65_536
+
+
+def _cell(at: str) -> Column:
+    """The grid cell of a point. It never falls where the point rises, so a point of a slice lies
+    in one of the cells between those of the slice's ends, however the division rounds."""
+    cells = F.least(F.col("race_tickets"), F.lit(CELLS))
+    place = F.floor(F.col(at) / F.col("race_total") * cells)
+    inside = F.greatest(F.lit(0).cast("bigint"), F.least(place, cells))
+    return F.when(F.col("race_total") > 0, inside).otherwise(F.lit(0)).cast("bigint")
+
+
+def locate_winners(
+    slices: DataFrame, race: Sequence[str], n: int = 200, seed: int = 42, electors: str | None = None
+) -> DataFrame:
+    """The slices that win, each with its ``replicate``: the rows of ``draw_winners`` with ``won`` 1.
+
+    There is one draw per race and replicate (with ``electors``, for each of that many electors),
+    not one per candidate. The line of a race is cut into as many equal cells as it has tickets;
+    a slice is listed in the cells it touches, at most twice as many rows as there are tickets, and a draw
+    meets only the slices of its cell, two on average whatever the votes. Cells spread a large
+    race over the tasks. ``slices`` come from ``vote_slices(sized=True)`` and are read twice. Draws
+    beyond all slices elect nobody.
+    """
+    race = list(race)
+    once = [F.max(c).alias(c) for c in ("race_total", "race_tickets", *([electors] if electors else []))]
+    races = slices.groupBy(*race).agg(*once)
+    keys, extra = list(race), []
+    if electors:
+        races = races.withColumn("elector", F.explode(F.sequence(F.lit(1), F.col(electors).cast("int"))))
+        keys, extra = [*race, "elector"], [F.lit("elector"), F.col("elector").cast("string")]
+    # A row becomes n draws, which a size-based merge of partitions ignores.
+    width = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = (
+        _explode_draws(races.repartition(width, *keys), race, n, seed, *extra)
+        .withColumn("die", F.col("u") * F.col("race_total"))
+        .select(group_key(race).alias("_race"), _cell("die").alias("_cell"), "replicate", "die")
+    )
+    # Slices beyond the total are out of reach; without a total nothing can be said to be.
+    reached = (F.col("votes") > 0) & F.coalesce(F.col("below") <= F.col("race_total"), F.lit(True))
+    listed = (
+        slices.where(reached)
+        .withColumn("_race", group_key(race))
+        .withColumn("_cell", F.explode(F.sequence(_cell("below"), _cell("upto"))))
+    )
+    return listed.join(drawn, ["_race", "_cell"]).where(_inside()).drop("_race", "_cell", "die")
+
+
 def draw_electors(
     slices: DataFrame, race: Sequence[str], electors: str, n: int = 200, seed: int = 42, undervote: str = "none"
 ) -> DataFrame:

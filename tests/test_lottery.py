@@ -168,3 +168,56 @@ def test_contested_races_as_if_cleaned_before(spark):
     got = lottery.vote_slices(df, ["race"], ["candidate"], contested=True)
     want = lottery.vote_slices(cleaned, ["race"], ["candidate"])
     assert got.columns == want.columns and key(got) == key(want)
+
+
+def hostile(spark):
+    """Races of every odd kind: totals short, above or unknown, no votes, one ticket, null keys."""
+    rows = [(f"r{i % 7}", f"c{i}", float(i * i % 23), 40.0 + i % 7) for i in range(60)]
+    rows += [("short", "a", 9.0, 4.0), ("short", "b", 9.0, 4.0), ("over", "a", 1.0, 50.0), ("over", "b", 2.0, 50.0)]
+    rows += [("unknown", "a", 3.0, None), ("unknown", "b", 5.0, None), ("none", "a", 0.0, 0.0), ("none", "b", None, None)]
+    rows += [("lone", "a", 0.0, 9.0), (None, "a", 2.0, 5.0), (None, "b", 3.0, 5.0), ("", "a", 1.0, 1.0)]
+    rows += [("skewed", "big", 1e9, 1e9 + 500)] + [("skewed", f"c{i}", 1.0, 1e9 + 500) for i in range(500)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.mark.parametrize("contested", [False, True])
+def test_located_winners_are_the_drawn_ones(spark, contested):
+    slices = lottery.vote_slices(hostile(spark), ["race"], ["candidate"], contested=contested, sized=True).cache()
+    located = lottery.locate_winners(slices, ["race"], 60, 5).select("race", "candidate", "replicate").collect()
+    drawn = lottery.draw_winners(slices, ["race"], 60, 5).where("won = 1").select("race", "candidate", "replicate")
+    assert sorted(located, key=str) == sorted(drawn.collect(), key=str) and len(located) == len(set(located)) > 500
+    electors = slices.withColumn("electors", F.lit(3))
+    located = lottery.locate_winners(electors, ["race"], 20, 5, "electors").groupBy("race", "candidate", "replicate").count()
+    drawn = lottery.draw_electors(electors, ["race"], "electors", 20, 5).groupBy("race", "candidate", "replicate")
+    want = drawn.agg(F.sum("won").alias("count")).where("count > 0")
+    assert sorted(located.collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_no_votes_at_all_elect_nobody(spark):
+    slices = lottery.vote_slices(spark.createDataFrame([], SCHEMA), ["race"], ["candidate"], sized=True)
+    assert lottery.locate_winners(slices, ["race"], 5, 1).collect() == []
+
+
+def test_hot_race_is_drawn_once_per_replicate(spark):
+    """50,000 candidates in one race: a draw meets the few slices of its cell, not all of them."""
+    big = spark.range(50_000).select(
+        F.lit("hot").alias("race"),
+        F.concat(F.lit("c"), F.col("id").cast("string")).alias("candidate"),
+        F.when(F.col("id") == 7, 1e7).otherwise((F.col("id") % 9).cast("double")).alias("candidatevotes"),
+        F.lit(0.0).alias("totalvotes"),
+    )
+    slices = lottery.vote_slices(big, ["race"], ["candidate"], sized=True).cache()
+    won = lottery.locate_winners(slices, ["race"], 200, 3)
+    rows = won.select("replicate", "candidate").collect()
+    assert sorted(r["replicate"] for r in rows) == list(range(200)) and any(r["candidate"] != "c7" for r in rows)
+    cells = slices.where("votes > 0").select(lottery._cell("below").alias("a"), lottery._cell("upto").alias("b"))
+    listed = cells.agg(F.sum(F.col("b") - F.col("a") + 1)).first()[0]
+    assert listed <= 2 * 50_000 + 1
+
+
+def test_control_is_the_same_by_listing_everyone(spark):
+    """With every vote in the totals the two undervote rules agree, and so do the two ways."""
+    df = house_rows(spark)
+    got = control.house_control(df, 40, 9)
+    want = control.house_control(df, 40, 9, undervote="all")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
