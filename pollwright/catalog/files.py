@@ -82,6 +82,15 @@ def _(t):
     return elections.read_house(t.spark, path, years="1996", districts=["BUILDING", "MACHINERY"])
 
 
+@query("read_house_by_year", ["elections"], _D3 + " where year in (1995, 1997) and district in ('BUILDING', 'MACHINERY')")
+def _(t):
+    """As ``read_house`` from a Parquet folder per year, of which two are read."""
+    rows = t.elections.withColumnsRenamed({"votes": "candidatevotes", "total_votes": "totalvotes"})
+    path = scratch_path(t.spark, "results")
+    sinks.write_table(rows, path, "parquet", partition_by=["year"])
+    return elections.read_house(t.spark, path, [1995, 1997], districts="BUILDING,MACHINERY", format="parquet")
+
+
 @query("write_table", ["elections"], "select year, state, district, candidate, party, votes from elections")
 def _(t):
     path = scratch_path(t.spark, "table")

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from pollwright.operators.results import filter_in
 from pollwright.operators.standardize import import_election, standardize_by_mapping
@@ -17,8 +18,18 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("escape", '"').csv(path)
 
 
+def read_raw(spark: SparkSession, path: str, format: str = "csv") -> DataFrame:
+    """A result file, or a folder that ``write_table`` wrote. Folders partitioned by year give it as
+    a number, so a choice of years leaves the other folders unread."""
+    if format not in ("csv", "parquet"):
+        raise ValueError(f"format must be csv or parquet, not {format!r}")
+    return spark.read.parquet(path) if format == "parquet" else read_csv_text(spark, path)
+
+
 def _results(raw: DataFrame, party: str, *filters: Sequence | str | None) -> DataFrame:
-    rows = raw.withColumn("year", F.col("year").try_cast("int"))
+    # A cast that can fail would hide the year from partition and row-group pruning.
+    known = raw.schema["year"].dataType == IntegerType()
+    rows = raw if known else raw.withColumn("year", F.col("year").try_cast("int"))
     return filter_in(rows, *filters).select(
         "year",
         "state",
@@ -30,17 +41,19 @@ def _results(raw: DataFrame, party: str, *filters: Sequence | str | None) -> Dat
     )
 
 
-def read_president(spark: SparkSession, path: str, years=None, states=None) -> DataFrame:
-    return _results(read_csv_text(spark, path), "party_simplified", years, states)
+def read_president(spark: SparkSession, path: str, years=None, states=None, format: str = "csv") -> DataFrame:
+    return _results(read_raw(spark, path, format), "party_simplified", years, states)
 
 
-def read_senate(spark: SparkSession, path: str, years=None, states=None) -> DataFrame:
-    return _results(read_csv_text(spark, path), "party_simplified", years, states)
+def read_senate(spark: SparkSession, path: str, years=None, states=None, format: str = "csv") -> DataFrame:
+    return _results(read_raw(spark, path, format), "party_simplified", years, states)
 
 
-def read_house(spark: SparkSession, path: str, years=None, states=None, districts=None) -> DataFrame:
+def read_house(
+    spark: SparkSession, path: str, years=None, states=None, districts=None, format: str = "csv"
+) -> DataFrame:
     """House files name the party in ``party``."""
-    return _results(read_csv_text(spark, path), "party", years, states, districts)
+    return _results(read_raw(spark, path, format), "party", years, states, districts)
 
 
 def read_election(spark: SparkSession, path: str, office: str) -> DataFrame:

@@ -18,7 +18,7 @@ def write_table(
         raise ValueError(f"format must be csv or parquet, not {format!r}")
     writer = df.write.mode(mode).partitionBy(*partition_by)
     if format == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)  # quotes doubled, as the readers expect
     else:
         writer.parquet(path)
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime
 import json
+import re
 
 import pytest
 
@@ -159,3 +160,20 @@ def test_compass_document(spark, tmp_path):
     del document["political_compass"]["model_config"]["target_distribution"]["mode_weights"]
     path.write_text(json.dumps(document))
     assert [m["weight"] for m in compass.read_modes(spark, str(path)).collect()] == [0.5, 0.5]
+
+
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_years_prune_folders(spark, tmp_path, house_csv, format):
+    """A table in one folder per year: other years are not listed, and the rows are the file's."""
+    path = str(tmp_path / "by_year")
+    sinks.write_table(elections.read_csv_text(spark, house_csv), path, format, partition_by=["year"])
+    read = elections.read_house(spark, path, years="1976", format=format)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*year#\d+ = 1976", plan)
+    assert sorted(read.collect(), key=str) == sorted(elections.read_house(spark, house_csv, years="1976").collect(), key=str)
+    assert elections.read_house(spark, path, format=format).count() == elections.read_house(spark, house_csv).count()
+
+
+def test_unknown_format(spark):
+    with pytest.raises(ValueError, match="csv or parquet"):
+        elections.read_senate(spark, "nowhere", format="orc")
