@@ -8,9 +8,10 @@ whole levels are found at once from byte sums per prefix.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pollwright.functions.scale import running_sum
 from pollwright.llm.common import cut
 
 HASH_BITS = 60
@@ -41,6 +42,27 @@ def hashed(docs: DataFrame) -> DataFrame:
     return one.withColumn("hash", F.conv(F.substring(F.md5(name), 1, HASH_BITS // 4), 16, 10).cast("bigint"))
 
 
+def directory(cells: DataFrame, leaves: DataFrame, depth: int, block_bits: int) -> DataFrame:
+    """``cell, leaf`` for every cell of ``depth`` bits that lies in a leaf.
+
+    A leaf covers consecutive cells. Cells and leaves are sorted inside blocks of 2^block_bits
+    cells, a leaf once per block that it covers, so no task holds more than a block.
+    """
+    first = F.expr(f"shiftleft(prefix, {depth} - depth)")
+    last = F.expr(f"shiftleft(prefix + 1, {depth} - depth) - 1")
+    leaf = F.struct("depth", "prefix", "shard_bytes", "shard_docs", last.alias("last")).alias("leaf")
+    pieces = leaves.select(first.alias("first"), leaf).select(
+        "first", "leaf", F.explode(F.sequence(F.shiftright("first", block_bits), F.shiftright("leaf.last", block_bits))).alias("block")
+    )
+    starts = pieces.select(
+        "block", F.greatest("first", F.shiftleft("block", block_bits)).alias("cell"), F.lit(False).alias("wanted"), "leaf"
+    )
+    wanted = cells.select(F.shiftright("cell", block_bits).alias("block"), "cell", F.lit(True).alias("wanted"))
+    upto = Window.partitionBy("block").orderBy("cell", "wanted").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = wanted.unionByName(starts, allowMissingColumns=True).withColumn("leaf", F.last("leaf", ignorenulls=True).over(upto))
+    return placed.where(F.col("wanted") & (F.col("cell") <= F.col("leaf.last"))).select("cell", "leaf")
+
+
 def extendible_shards(docs: DataFrame, max_bytes: int, level_bits: int = 16) -> DataFrame:
     """``doc_id, n_bytes, copy, shard, depth, shard_bytes, shard_docs`` for every row.
 
@@ -73,16 +95,15 @@ def extendible_shards(docs: DataFrame, max_bytes: int, level_bits: int = 16) ->
         )
         # At the last bit nothing can be split; only rows equal in all bits could be together there.
         fits = (F.col("shard_bytes") <= max_bytes) | (F.col("depth") == HASH_BITS)
-        buckets = (
-            levels.groupBy("depth", "prefix")
-            .agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"))
-            .where(fits)
-        )
-        leaves = cut(
-            levels.join(buckets, ["depth", "prefix"])
-            .groupBy("cell")
-            .agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
+        buckets = levels.groupBy("depth", "prefix").agg(
+            F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")
         )
+        # A shard is a bucket that fits and came out of one that doesn't.
+        split = buckets.where(~fits).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
+        fitting = buckets.where(fits).withColumn("parent", F.shiftright("prefix", 1))
+        top = fitting.where(F.col("depth") == start)
+        below = fitting.join(split, ["depth", "parent"]).select(*top.columns)
+        leaves = cut(directory(cells, top.unionByName(below), depth, min(level_bits, 10)))
         placed = open_rows.join(leaves, "cell").select(
             "doc_id",
             "n_bytes",
@@ -102,15 +123,20 @@ def extendible_shards(docs: DataFrame, max_bytes: int, level_bits: int = 16) ->
 
 
 def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """The rows of ``docs`` as Parquet folders, one per shard."""
-    from pyspark.sql import Window
+    """The rows of ``docs`` as Parquet folders, one per shard.
 
+    Rows equal in id and size are numbered by many tasks, in the order they are read; the numbers
+    are a checkpoint, so a task that is run again writes the same rows. Columns must be orderable.
+    """
     size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("bigint")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    same = Window.partitionBy("doc_id", "n_bytes").orderBy(F.xxhash64("row.text"))
-    numbered = docs.select(row, F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("n_bytes")).withColumn(
-        "copy", (F.row_number().over(same) - 1).cast("bigint")
+    rows = docs.select(
+        row,
+        F.col("doc_id").cast("bigint").alias("doc_id"),
+        size.alias("n_bytes"),
+        F.monotonically_increasing_id().alias("at"),
     )
+    numbered = running_sum(rows, ["doc_id", "n_bytes"], ["at"], F.lit(1), "number").withColumn("copy", F.col("number") - 1)
     to = shards.select(F.col("doc_id").alias("d"), F.col("n_bytes").alias("b"), F.col("copy").alias("c"), "shard")
     on = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n_bytes") == F.col("b")) & (F.col("copy") == F.col("c"))
     placed = numbered.join(to, on).select("row.*", F.concat(F.lit("b"), "shard").alias("_shard"))

@@ -156,6 +156,18 @@ def test_shard_files_hold_every_row(spark, tmp_path):
     assert sharding.extendible_shards(docs(spark, []), 100).collect() == []
 
 
+def test_shard_files_of_a_hot_group(spark, tmp_path):
+    """Rows equal in id and size, some alike in all columns, others not: each is written once."""
+    hot = spark.range(6000).select(
+        F.lit(3).cast("bigint").alias("doc_id"), F.lit("same").alias("text"), (F.col("id") % 4000).alias("shard")
+    )
+    shards = sharding.extendible_shards(hot, 400, 4)
+    assert shards.agg(F.max("shard_bytes")).first()[0] <= 400 and shards.count() == 6000
+    sharding.write_shards(hot, shards, str(tmp_path / "hot"))
+    back = spark.read.parquet(str(tmp_path / "hot"))
+    assert Counter(tuple(r) for r in back.select(*hot.columns).collect()) == Counter(tuple(r) for r in hot.collect())
+
+
 def test_a_hot_group_is_numbered_by_many_tasks(spark):
     n = 20 * sharding.COPIES + 7
     hot = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"))
