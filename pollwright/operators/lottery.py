@@ -140,14 +140,14 @@ def vote_slices(
     return slices.drop("_any_total", "_lone", *([] if sized else ["race_tickets"]))
 
 
-def _inside() -> Column:
+def _inside(below: Column, upto: Column) -> Column:
     die = F.col("die")
-    return (die <= F.col("upto")) & ((die > F.col("below")) | ((die == 0) & (F.col("below") == 0)))
+    return (die <= upto) & ((die > below) | ((die == 0) & (below == 0)))
 
 
 def _hit(undervote: str) -> Column:
     die = F.col("die")
-    hit = _inside() & (F.col("votes") > 0)
+    hit = _inside(F.col("below"), F.col("upto")) & (F.col("votes") > 0)
     if undervote == "all":
         return hit | (die > F.col("race_votes"))
     if undervote != "none":
@@ -201,40 +201,61 @@ def _cell(at: str) -> Column:
     return F.when(F.col("race_total") > 0, inside).otherwise(F.lit(0)).cast("bigint")
 
 
+SMALL = 64  # tickets of a race whose slices are packed into one row
+
+
 def locate_winners(
     slices: DataFrame, race: Sequence[str], n: int = 200, seed: int = 42, electors: str | None = None
 ) -> DataFrame:
     """The slices that win, each with its ``replicate``: the rows of ``draw_winners`` with ``won`` 1.
 
     There is one draw per race and replicate (with ``electors``, for each of that many electors),
-    not one per candidate. The line of a race is cut into as many equal cells as it has tickets;
-    a slice is listed in the cells it touches, at most twice as many rows as there are tickets, and a draw
-    meets only the slices of its cell, two on average whatever the votes. Cells spread a large
-    race over the tasks. ``slices`` come from ``vote_slices(sized=True)`` and are read twice. Draws
-    beyond all slices elect nobody.
+    not one per candidate. A race of at most ``SMALL`` tickets is one row with its slices, beside which
+    its draws are made, so they meet no shuffle. The line of a larger race is cut into as many equal
+    cells as it has tickets; a slice is listed in the cells it touches, at most twice as many rows as
+    there are tickets, and a draw meets only the slices of its cell, two on average whatever the
+    votes. Cells spread the race over the tasks. ``slices`` come from ``vote_slices(sized=True)`` and
+    are read three times. Draws beyond all slices elect nobody.
     """
     race = list(race)
-    once = [F.max(c).alias(c) for c in ("race_total", "race_tickets", *([electors] if electors else []))]
-    races = slices.groupBy(*race).agg(*once)
-    keys, extra = list(race), []
-    if electors:
-        races = races.withColumn("elector", F.explode(F.sequence(F.lit(1), F.col(electors).cast("int"))))
-        keys, extra = [*race, "elector"], [F.lit("elector"), F.col("elector").cast("string")]
-    # A row becomes n draws, which a size-based merge of partitions ignores.
-    width = int(slices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = (
-        _explode_draws(races.repartition(width, *keys), race, n, seed, *extra)
-        .withColumn("die", F.col("u") * F.col("race_total"))
-        .select(group_key(race).alias("_race"), _cell("die").alias("_cell"), "replicate", "die")
-    )
+    small = F.col("race_tickets") <= SMALL
+    rest = [c for c in slices.columns if c not in race]
+    packed = _once(slices.where(small), race, electors, F.collect_list(F.struct(*rest)).alias("_slices"))
+    won = F.filter("_slices", lambda s: (s["votes"] > 0) & _inside(s["below"], s["upto"]))
+    near = _draws(packed, race, n, seed, electors).select(*race, "replicate", F.explode(won).alias("_won"))
+    near = near.select(*race, "_won.*", "replicate")
+
+    large = slices.where(~small)
+    drawn = _draws(_once(large, race, electors), race, n, seed, electors)
+    drawn = drawn.select(group_key(race).alias("_race"), _cell("die").alias("_cell"), "replicate", "die")
     # Slices beyond the total are out of reach; without a total nothing can be said to be.
     reached = (F.col("votes") > 0) & F.coalesce(F.col("below") <= F.col("race_total"), F.lit(True))
     listed = (
-        slices.where(reached)
+        large.where(reached)
         .withColumn("_race", group_key(race))
         .withColumn("_cell", F.explode(F.sequence(_cell("below"), _cell("upto"))))
     )
-    return listed.join(drawn, ["_race", "_cell"]).where(_inside()).drop("_race", "_cell", "die")
+    far = listed.join(drawn, ["_race", "_cell"]).where(_inside(F.col("below"), F.col("upto")))
+    return near.unionByName(far.drop("_race", "_cell", "die"))
+
+
+def _once(slices: DataFrame, race: list[str], electors: str | None, *more: Column) -> DataFrame:
+    """One row per race with what its draws need."""
+    names = ["race_total", "race_tickets", *([electors] if electors else [])]
+    return slices.groupBy(*race).agg(*[F.max(c).alias(c) for c in names], *more)
+
+
+def _draws(races: DataFrame, race: list[str], n: int, seed: int, electors: str | None) -> DataFrame:
+    """The columns of ``races`` with ``replicate`` and ``die``, for each elector if there are some."""
+    # A row becomes n draws, which a size-based merge of partitions ignores.
+    width = int(races.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if electors:
+        races = races.withColumn("elector", F.explode(F.sequence(F.lit(1), F.col(electors).cast("int"))))
+        spread = races.repartition(width, *race, "elector")
+        drawn = _explode_draws(spread, race, n, seed, F.lit("elector"), F.col("elector").cast("string"))
+    else:
+        drawn = _explode_draws(races.repartition(width, *race), race, n, seed)
+    return drawn.withColumn("die", F.col("u") * F.col("race_total"))
 
 
 def draw_electors(
