@@ -198,7 +198,8 @@ def _settle_rankings(rankings: DataFrame, keys: list[str]) -> DataFrame:
     rankings = scratch.table(rankings.groupBy(*keys, "ranking").agg(F.count(F.lit(1)).alias("n")))
     state = rankings.groupBy(*keys).agg(F.sum("n").alias("ballots"), F.max(F.size("ranking")).alias("options"))
     state = state.withColumn("out", F.array().cast("array<int>")).withColumn("winner", _last_left(F.col("out")))
-    rows = scratch.table(null_safe_join(rankings, state, keys))
+    # Every ranking has a state; as a left join it can send the states alone through the driver.
+    rows = scratch.table(null_safe_join(rankings, state, keys, "left"))
     columns = ["ballots", "options", "out", "winner"]
     finished = []
     while True:
@@ -212,7 +213,7 @@ def _settle_rankings(rankings: DataFrame, keys: list[str]) -> DataFrame:
             return reduce(DataFrame.unionByName, finished)
         state = _settle_rounds(rows, keys)
         left = F.array_except("ranking", "out").alias("ranking")
-        rows = null_safe_join(rows.select(*keys, "ranking", "n"), state, keys).select(*keys, left, "n", *columns)
+        rows = null_safe_join(rows.select(*keys, "ranking", "n"), state, keys, "left").select(*keys, left, "n", *columns)
         rows = scratch.table(rows.groupBy(*keys, "ranking", *columns).agg(F.sum("n").alias("n")))
 
 
@@ -231,12 +232,12 @@ def _prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
     states = rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("held"))
     short = states.select(*keys, (F.col("held") > F.col("options") * F.col("options")).alias("short"))
     start = F.when(F.col("short"), F.slice("ranking", 1, 2)).otherwise(F.col("ranking"))
-    heads = null_safe_join(rows.select(*keys, "ranking", "n"), short, keys).select(
+    heads = null_safe_join(rows.select(*keys, "ranking", "n"), short, keys, "left").select(
         *keys, start.alias("p"), (F.size("ranking") == F.size(start)).alias("whole"), "n"
     )
     heads = heads.groupBy(*keys, "p", "whole").agg(F.sum("n").alias("n"))
     heads = heads.groupBy(*keys).agg(F.collect_list(F.struct("p", "n", "whole")).alias("heads"))
-    return null_safe_join(states.drop("held"), heads, keys)
+    return null_safe_join(heads, states.drop("held"), keys, "left")
 
 
 def _settle_rounds(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -225,3 +225,19 @@ def test_nearest_option_listed_and_in_a_table(spark, n):
     assert bal.nearest_option(points, []).where("option is not null").count() == 0
     none = bal.nearest_option_in_table(points, wide.limit(0))
     assert none.count() == len(rows) and none.where("option is not null").count() == 0
+
+
+@pytest.mark.parametrize("count", [bal.instant_runoff, bal.method_results])
+def test_runoff_sends_states_alone_through_the_driver(spark, monkeypatch, count):
+    """Only the right side of a left join can be broadcast: one short row a race."""
+    plain, joined = bal.null_safe_join, []
+
+    def spied(left, right, keys, how="inner"):
+        joined.append((how, set(right.columns) & {"ranking", "heads"}, right.count()))
+        return plain(left, right, keys, how)
+
+    monkeypatch.setattr(bal, "null_safe_join", spied)
+    scores = F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)).cast("double") for i in range(5)])
+    df = spark.range(300).select(F.col("id").alias("voter_id"), F.nullif(F.col("id") % 3, F.lit(1)).alias("race"), scores.alias("scores"))
+    assert count(df, ["race"]).select("race").distinct().count() == 3
+    assert joined and set(map(str, joined)) == {str(("left", set(), 3))}
