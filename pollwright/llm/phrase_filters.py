@@ -20,7 +20,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pollwright.functions.scale import running_sum
 from pollwright.llm.common import cut, slices
 from pollwright.session import discard, scratch_path
 
@@ -301,9 +300,20 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
     text = scratch.table(word_blocks(docs), "phrases-text")
     counts = text.where(F.col("kind") == WORD).select("block", "lang", "word", "local", "n")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    often = counts.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    words = cut(running_sum(often, [], ["lang", "word"], F.lit(1), "id"))
-    size, present = words.agg(F.count("*"), F.sum("a")).first()
+    # All rows of a word, one a block, meet in one part, which finds the word's total and its number in
+    # the part beside them: nothing is joined, whose rows would grow with the words that become frequent.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of_word, in_part = Window.partitionBy("lang", "word"), Window.partitionBy("part").orderBy("lang", "word")
+    often = counts.repartition(parts, "lang", "word").withColumn("a", F.sum("n").over(of_word)).where(F.col("a") >= least)
+    often = often.withColumn("part", F.spark_partition_id()).withColumn("place", F.dense_rank().over(in_part))
+    often = scratch.table(often, "phrases-words")
+    # Numbers of all parts one after the other; there is one row a part.
+    starts, size, present = {}, 0, 0
+    for part, held, occurring in often.groupBy("part").agg(F.max("place"), F.sum("n")).collect():
+        starts[part], size, present = size, size + held, present + occurring
+    start = F.lit([starts.get(part, 0) for part in range(max(starts, default=0) + 1)])
+    often = often.withColumn("id", F.col("place") + F.get(start, F.col("part")).cast("bigint"))
+    words = cut(often.groupBy("lang", "word", "id").agg(F.first("a").alias("a")))
     phrases = words.select("id", "lang", F.lit(1).alias("k"), F.col("word").alias("phrase"), "a")
     every = [phrases]
     none = F.lit(None)
@@ -317,8 +327,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5) -> tup
             }
         )
 
-    numbered = counts.join(words.select("lang", "word", "id"), ["lang", "word"]).select("block", "local", "id")
-    numbered = numbered.groupBy("block").applyInArrow(packed_pairs, "block bigint, words binary, grams binary")
+    numbered = often.select("block", "local", "id").groupBy("block").applyInArrow(packed_pairs, "block bigint, words binary, grams binary")
     empty = [none.cast("bigint").alias("shard"), none.cast("binary").alias("grams")]
     mapped = scratch.table(numbered, "phrases-map").select("block", F.lit(MAP).alias("kind"), empty[0], "words", "grams")
     tokens = text.where(F.col("kind") == TOKENS).select(

@@ -70,6 +70,15 @@ def test_nothing_frequent_and_nothing_at_all(spark):
     assert phrase_filters.collocations(docs(spark, [])).collect() == []
 
 
+def test_words_of_blocks_are_numbered_without_a_join(spark, monkeypatch):
+    frame = type(spark.range(1))
+    plain, joined = frame.join, []
+    monkeypatch.setattr(frame, "join", lambda self, other, *a, **k: joined.extend([self.columns, other.columns]) or plain(self, other, *a, **k))
+    found, _ = phrase_filters.frequent_phrases(docs(spark, [(i, "a b a b. c a b") for i in range(3)]), least=3)
+    assert joined and not any("local" in columns for columns in joined)
+    assert sorted((r["phrase"], r["a"]) for r in found.where("k < 3").collect()) == [("a", 9), ("a b", 9), ("b", 9), ("b a", 3), ("c", 3), ("c a", 3)]
+
+
 @pytest.mark.parametrize("bits", [1, 2, 3, 7, 16, 17, 40, 63, 64])
 def test_permutation_is_undone(bits):
     rng = np.random.default_rng(bits)
