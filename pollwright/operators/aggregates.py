@@ -81,10 +81,10 @@ def located_seats(held: DataFrame, won: DataFrame, by: Sequence[str], n: int) ->
     """``seat_counts`` from the winners alone: ``held`` has every candidate once, for the groups that
     win nothing and the plain count, and ``won`` has one row per seat and replicate."""
     groups = held.groupBy(*by).agg(F.sum("count_win").alias("count_win"))
-    none = groups.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("seats", F.lit(0))
-    seats = won.select(*by, "replicate", F.lit(1).alias("seats"), F.lit(0).cast("bigint").alias("count_win"))
+    none = groups.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("won", F.lit(0))
+    seats = won.select(*by, "replicate", F.lit(1).alias("won"), F.lit(0).cast("bigint").alias("count_win"))
     return none.unionByName(seats).groupBy(*by, "replicate").agg(
-        F.sum("seats").alias("seats"), F.sum("count_win").alias("count_win")
+        F.sum("won").alias("seats"), F.sum("count_win").alias("count_win")
     )
 
 
